@@ -11,5 +11,17 @@ def op3_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op1_decontaminate(spark, sf_dir):
+    from pitchloom.llm.decontaminate import decontaminated
+
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark, sf_dir):
+    from pitchloom.llm.pii import pii_digest
+
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
 ORACLE_SQL = {}
