@@ -23,5 +23,15 @@ def op10_pii(spark, sf_dir):
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
+def op2_bpe(spark, sf_dir, vocabulary: str | None = None):
+    from pitchloom.llm.bpe import VOCABULARY, encode_decode
+
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(VOCABULARY)
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary, ids=False)
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
 ORACLE_SQL = {}
