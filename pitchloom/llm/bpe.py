@@ -5,8 +5,8 @@ of prefixes, so a prefix is described by its last token alone. The last token of
 token t that ends p such that the last token u of p without t is compatible with it, that is, u
 followed by t is left as it is by the merges (or t is all of p and encodes as itself). Distinct words
 are inserted in a trie and the last tokens are propagated depth first, so prefixes that words share are
-computed once; an encoding is read back from its leaf by jumping over tokens. Compatibility of two tokens
-is decided by replaying the merges on their concatenation, once for each pair.
+computed once; an encoding is read back from its leaf by jumping over tokens. Two tokens are compatible unless a
+merge joins their facing edges, in whole or in part, before the merges that build them; it is decided once for each pair.
 
 The vocabulary file is a parameter (a tokenizers JSON: NFC, white space to one space, lower case, a split pattern, bytes
 as letters, a suffix at the last letter of a word). Strings of special tokens in a text become
@@ -21,14 +21,14 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of text whose ids a worker remembers at most (the memory is emptied then; results don't depend on it).
-MEMORY = 200_000
+MEMORY = 400_000
 #: Pairs of tokens whose compatibility is remembered at most.
 PAIRS = 500_000
 #: Letters below are classed and normalized here; texts and chunks with others by the library.
@@ -72,6 +72,13 @@ class Bpe:
         self.longest = max(map(len, [*self.inner, *self.final]))
         self.fits: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        self.edges: dict[tuple[int, int], list[tuple[str, int, int]]] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
+        for a, b in merges:
+            self.halves.setdefault(a + b, (a, b))
+        made = {"".join(m): i for i, m in reversed(list(enumerate(merges)))}
+        if any(max(made.get(a, -1), made.get(b, -1)) >= i for i, (a, b) in enumerate(merges)):
+            raise ValueError("a merge precedes the merges of its parts: not a trained BPE vocabulary")
         self.chunks: dict[str, tuple[str, int, str]] = {}
 
     def _symbols(self, token: str) -> tuple[str, ...]:
@@ -101,10 +108,34 @@ class Bpe:
         if found is None:
             if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            a, b = self.text_of[left], self.text_of[right]
-            found = self.fits[left, right] = self._replay(self._symbols(a) + self._symbols(b)) == [a, b]
+            found = self.fits[left, right] = self._whole(left) and self._whole(right) and not self._crossed(left, right)
         return found
 
+    def _edges(self, token: str, side: int) -> list[tuple[str, int, int]]:
+        """What stands at one edge of a token while it is built: symbol, rank that makes it, rank that takes it."""
+        out, taken = [], len(self.rank)
+        while token in self.halves:
+            made = self.rank[self.halves[token]]
+            out.append((token, made, taken))
+            token, taken = self.halves[token][side], made
+        return [*out, (token, -1, taken)]
+
+    def _crossed(self, left: int, right: int) -> bool:
+        """Whether some merge joins the right edge of one token with the left edge of the next before either is built.
+
+        Merges run by rank and, within a rank, from the left: at equal rank the left token's own merge comes first.
+        """
+        key = (left, right)
+        for token, side in zip(key, (1, 0), strict=True):
+            if (token, side) not in self.edges:
+                self.edges[token, side] = self._edges(self.text_of[token], side)
+        for a, made_a, taken_a in self.edges[left, 1]:
+            for b, made_b, taken_b in self.edges[right, 0]:
+                rank = self.rank.get((a, b))
+                if rank is not None and max(made_a, made_b) < rank < taken_a and rank <= taken_b:
+                    return True
+        return False
+
     def _last(self, prefix: str, tokens: dict[str, int], last: list[tuple[int, int]]) -> tuple[int, int]:
         """Last token of a prefix and its length, given those of all shorter prefixes."""
         n = len(prefix)
@@ -184,7 +215,7 @@ class Bpe:
     def encode(self, text: str | None) -> tuple[str, int, str]:
         """Ids of a text as decimals joined by spaces, their number, and the text decoded from them."""
         parts = self._parts(text or "")
-        fresh = set(parts) - self.chunks.keys()
+        fresh = {p for p in set(parts) if p not in self.chunks}
         if fresh:
             if len(self.chunks) + len(fresh) > MEMORY:
                 self.chunks.clear()
@@ -200,6 +231,12 @@ class Bpe:
         return " ".join([self.text_of[i] for i in ids])
 
 
+@lru_cache(maxsize=2)
+def coder(path: str) -> Bpe:
+    """One coder for each worker process and file."""
+    return Bpe(path)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """The columns of ``keep``, with ids (string of decimals, if asked for), n_tokens, ids_sha256 and decoded_sha256 of each text."""
     fields = [docs.schema[c] for c in keep]
@@ -207,7 +244,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
     names = [*keep, *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        bpe = Bpe(vocabulary)
+        bpe = coder(vocabulary)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
