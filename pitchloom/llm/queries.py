@@ -33,5 +33,11 @@ def op2_bpe(spark, sf_dir, vocabulary: str | None = None):
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary, ids=False)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
+def op5_toxicity(spark, sf_dir):
+    from pitchloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
 ORACLE_SQL = {}
