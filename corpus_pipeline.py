@@ -1,0 +1,77 @@
+"""A corpus pipeline: five stages over documents, each one operator over all rows that its predecessor kept.
+
+toxicity     documents that the classifier rejects (score of 0.5 or more) go
+near_dedup   one document of each SimHash class stays, the one of the smallest doc_id; of rows that repeat a doc_id one
+             stays; rows without a doc_id go only if their class has one
+decontaminate  documents that hold a benchmark window go
+pii          personal data in text is replaced by its kind in brackets; n_chars follows
+bpe          token ids of each text, their number, and the digest of the decoded text
+
+Each stage but the last returns the columns of its input; further columns of documents pass through. Null and
+empty texts count as empty: they are one near-duplicate class. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitchloom.llm import bpe, decontaminate, pii, simhash, toxicity
+from pitchloom.llm.common import materialize, table, text_key, without_rows
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = materialize(simhash.near_duplicates(docs.select("doc_id", "text", text_key().alias("__key")), ("__key",)), "classes")
+    copies = classes.where("component_id is not null and not (doc_id <=> component_id)")
+    kept = without_rows(docs, copies)
+    again = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    again = materialize(again.select(F.col("doc_id").alias("__again")), "again")
+    repeated = kept["doc_id"] == again["__again"]
+    return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(docs.select("doc_id", "text", text_key().alias("__key")), table(spark, sf_dir, "benchmark"), keep=("__key",))
+    return without_rows(docs, found.where(F.size("hit") > 0))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(bpe.VOCABULARY)
+    return bpe.encode_decode(docs, vocabulary, keep=tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("pii", redact_pii),
+    ("bpe", encode),
+]
+
+#: No stage chain with a trained classifier, SimHash and BPE can be put in SQL; tests compare with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Id lists up to this many rows (8 MB of longs) may be broadcast; longer ones are shuffled.
+#: Lists of ids up to this many rows (16 MB of longs) may be broadcast; longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
@@ -48,12 +48,17 @@ def lower_az(column):
     return F.translate(column, UPPER, LOWER)
 
 
-def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key (null-safe) is not in ids (a materialized one-column table).
+def text_key(text="text"):
+    """A hash that tells versions of a document apart, next to its doc_id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    The id list is broadcast only if its counted size is within BROADCAST_IDS.
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose (doc_id, text_key()) is not in gone (doc_id, __key; null-safe).
+
+    The list is broadcast only if its counted size is within BROADCAST_IDS; else both sides are shuffled by it.
     """
-    gone = ids.select(F.col(key).alias("__gone"))
+    gone = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__hash")), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return df.join(gone, df[key].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (text_key() == gone["__hash"]), "left_anti")

@@ -43,23 +43,23 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy("gram", "size").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of docs: row, doc_id, n_words, hit (sorted word positions from 0), items (sorted ids as strings)."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: row, doc_id, the columns of ``keep``, n_words, hit (sorted word positions from 0), items (sorted ids as strings)."""
     known = materialize(benchmark_windows(benchmark, window), "windows")
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most ``window`` numbers
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)  # bounded by BROADCAST_WINDOWS
-    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, words(F.col("text")).alias("w"))
     # One probe per window and size, and one without a window that carries the word count.
     def sized(n):
         return F.transform(grams(F.col("w"), n), lambda g, i: F.struct(F.lit(n).alias("size"), i.alias("at"), g.alias("gram")))
 
     per_size = [sized(n) for n in sizes]
     count = F.array(F.struct(F.lit(0).alias("size"), F.size("w").alias("at"), F.lit(None).cast("string").alias("gram")))
-    probes = cut.select("row", "doc_id", F.explode(F.concat(count, *per_size)).alias("p")).select("row", "doc_id", "p.size", "p.at", "p.gram")
+    probes = cut.select("row", "doc_id", *keep, F.explode(F.concat(count, *per_size)).alias("p")).select("row", "doc_id", *keep, "p.size", "p.at", "p.gram")
     met = probes.join(known, ["gram", "size"], "left").where(F.col("item_ids").isNotNull() | (F.col("size") == 0))
     spans = F.flatten(F.transform(F.collect_set(F.when(F.col("size") > 0, F.struct("at", "size"))), lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))
-    return met.groupBy("row", "doc_id").agg(
+    return met.groupBy("row", "doc_id", *keep).agg(
         F.max(F.when(F.col("size") == 0, F.col("at"))).alias("n_words"),
         F.array_sort(F.array_distinct(spans)).alias("hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"),

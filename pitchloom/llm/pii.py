@@ -97,8 +97,8 @@ def _spans(kind: Kind, text):
     return F.when(some, spans).otherwise(F.expr(empty))
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """docs with ``pii``: array of struct(start, order, kind, end, score), sorted by start, then kind."""
+def detect(docs: DataFrame, name: str = "pii") -> DataFrame:
+    """docs with the column ``name``: array of struct(start, order, kind, end, score), sorted by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("*", *[_spans(k, text).alias(f"__{k.name}") for k in KINDS])
     spans = F.concat(*[F.col(f"__{k.name}") for k in KINDS])
@@ -113,7 +113,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     base = F.array(*[F.lit(k.name) for k in KINDS if k.base])
     kept = F.filter(F.transform(F.array_sort(spans), scored), lambda s: F.array_contains(base, s["kind"]) | (s["score"] >= THRESHOLD))
-    return found.withColumn("pii", F.when(F.size(spans) > 0, kept).otherwise(F.transform(spans, scored))).drop(*[f"__{k.name}" for k in KINDS])
+    return found.withColumn(name, F.when(F.size(spans) > 0, kept).otherwise(F.transform(spans, scored))).drop(*[f"__{k.name}" for k in KINDS])
 
 
 def _listed(spans):
@@ -134,7 +134,7 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; where spans overlap, the first one's name covers them all."""
-    found = detect(docs)
+    found = detect(docs, "__pii")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
@@ -143,5 +143,5 @@ def redact(docs: DataFrame) -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    masked = F.aggregate("pii", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
-    return found.withColumn("text", F.when(F.size("pii") > 0, masked).otherwise(F.col("text"))).select(*docs.columns)
+    masked = F.aggregate("__pii", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    return found.withColumn("text", F.when(F.size("__pii") > 0, masked).otherwise(F.col("text"))).select(*docs.columns)

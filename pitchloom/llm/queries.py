@@ -39,5 +39,11 @@ def op5_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
 ORACLE_SQL = {}

@@ -66,17 +66,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep`` and fp, the fingerprint as a signed long, for each row."""
+    names = ["doc_id", *keep, "fp"]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             prints = np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names[:-1])
+    return docs.select(*names[:-1], docs["text"].alias("__text")).mapInArrow(run, f"{fields}, fp long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -116,12 +117,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row."""
-    prints = materialize(fingerprints(docs), "simhash")
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep``, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row."""
+    prints = materialize(fingerprints(docs, keep), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected(links(nodes.select("fp")))
     rooted = nodes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(ids.hint("merge"), "root").select("fp", "component_id")
-    return prints.join(classes.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes.hint("merge"), "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

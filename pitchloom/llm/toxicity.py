@@ -172,33 +172,51 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(sets[True], sets[False], n_toxic / n if n else 0.1)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` with the score of each whole text."""
+def scorer(model: Model):
+    """A function of texts (UTF-8) that gives their scores; it remembers the words it has met."""
     weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
     carrying = {f - f % LEVELS for f in weights}
-    bias = model.bias
+    memory: dict[bytes, list[int]] = {}  # the traits of a word that carry weight
 
-    def run(batches):
-        memory: dict[bytes, list[int]] = {}  # the traits of a word that carry weight
+    def known(word):
+        if word not in memory:
+            if len(memory) >= 300_000:
+                memory.clear()
+            memory[word] = [t for t in traits(word) if t in carrying]
+        return memory[word]
+
+    def run(texts):
+        z = np.array([model.bias + sum(weights.get(f, 0.0) for f in sorted(features(t, known))) for t in texts], float)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-        def known(word):
-            if word not in memory:
-                if len(memory) >= 300_000:
-                    memory.clear()
-                memory[word] = [t for t in traits(word) if t in carrying]
-            return memory[word]
+    return run
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep`` with the score of each whole text."""
 
+    def run(batches):
+        of = scorer(model)
         for batch in batches:
-            scores = []
-            for text in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
-                z = bias + sum(weights.get(f, 0.0) for f in sorted(features(text, known)))
-                scores.append(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
+            scores = of(batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, f"{fields}, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+
+    def run(batches):
+        of = scorer(model)
+        for batch in batches:
+            scores = of(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist())
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     scored = score(docs, train(docs, labels))
