@@ -45,5 +45,12 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
+def op4_warc(spark, sf_dir):
+    from pitchloom.llm.common import scratch
+    from pitchloom.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+QUERIES = {"op4_warc": op4_warc, "pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
 ORACLE_SQL = {}
