@@ -64,7 +64,13 @@ def op8_lm(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_lm": op8_lm, "op6_topk": op6_topk, "op4_warc": op4_warc, "pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
+def op9_html(spark, sf_dir):
+    from pitchloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op9_html": op9_html, "op8_lm": op8_lm, "op6_topk": op6_topk, "op4_warc": op4_warc, "pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
 ORACLE_SQL = {}
 
 ORACLE_SQL["op6_topk"] = """
