@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks of text whose ids a worker remembers at most (the memory is emptied then; results don't depend on it).
+#: Chunks of text, and words, whose ids a worker remembers at most (the memory is emptied then; results don't depend on it).
 MEMORY = 400_000
+#: Texts that share one trie.
+TEXTS = 1_000
 #: Pairs of tokens whose compatibility is remembered at most.
 PAIRS = 500_000
 #: Letters below are classed and normalized here; texts and chunks with others by the library.
@@ -69,7 +71,8 @@ class Bpe:
         #: Tokens by their letters: those inside a word, and those at its end.
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(end) or t == end}
         self.final = {t[: -len(end)]: i for t, i in self.vocab.items() if t.endswith(end) and t != end}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        #: Length of the longest token that ends in two given letters.
+        self.reach_inner, self.reach_final = self._reach(self.inner), self._reach(self.final)
         self.fits: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[str, int, int]]] = {}
@@ -80,6 +83,14 @@ class Bpe:
         if any(max(made.get(a, -1), made.get(b, -1)) >= i for i, (a, b) in enumerate(merges)):
             raise ValueError("a merge precedes the merges of its parts: not a trained BPE vocabulary")
         self.chunks: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, list[int]] = {}
+
+    @staticmethod
+    def _reach(tokens: dict[str, int]) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for t in tokens:
+            out[t[-2:]] = max(out.get(t[-2:], 0), len(t))
+        return out
 
     def _symbols(self, token: str) -> tuple[str, ...]:
         """Letters of a token; the suffix belongs to the last one."""
@@ -136,43 +147,48 @@ class Bpe:
                     return True
         return False
 
-    def _last(self, prefix: str, tokens: dict[str, int], last: list[tuple[int, int]]) -> tuple[int, int]:
-        """Last token of a prefix and its length, given those of all shorter prefixes."""
-        n = len(prefix)
-        for start in range(max(0, n - self.longest), n):
-            token = tokens.get(prefix[start:])
-            if token is not None and (self._compatible(last[start - 1][0], token) if start else self._whole(token)):
-                return token, n - start
-        raise ValueError(f"no token ends the prefix {prefix!r}")
+    def _last(self, word: str, end: int, tokens: dict[str, int], reach: dict[str, int], last: list[tuple[int, int]]) -> tuple[int, int]:
+        """Last token of the prefix of length ``end`` and its length, given those of all shorter prefixes."""
+        fits = self.fits
+        for start in range(max(0, end - reach.get(word[max(0, end - 2) : end], 1)), end):
+            token = tokens.get(word[start:end])
+            if token is not None:
+                if not start:
+                    good = self._whole(token)
+                else:
+                    good = fits.get((last[start - 1][0], token))
+                    if good is None:
+                        good = self._compatible(last[start - 1][0], token)
+                if good:
+                    return token, end - start
+        raise ValueError(f"no token ends the prefix {word[:end]!r}")
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each distinct word (in byte letters), by one depth-first pass over their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for letter in word:
-                node = node.setdefault(letter, {})
-            node[None] = None
+        """Ids of each distinct word (in byte letters), by one depth-first pass over their trie.
+
+        In sorted order words come as the leaves of their trie do, depth first: the path of a word keeps the nodes that it shares
+        with the word before, and only the new ones are computed.
+        """
         out: dict[str, list[int]] = {}
-        last: list[tuple[int, int]] = []  # of each prefix on the path
-        todo = [(letter, child) for letter, child in root.items()]
-        while todo:
-            prefix, node = todo.pop()
-            depth = len(prefix)
-            del last[depth - 1 :]
-            if None in node:
-                ids, at = [], depth
-                step = self._last(prefix, self.final, last)
-                while True:
-                    ids.append(step[0])
-                    at -= step[1]
-                    if not at:
-                        break
-                    step = last[at - 1]
-                out[prefix] = ids[::-1]
-            if len(node) > (None in node):
-                last.append(self._last(prefix, self.inner, last))
-                todo += [(prefix + letter, child) for letter, child in node.items() if letter is not None]
+        last: list[tuple[int, int]] = []  # of each inner prefix on the path
+        before = ""
+        for word in sorted(words):
+            shared, n = 0, len(word) - 1
+            for a, b in zip(word, before, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del last[min(shared, n) :]
+            for end in range(len(last) + 1, n + 1):
+                last.append(self._last(word, end, self.inner, self.reach_inner, last))
+            step = self._last(word, n + 1, self.final, self.reach_final, last)
+            ids, at = [step[0]], n + 1 - step[1]
+            while at:
+                step = last[at - 1]
+                ids.append(step[0])
+                at -= step[1]
+            out[word] = ids[::-1]
+            before = word
         return out
 
     def normalize(self, text: str) -> str:
@@ -194,9 +210,13 @@ class Bpe:
 
     def _learn(self, chunks: set[str]) -> None:
         cut = {c: self._cut(c) for c in chunks}
-        ids = self.encode_words(list({w for words in cut.values() for w in words}))
+        fresh = {w for words in cut.values() for w in words if w not in self.words}
+        if len(self.words) + len(fresh) > MEMORY:
+            self.words = {}
+            fresh = {w for words in cut.values() for w in words}
+        self.words |= self.encode_words(list(fresh))
         for c, words in cut.items():
-            found = [i for w in words for i in ids[w]]
+            found = self.words[words[0]] if len(words) == 1 else [i for w in words for i in self.words[w]]
             self.chunks[c] = (" ".join(map(str, found)), len(found), self.decode(found))
 
     def _split(self, text: str) -> list[str]:
@@ -212,19 +232,28 @@ class Bpe:
             at = m.end()
         return parts + self._split(self.normalize(text[at:]))
 
-    def encode(self, text: str | None) -> tuple[str, int, str]:
-        """Ids of a text as decimals joined by spaces, their number, and the text decoded from them."""
-        parts = self._parts(text or "")
-        fresh = {p for p in set(parts) if p not in self.chunks}
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
+        """For each text its ids as decimals joined by spaces, their number, and the text decoded from them.
+
+        All chunks of the batch that are not remembered are encoded together, over one trie.
+        """
+        cut = [self._parts(t or "") for t in texts]
+        here = set().union(*cut)
+        fresh = {c for c in here if c not in self.chunks}
         if fresh:
             if len(self.chunks) + len(fresh) > MEMORY:
-                self.chunks.clear()
-                fresh = set(parts)
-            special = {p for p in fresh if isinstance(p, int)}
+                self.chunks = {c: self.chunks[c] for c in here - fresh}
+            special = {c for c in fresh if isinstance(c, int)}
             self._learn(fresh - special)
-            self.chunks |= {p: (str(p), 1, self.decode([p])) for p in special}
-        found = list(map(self.chunks.__getitem__, parts))
-        return " ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found])
+            self.chunks |= {c: (str(c), 1, self.decode([c])) for c in special}
+        out = []
+        for parts in cut:
+            found = list(map(self.chunks.__getitem__, parts))
+            out.append((" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found])))
+        return out
+
+    def encode(self, text: str | None) -> tuple[str, int, str]:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the file names no decoder, so tokens are joined by spaces, as the tokenizers library does."""
@@ -247,9 +276,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
         bpe = coder(vocabulary)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = [bpe.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                coded = bpe.encode_batch(part.column(part.num_columns - 1).to_pylist())
                 columns = [*part.columns[: len(keep)], *([pa.array([c[0] for c in coded], pa.string())] if ids else [])]
                 columns += [pa.array([c[1] for c in coded], pa.int64()), pa.array([sha(c[0]) for c in coded]), pa.array([sha(c[2]) for c in coded])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
