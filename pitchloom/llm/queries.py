@@ -70,7 +70,13 @@ def op9_html(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op9_html": op9_html, "op8_lm": op8_lm, "op6_topk": op6_topk, "op4_warc": op4_warc, "pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
+def op7_chat(spark, sf_dir):
+    from pitchloom.llm.chat import repaired
+
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op7_chat": op7_chat, "op9_html": op9_html, "op8_lm": op8_lm, "op6_topk": op6_topk, "op4_warc": op4_warc, "pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
 ORACLE_SQL = {}
 
 ORACLE_SQL["op6_topk"] = """
