@@ -39,9 +39,9 @@ BITS, PROBES = 8, 5
 GROUPS, SUB = 64, 8
 SHARD_BYTES = 160 << 20
 #: Tokens that a task holds at once.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Tokens scored at once.
-SLICE = 400_000
+SLICE = 200_000
 END, BEGIN = b" ", b" begin"
 
 U = np.uint64
@@ -77,16 +77,28 @@ def bucket_of(second: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return group_of(second) * SUB + (keys % U(SUB)).astype(np.int64)
 
 
-def encode(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct words (the first is BEGIN), and for each token its word, the word before it, and its text."""
-    place: dict[bytes, int] = {BEGIN: 0}
-    here = [place.setdefault(w, len(place)) for t in texts for w in t]
-    here = np.array(here, np.int64)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    before = np.zeros(len(here), np.int64)
-    before[1:] = here[:-1]
-    before[np.cumsum(lengths) - lengths] = 0
-    return word_hashes(list(place)), here, before, np.repeat(np.arange(len(texts)), lengths)
+class Block:
+    """Texts of a task as numbers: distinct words, and for each text the places of its words."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {BEGIN: 0}
+        self.texts: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, text: bytes | None) -> None:
+        place = self.place
+        words = tokens(text)
+        self.texts.append(np.array([place.setdefault(w, len(place)) for w in words], np.int32))
+        self.n += len(words)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct words (the first is BEGIN), and for each token its word, the word before it, and its text."""
+        lengths = np.array([len(t) for t in self.texts], np.int64)
+        here = np.concatenate([*self.texts, np.zeros(0, np.int32)])
+        before = np.zeros(len(here), np.int32)
+        before[1:] = here[:-1]
+        before[np.cumsum(lengths) - lengths] = 0
+        return word_hashes(list(self.place)), here, before, np.repeat(np.arange(len(lengths)), lengths)
 
 
 def probes(keys: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
@@ -135,8 +147,8 @@ def _add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def counted(training: DataFrame) -> DataFrame:
     """One row per bucket: pairs (bool), bucket, distinct, total, keys and counts of words, or the filter of pairs."""
 
-    def emit(texts):
-        hashes, here, before, _ = encode(texts)
+    def emit(block):
+        hashes, here, before, _ = block.arrays()
         n = len(hashes)
         rows = []
 
@@ -149,23 +161,22 @@ def counted(training: DataFrame) -> DataFrame:
         words = np.bincount(here, minlength=n)
         used = np.flatnonzero(words)
         cut(False, group_of(hashes[used]), hashes[used], words[used])
-        both, counts = np.unique(before * n + here, return_counts=True)
+        both, counts = np.unique(before.astype(np.int64) * n + here, return_counts=True)
         second = hashes[both % n]
         keys = pair_keys(hashes[both // n], second)
         cut(True, bucket_of(second, keys), keys, counts)
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.bool_(), pa.int32(), pa.binary(), pa.binary()))], names=["pairs", "bucket", "keys", "counts"])
 
     def run(batches):
-        held, n = [], 0
+        block = Block()
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                held.append(tokens(text))
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield emit(held)
-                    held, n = [], 0
-        if held:
-            yield emit(held)
+            for text in batch.column(0).cast(pa.binary()):
+                block.add(text.as_py())
+                if block.n >= FLUSH:
+                    yield emit(block)
+                    block = Block()
+        if block.n:
+            yield emit(block)
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _add(np.frombuffer(b"".join(rows["keys"]), "<u8"), np.frombuffer(b"".join(rows["counts"]), "<u4"))
@@ -209,9 +220,9 @@ def load(model: DataFrame, low: int, high: int) -> dict:
     }
 
 
-def partial_scores(texts: list[list[bytes]], shard: dict, low: int, high: int, total: int, distinct: int, n_texts: int, mu: float = MU) -> np.ndarray:
+def partial_scores(block: Block, shard: dict, low: int, high: int, total: int, distinct: int, n_texts: int, mu: float = MU) -> np.ndarray:
     """Columns n_tokens, n_known, base_score and score of each text, as far as the shard's words decide them."""
-    hashes, here, before, text = encode(texts)
+    hashes, here, before, text = block.arrays()
     mine = (group_of(hashes) >= low) & (group_of(hashes) < high)
     place = np.searchsorted(shard["words"], hashes)
     place[place == len(shard["words"])] = 0
@@ -225,7 +236,7 @@ def partial_scores(texts: list[list[bytes]], shard: dict, low: int, high: int, t
     pair = look_up(keys, bucket_of(hashes[w], keys), shard["data"], shard["starts"], shard["sizes"])
     count[0], mine[0] = n_texts, low == 0  # BEGIN
     history = mine[before]
-    n = len(texts)
+    n = len(block.texts)
     score = np.bincount(t, np.log10(pair + mu * plain[w]), n) - np.bincount(text[history], np.log10(count[before[history]] + mu), n)
     return np.stack([np.bincount(t, minlength=n), np.bincount(t, count[w] > 0, n), np.bincount(t, np.log10(plain[w]), n), score], axis=1)
 
@@ -247,16 +258,14 @@ def lm_scores(docs: DataFrame, mu: float = MU) -> DataFrame:
 
         def run(batches):
             for batch in batches:
-                texts = batch.column(3).cast(pa.binary()).to_pylist()
-                out, held, n = [], [], 0
-                for text in texts:
-                    held.append(tokens(text))
-                    n += len(held[-1])
-                    if n >= SLICE:
-                        out.append(partial_scores(held, shard.value, low, high, total, distinct, n_texts, mu))
-                        held, n = [], 0
-                if held:
-                    out.append(partial_scores(held, shard.value, low, high, total, distinct, n_texts, mu))
+                out, block = [], Block()
+                for text in batch.column(3).cast(pa.binary()):
+                    block.add(text.as_py())
+                    if block.n >= SLICE:
+                        out.append(partial_scores(block, shard.value, low, high, total, distinct, n_texts, mu))
+                        block = Block()
+                if block.n:
+                    out.append(partial_scores(block, shard.value, low, high, total, distinct, n_texts, mu))
                 found = np.concatenate(out) if out else np.zeros((0, 4))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, i].astype(np.int64)) for i in (0, 1)), *(pa.array(found[:, i]) for i in (2, 3))], names=names)
 
