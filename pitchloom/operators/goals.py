@@ -83,7 +83,7 @@ def fit(weighted: DataFrame, xi: float, cutoff: str, steps: int = 50, tolerance:
             break
     else:
         raise ValueError("goal model: no convergence")
-    model = GoalModel(tuple(teams), tuple(theta[:n]), tuple(theta[n : 2 * n]), float(theta[-2]), float(theta[-1]), 0.0, xi, cutoff)
+    model = GoalModel(tuple(teams), tuple(theta[:n].tolist()), tuple(theta[n : 2 * n].tolist()), float(theta[-2]), float(theta[-1]), 0.0, xi, cutoff)
     return GoalModel(**{**model.__dict__, "rho": best_rho(weighted, model)})
 
 

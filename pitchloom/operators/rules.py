@@ -48,10 +48,11 @@ def cascade(matches: DataFrame, by: list[str], conduct: DataFrame | None = None,
     the matches among themselves, again and again while that separates (``rounds`` times, enough for rounds + 1 teams); then by conduct
     score, then by ranking editions from the newest on. conduct: team_id, conduct; editions: team_id, places (array, newest first).
     """
+    matches = matches.select(*by, "home_team_id", "away_team_id", "home_score", "away_score").persist()  # read once for each round
     table = standings(matches, by)
     first = [F.desc("points"), F.desc("goal_difference"), F.desc("goals_for")]
     whole = Window.partitionBy(*by)
-    now = table.withColumn("block", F.rank().over(whole.orderBy(*(first if overall_first else first[:1]))))
+    now = table.withColumn("block", F.rank().over(whole.orderBy(*(first if overall_first else first[:1])))).persist()
 
     def split(df, *order):
         """Blocks refined: the number of a block is the place of its first team."""
@@ -60,7 +61,7 @@ def cascade(matches: DataFrame, by: list[str], conduct: DataFrame | None = None,
 
     for _ in range(rounds):
         mini = head_to_head(matches, now.select(*by, "team_id", "block"), by)
-        now = split(now.join(mini, [*by, "team_id"], "left"), F.desc("h_points"), F.desc("h_difference"), F.desc("h_goals")).drop("h_points", "h_difference", "h_goals")
+        now = split(now.join(mini, [*by, "team_id"], "left"), F.desc("h_points"), F.desc("h_difference"), F.desc("h_goals")).drop("h_points", "h_difference", "h_goals").persist()
     if not overall_first:
         now = split(now, *first)
     if conduct is not None:
