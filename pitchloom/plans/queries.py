@@ -422,7 +422,7 @@ def repeated_pairs(spark, sf_dir):
 
 @query("""SELECT 'scores' AS rule, count(*) FILTER (home_score > 3) AS rows FROM m UNION ALL SELECT 'regions', count(*) FILTER (neutral) FROM m
 UNION ALL SELECT 'after_extra_time is not null', 0 UNION ALL SELECT 'home_score is not null', 0 UNION ALL SELECT 'match_id is not null', 0 UNION ALL SELECT 'neutral is not null', 0
-UNION ALL SELECT 'unique match_id', 0 UNION ALL SELECT 'unique home_score, neutral', (SELECT count(*) FROM m)""")
+UNION ALL SELECT 'unique match_id', 0 UNION ALL SELECT 'unique home_score, neutral', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM m GROUP BY home_score, neutral HAVING count(*) > 1)""")
 def contract_report(spark, sf_dir):
     spec = contracts.Contract({"match_id": "string", "home_score": "int", "neutral": "boolean", "after_extra_time": "boolean"}, frozenset(), {"scores": "home_score <= 3", "regions": "not neutral"}, (("match_id",), ("home_score", "neutral")))
     df = scans.matches(spark, sf_dir)
