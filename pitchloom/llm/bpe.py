@@ -26,6 +26,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pitchloom.llm.common import bounded_batches, release
+
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of text, and words, whose ids a worker remembers at most (the memory is emptied then; results don't depend on it).
 MEMORY = 400_000
@@ -83,7 +85,7 @@ class Bpe:
         if any(max(made.get(a, -1), made.get(b, -1)) >= i for i, (a, b) in enumerate(merges)):
             raise ValueError("a merge precedes the merges of its parts: not a trained BPE vocabulary")
         self.chunks: dict[str, tuple[str, int, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[str, int, str]] = {}
 
     @staticmethod
     def _reach(tokens: dict[str, int]) -> dict[str, int]:
@@ -202,10 +204,16 @@ class Bpe:
             return unicodedata.normalize("NFC", text).lower()
         return self.library.normalizer.normalize_str(text)
 
+    def _lettered(self, word: str) -> str:
+        return "".join(map(self.letters.__getitem__, word.encode()))
+
     def _cut(self, chunk: str) -> list[str]:
         """Words of a chunk in byte letters."""
         if max(chunk) < LATIN:
-            return ["".join(map(self.letters.__getitem__, w.encode())) for w in self.word_re.findall(chunk)]
+            words = self.word_re.findall(chunk)
+            if len(words) == 1 and chunk.isascii() and chunk.isprintable() and len(words[0]) == len(chunk):
+                return [chunk]  # printable ASCII is its own byte letters
+            return [self._lettered(w) for w in words]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def _learn(self, chunks: set[str]) -> None:
@@ -214,10 +222,11 @@ class Bpe:
         if len(self.words) + len(fresh) > MEMORY:
             self.words = {}
             fresh = {w for words in cut.values() for w in words}
-        self.words |= self.encode_words(list(fresh))
+        for w, ids in self.encode_words(list(fresh)).items():
+            self.words[w] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
         for c, words in cut.items():
-            found = self.words[words[0]] if len(words) == 1 else [i for w in words for i in self.words[w]]
-            self.chunks[c] = (" ".join(map(str, found)), len(found), self.decode(found))
+            found = [self.words[w] for w in words]
+            self.chunks[c] = found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found]))
 
     def _split(self, text: str) -> list[str]:
         return [c for c in self.space_re.split(text) if c] if any(s in text for s in SEPARATORS) else text.split()
@@ -282,5 +291,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
                 columns = [*part.columns[: len(keep)], *([pa.array([c[0] for c in coded], pa.string())] if ids else [])]
                 columns += [pa.array([c[1] for c in coded], pa.int64()), pa.array([sha(c[0]) for c in coded]), pa.array([sha(c[2]) for c in coded])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Lists of ids up to this many rows (16 MB of longs) may be broadcast; longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Rows that go to a Python worker at once, at most: texts can be long, and both sides hold a batch.
+BATCH_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +48,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's Arrow batches to BATCH_ROWS rows where they are larger; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def utf8(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of an Arrow column in UTF-8, one at a time."""
+    return (x.as_py() for x in column.cast(pa.binary()))
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lower_az(column):
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, LOWER)

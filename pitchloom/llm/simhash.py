@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchloom.llm.common import materialize, shared_dir
+from pitchloom.llm.common import bounded_batches, materialize, release, shared_dir, utf8
 
 RADIUS = 2
 SHINGLE = 3
@@ -72,12 +72,12 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
-            prints = np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)
+            prints = np.array([fingerprint(x) for x in utf8(batch.column(batch.num_columns - 1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], names=names)
+        release()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names[:-1])
-    return docs.select(*names[:-1], docs["text"].alias("__text")).mapInArrow(run, f"{fields}, fp long")
+    return bounded_batches(docs).select(*names[:-1], docs["text"].alias("__text")).mapInArrow(run, f"{fields}, fp long")
 
 
 def links(nodes: DataFrame) -> DataFrame:

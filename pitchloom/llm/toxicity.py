@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchloom.llm.common import bounded_batches, release, utf8
+
 FOLDS = 5
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 6_000
@@ -162,10 +164,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches):
         for batch in batches:
-            found = [features(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([np.array(sorted(f), "<i4").tobytes() for f in found], pa.binary())], names=["positive", "words"])
+            found = [np.array(sorted(features(t)), "<i4").tobytes() for t in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["positive", "words"])
+        release()
 
-    rows = unlabelled.unionByName(confirmed).mapInArrow(run, "positive boolean, words binary").collect()  # bounded by the two sizes
+    rows = bounded_batches(unlabelled.unionByName(confirmed)).mapInArrow(run, "positive boolean, words binary").collect()  # bounded by the two sizes
     sets: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for side, packed in sorted({(r["positive"], bytes(r["words"])) for r in rows}):
         sets[side].append(np.frombuffer(packed, "<i4"))
@@ -176,13 +179,13 @@ def scorer(model: Model):
     """A function of texts (UTF-8) that gives their scores; it remembers the words it has met."""
     weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
     carrying = {f - f % LEVELS for f in weights}
-    memory: dict[bytes, list[int]] = {}  # the traits of a word that carry weight
+    memory: dict[bytes, tuple[int, ...]] = {}  # the traits of a word that carry weight
 
     def known(word):
         if word not in memory:
             if len(memory) >= 300_000:
                 memory.clear()
-            memory[word] = [t for t in traits(word) if t in carrying]
+            memory[word] = tuple([t for t in traits(word) if t in carrying])
         return memory[word]
 
     def run(texts):
@@ -198,11 +201,12 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     def run(batches):
         of = scorer(model)
         for batch in batches:
-            scores = of(batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())
+            scores = of(utf8(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*keep, "score"])
+        release()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, f"{fields}, score double")
+    return bounded_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, f"{fields}, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -211,10 +215,11 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     def run(batches):
         of = scorer(model)
         for batch in batches:
-            scores = of(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist())
+            scores = of(utf8(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array(scores < threshold))
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
