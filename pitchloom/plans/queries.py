@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchloom.functions import columns as C
-from pitchloom.operators import contracts, goals, identity, market, matches, ratings, rules, scoring
+from pitchloom.operators import challenger, contracts, goals, identity, market, matches, ratings, rules, scoring
 from pitchloom.sources import scans
 
 QUERIES: dict = {}
@@ -482,6 +482,36 @@ def ordered_logit_predictions(spark, sf_dir):
     return rated.where("year(date) = 2000").select("match_id", "outcome", *[x.alias(n) for x, n in zip(p, scoring.P, strict=True)])
 
 
+@query("""SELECT i / 10.0 AS weight, avg(-ln(least(greatest(i / 10.0 * (1 / 3.0) + (1 - i / 10.0) * CASE outcome WHEN 0 THEN p_home WHEN 1 THEN p_draw ELSE p_away END, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) AS log_loss
+FROM preds, range(0, 11) r(i) GROUP BY 1""")
+def ensemble_mix(spark, sf_dir):
+    p = predictions(scans.matches(spark, sf_dir))
+    return challenger.mix_losses(p.withColumns({f"q{c[1:]}": F.lit(1 / 3.0) for c in scoring.P}))
+
+
+@query()
+def validation_report(spark, sf_dir):
+    """Two yearly holdouts, three models."""
+    from pitchloom.plans import validation
+
+    holdouts = [validation.Holdout(str(y), y, "k_factor = 60", f"{y}-01-01") for y in (1999, 2000)]
+    return validation.report(scans.matches(spark, sf_dir), holdouts, 0.00095)
+
+
+@query()
+def challenger_forecasts(spark, sf_dir):
+    from pitchloom.plans import validation
+
+    return validation.compare(scans.matches(spark, sf_dir), validation.Holdout("2000", 2000, "k_factor = 60", "2000-01-01"), 0.00095, "logistic")
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP)) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_counts(spark, sf_dir):
+    from pitchloom.streaming import live
+
+    return live.event_counts(scans.parquet(spark, sf_dir, "events"))
+
+
 @query()
 def tournament(spark, sf_dir):
     """10 000 tournaments of the synthetic world; it has no input table."""
