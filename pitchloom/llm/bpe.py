@@ -10,7 +10,7 @@ merge joins their facing edges, in whole or in part, before the merges that buil
 
 The vocabulary file is a parameter (a tokenizers JSON: NFC, white space to one space, lower case, a split pattern, bytes
 as letters, a suffix at the last letter of a word). Strings of special tokens in a text become
-their ids, as the tokenizers library does. Workers keep the words they have met, up to ``MEMORY`` of them.
+their ids, as the tokenizers library does. Workers keep the words they have met, up to ``memory`` (else ``MEMORY``) of them.
 
 Nulls and empty texts have no tokens and decode to the empty text. Rows with null or repeated ids give one result row each; an
 empty table gives an empty one; further columns are ignored.
@@ -30,6 +30,7 @@ from pitchloom.llm.common import bounded_batches, release
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of text, and words, whose ids a worker remembers at most (the memory is emptied then; results don't depend on it).
+#: 400 000 take some 350 MB; a smaller memory costs up to a fifth more time.
 MEMORY = 400_000
 #: Texts that share one trie.
 TEXTS = 1_000
@@ -51,10 +52,11 @@ def byte_letters() -> dict[int, str]:
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int | None = None):
         import regex
         from tokenizers import Tokenizer
 
+        self.memory = memory or MEMORY
         self.library = Tokenizer.from_file(path)  # its normalizer and pre-tokenizer only
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -219,7 +221,7 @@ class Bpe:
     def _learn(self, chunks: set[str]) -> None:
         cut = {c: self._cut(c) for c in chunks}
         fresh = {w for words in cut.values() for w in words if w not in self.words}
-        if len(self.words) + len(fresh) > MEMORY:
+        if len(self.words) + len(fresh) > self.memory:
             self.words = {}
             fresh = {w for words in cut.values() for w in words}
         for w, ids in self.encode_words(list(fresh)).items():
@@ -250,7 +252,7 @@ class Bpe:
         here = set().union(*cut)
         fresh = {c for c in here if c not in self.chunks}
         if fresh:
-            if len(self.chunks) + len(fresh) > MEMORY:
+            if len(self.chunks) + len(fresh) > self.memory:
                 self.chunks = {c: self.chunks[c] for c in here - fresh}
             special = {c for c in fresh if isinstance(c, int)}
             self._learn(fresh - special)
@@ -270,19 +272,19 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def coder(path: str) -> Bpe:
-    """One coder for each worker process and file."""
-    return Bpe(path)
+def coder(path: str, memory: int | None = None) -> Bpe:
+    """One coder for each worker process, file and size of memory."""
+    return Bpe(path, memory)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True, memory: int | None = None) -> DataFrame:
     """The columns of ``keep``, with ids (string of decimals, if asked for), n_tokens, ids_sha256 and decoded_sha256 of each text."""
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(["ids string"] if ids else []), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
     names = [*keep, *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        bpe = coder(vocabulary)
+        bpe = coder(vocabulary, memory)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
