@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pitchloom.llm import bpe, decontaminate, pii, simhash, toxicity
 from pitchloom.llm.common import materialize, table, text_key, without_rows
 
+#: Words that the last stage's workers remember: they share their machine with what the stages before left in its heap.
+BPE_MEMORY = 100_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -54,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str |
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(bpe.VOCABULARY)
-    return bpe.encode_decode(docs, vocabulary, keep=tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns))
+    return bpe.encode_decode(docs, vocabulary, keep=tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns), memory=BPE_MEMORY)
 
 
 STAGES = [
