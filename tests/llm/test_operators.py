@@ -546,13 +546,15 @@ def test_registry_names():
     assert numbers == list(range(1, 11)) and "pipeline" in Q.QUERIES
 
 
-def test_top_k_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
 
     connection = duckdb.connect()
-    connection.sql(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
-    want = connection.sql(Q.ORACLE_SQL["op6_topk"])
-    got = Q.QUERIES["op6_topk"](spark, sf_dir).select(*want.columns).collect()
+    for t in ("documents", "benchmark", "embeddings", "pages"):
+        connection.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = connection.sql(Q.ORACLE_SQL[name])
+    df = Q.QUERIES[name](spark, sf_dir)
+    assert sorted(df.columns) == sorted(want.columns)
+    got = df.select(*want.columns).collect()
     same(got, want.fetchall())
-
-
