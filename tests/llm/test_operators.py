@@ -134,9 +134,11 @@ def test_bpe_equals_library(coder, library, texts):
 
 
 def test_bpe_memory_does_not_change_results(coder, library, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY", 5)
+    monkeypatch.setattr(coder, "memory", 5)
     monkeypatch.setattr(bpe, "PAIRS", 3)
-    check_coding(coder, library, ["the quick brown fox jumps", "over the lazy dog again", "the dog"])
+    for texts in (["the quick brown fox jumps", "over the lazy dog again", "the dog"], ["the quick dog's don't", "again"], ["the lazy fox"]):
+        check_coding(coder, library, texts)
+    assert len(coder.chunks) <= 6
 
 
 def test_bpe_compatibility_equals_replay(coder):
