@@ -1,8 +1,9 @@
 """A corpus pipeline: five stages over documents, each one operator over all rows that its predecessor kept.
 
 toxicity     documents that the classifier rejects (score of 0.5 or more) go
-near_dedup   one document of each SimHash class stays, the one of the smallest doc_id; of rows that repeat a doc_id one
-             stays; rows without a doc_id go only if their class has one
+near_dedup   one document of each class of near copies (five-word shingles, Jaccard similarity of 0.8 or more) stays, the
+             one of the smallest doc_id; of rows that repeat a doc_id one stays; rows without a doc_id go only if their
+             class has one
 decontaminate  documents that hold a benchmark window go
 pii          personal data in text is replaced by its kind in brackets; n_chars follows
 bpe          token ids of each text, their number, and the digest of the decoded text
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchloom.llm import bpe, decontaminate, pii, simhash, toxicity
+from pitchloom.llm import bpe, copies, decontaminate, pii, toxicity
 from pitchloom.llm.common import materialize, table, text_key, without_rows
 
 #: Words that the last stage's workers remember: they share their machine with what the stages before left in its heap.
@@ -29,9 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = materialize(simhash.near_duplicates(docs.select("doc_id", "text", text_key().alias("__key")), ("__key",)), "classes")
-    copies = classes.where("component_id is not null and not (doc_id <=> component_id)")
-    kept = without_rows(docs, copies)
+    classes = materialize(copies.classes(docs.select("doc_id", "text", text_key().alias("__key")), ("__key",)), "classes")
+    gone = classes.where("component_id is not null and not (doc_id <=> component_id)")
+    kept = without_rows(docs, gone)
     again = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
