@@ -2,8 +2,7 @@
 
 toxicity     documents that the classifier rejects (score of 0.5 or more) go
 near_dedup   one document of each class of near copies (five-word shingles, Jaccard similarity of 0.8 or more) stays, the
-             one of the smallest doc_id; of rows that repeat a doc_id one stays; rows without a doc_id go only if their
-             class has one
+             one of the smallest doc_id (rows without one come last); of rows that repeat its doc_id one stays, the least
 decontaminate  documents that hold a benchmark window go
 pii          personal data in text is replaced by its kind in brackets; n_chars follows
 bpe          token ids of each text, their number, and the digest of the decoded text
@@ -31,14 +30,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = materialize(copies.classes(docs.select("doc_id", "text", text_key().alias("__key")), ("__key",)), "classes")
-    gone = classes.where("component_id is not null and not (doc_id <=> component_id)")
-    kept = without_rows(docs, gone)
-    again = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__key"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__key") == F.col("first.__key"))
+    marked = classes.join(classes.groupBy("class").agg(first.alias("first")).hint("merge"), "class").select("doc_id", "__key", stays.alias("stays"))
+    kept = without_rows(docs, marked.where("not stays").distinct())
+    again = materialize(marked.where("stays").groupBy("doc_id", "__key").count().where("count > 1").select("doc_id", "__key"), "again")
     if again.isEmpty():
         return kept
-    again = materialize(again.select(F.col("doc_id").alias("__again")), "again")
-    repeated = kept["doc_id"] == again["__again"]
-    return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    found = again.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__hash"))
+    repeated = kept.join(found, kept["doc_id"].eqNullSafe(found["__id"]) & (text_key() == found["__hash"]), "left_semi")
+    ordered = F.struct(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    one = repeated.groupBy("doc_id", text_key().alias("__key")).agg(F.min_by(F.struct(*docs.columns), ordered).alias("row")).select("row.*")
+    return without_rows(kept, again).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

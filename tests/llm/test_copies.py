@@ -71,3 +71,14 @@ def test_stage_drops_edited_copies(spark, texts):
     want = {min(i for i, x in enumerate(brute_classes(texts)) if x == c) for c in set(brute_classes(texts))}
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_stage_keeps_one_row_of_each_class(spark):
+    """Repeated ids in different classes, repeated rows, and classes without any id."""
+    rows = [(5, "A", "x"), (5, "B", "x"), (7, "B", "x"), (5, "A", "w"), (None, "C", "z"), (None, "C", "y"), (None, "A", "x"), (None, None, "x"), (None, "", "x"), (8, "D", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    lone = [r for r in got if not r[1]]
+    assert len(lone) == 1
+    assert sorted(r for r in got if r[1] and r[0]) == [(5, "A", "w"), (5, "B", "x"), (8, "D", "x")]
+    assert [r for r in got if r[1] and r[0] is None] == [(None, "C", "y")]
