@@ -10,7 +10,8 @@ merge joins their facing edges, in whole or in part, before the merges that buil
 
 The vocabulary file is a parameter (a tokenizers JSON: NFC, white space to one space, lower case, a split pattern, bytes
 as letters, a suffix at the last letter of a word). Strings of special tokens in a text become
-their ids, as the tokenizers library does. Workers keep the words they have met, up to ``memory`` (else ``MEMORY``) of them.
+their ids, as the tokenizers library does. What a worker remembers of the chunks and words it has met is bounded in bytes
+(``MEMORY_BYTES``), texts are taken in groups of about ``TEXT_BYTES``, and a task that ends forgets all but the vocabulary.
 
 Nulls and empty texts have no tokens and decode to the empty text. Rows with null or repeated ids give one result row each; an
 empty table gives an empty one; further columns are ignored.
@@ -21,21 +22,24 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from pitchloom.llm.common import bounded_batches, release
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks of text, and words, whose ids a worker remembers at most (the memory is emptied then; results don't depend on it).
-#: 400 000 take some 350 MB; a smaller memory costs up to a fifth more time.
-MEMORY = 400_000
-#: Texts that share one trie.
-TEXTS = 1_000
-#: Pairs of tokens whose compatibility is remembered at most.
-PAIRS = 500_000
+#: Bytes that remembered chunks take at most, and words as well, beside those of the texts at hand (results don't depend on it).
+MEMORY_BYTES = 24 << 20
+#: About what an entry takes beside its letters: a key, a tuple, two strings and their places in a dictionary.
+ENTRY_BYTES = 300
+#: Letters of the texts that share one trie; a longer text is a group of its own.
+TEXT_BYTES = 1 << 20
+#: Pairs of tokens whose compatibility is remembered at most (about 80 bytes each).
+PAIRS = 200_000
 #: Letters below are classed and normalized here; texts and chunks with others by the library.
 LATIN = "\u0250"
 #: What str.split() takes as white space but Unicode's White_Space property does not.
@@ -49,14 +53,39 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class Memory:
+    """Entries in two generations: what was used since the last turn, and what was used between the last two.
+
+    A turn comes when the young ones take half of MEMORY_BYTES; the old ones that were not used again go.
+    """
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
+
+    def missing(self, keys: set) -> set:
+        """Those keys without an entry; the entries of the others become young."""
+        if self.held > MEMORY_BYTES // 2:
+            self.young, self.old, self.held = {}, self.young, 0
+        out = keys - self.young.keys()
+        for k in out & self.old.keys():
+            self.add(k, self.old[k])
+            out.discard(k)
+        return out
+
+    def add(self, key, entry: tuple[str, int, str]) -> None:
+        self.young[key] = entry
+        self.held += ENTRY_BYTES + len(entry[0]) + 2 * len(entry[2])
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, memory: int | None = None):
+    def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.memory = memory or MEMORY
         self.library = Tokenizer.from_file(path)  # its normalizer and pre-tokenizer only
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -77,7 +106,7 @@ class Bpe:
         self.final = {t[: -len(end)]: i for t, i in self.vocab.items() if t.endswith(end) and t != end}
         #: Length of the longest token that ends in two given letters.
         self.reach_inner, self.reach_final = self._reach(self.inner), self._reach(self.final)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by left << 32 | right
         self.alone: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[str, int, int]]] = {}
         self.halves: dict[str, tuple[str, str]] = {}
@@ -86,8 +115,11 @@ class Bpe:
         made = {"".join(m): i for i, m in reversed(list(enumerate(merges)))}
         if any(max(made.get(a, -1), made.get(b, -1)) >= i for i, (a, b) in enumerate(merges)):
             raise ValueError("a merge precedes the merges of its parts: not a trained BPE vocabulary")
-        self.chunks: dict[str, tuple[str, int, str]] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of chunks and words."""
+        self.chunks, self.words = Memory(), Memory()
 
     @staticmethod
     def _reach(tokens: dict[str, int]) -> dict[str, int]:
@@ -119,11 +151,13 @@ class Bpe:
         return self.alone[token]
 
     def _compatible(self, left: int, right: int) -> bool:
-        found = self.fits.get((left, right))
+        key = left << 32 | right
+        found = self.fits.get(key)
         if found is None:
             if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            found = self.fits[left, right] = self._whole(left) and self._whole(right) and not self._crossed(left, right)
+                self.edges.clear()
+            found = self.fits[key] = self._whole(left) and self._whole(right) and not self._crossed(left, right)
         return found
 
     def _edges(self, token: str, side: int) -> list[tuple[str, int, int]]:
@@ -160,7 +194,7 @@ class Bpe:
                 if not start:
                     good = self._whole(token)
                 else:
-                    good = fits.get((last[start - 1][0], token))
+                    good = fits.get(last[start - 1][0] << 32 | token)
                     if good is None:
                         good = self._compatible(last[start - 1][0], token)
                 if good:
@@ -220,15 +254,11 @@ class Bpe:
 
     def _learn(self, chunks: set[str]) -> None:
         cut = {c: self._cut(c) for c in chunks}
-        fresh = {w for words in cut.values() for w in words if w not in self.words}
-        if len(self.words) + len(fresh) > self.memory:
-            self.words = {}
-            fresh = {w for words in cut.values() for w in words}
-        for w, ids in self.encode_words(list(fresh)).items():
-            self.words[w] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        for w, ids in self.encode_words(list(self.words.missing({w for words in cut.values() for w in words}))).items():
+            self.words.add(w, (" ".join(map(str, ids)), len(ids), self.decode(ids)))
         for c, words in cut.items():
-            found = [self.words[w] for w in words]
-            self.chunks[c] = found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found]))
+            found = [self.words.young[w] for w in words]
+            self.chunks.add(c, found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found])))
 
     def _split(self, text: str) -> list[str]:
         return [c for c in self.space_re.split(text) if c] if any(s in text for s in SEPARATORS) else text.split()
@@ -249,17 +279,15 @@ class Bpe:
         All chunks of the batch that are not remembered are encoded together, over one trie.
         """
         cut = [self._parts(t or "") for t in texts]
-        here = set().union(*cut)
-        fresh = {c for c in here if c not in self.chunks}
-        if fresh:
-            if len(self.chunks) + len(fresh) > self.memory:
-                self.chunks = {c: self.chunks[c] for c in here - fresh}
-            special = {c for c in fresh if isinstance(c, int)}
-            self._learn(fresh - special)
-            self.chunks |= {c: (str(c), 1, self.decode([c])) for c in special}
+        fresh = self.chunks.missing(set().union(*cut))
+        special = {c for c in fresh if isinstance(c, int)}
+        self._learn(fresh - special)
+        for c in special:
+            self.chunks.add(c, (str(c), 1, self.decode([c])))
+        young = self.chunks.young
         out = []
         for parts in cut:
-            found = list(map(self.chunks.__getitem__, parts))
+            found = list(map(young.__getitem__, parts))
             out.append((" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found])))
         return out
 
@@ -271,28 +299,43 @@ class Bpe:
         return " ".join([self.text_of[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
-def coder(path: str, memory: int | None = None) -> Bpe:
-    """One coder for each worker process, file and size of memory."""
-    return Bpe(path, memory)
+@lru_cache(maxsize=1)
+def coder(path: str) -> Bpe:
+    """One coder for each worker process: the vocabulary stays between tasks."""
+    return Bpe(path)
+
+
+def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts that hold about TEXT_BYTES together, or are a single longer text."""
+    sizes = texts.cast(pa.binary()).fill_null(b"")
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(sizes).to_pylist()):
+        if i > start and held + n > TEXT_BYTES:
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if len(texts) > start:
+        yield start, len(texts) - start
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True, memory: int | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """The columns of ``keep``, with ids (string of decimals, if asked for), n_tokens, ids_sha256 and decoded_sha256 of each text."""
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(["ids string"] if ids else []), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
     names = [*keep, *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        bpe = coder(vocabulary, memory)
+        bpe = coder(vocabulary)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for at, n in groups(batch.column(batch.num_columns - 1)):
+                part = batch.slice(at, n)
                 coded = bpe.encode_batch(part.column(part.num_columns - 1).to_pylist())
                 columns = [*part.columns[: len(keep)], *([pa.array([c[0] for c in coded], pa.string())] if ids else [])]
                 columns += [pa.array([c[1] for c in coded], pa.int64()), pa.array([sha(c[0]) for c in coded]), pa.array([sha(c[2]) for c in coded])]
+                del coded
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()
         release()
 
     return bounded_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
