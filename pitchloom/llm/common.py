@@ -17,15 +17,22 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Lists of ids up to this many rows (16 MB of longs) may be broadcast; longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
+#: A key is hot if it has more than one row of so many, and more than HOT_ROWS rows: there are fewer than HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 500, 100
 #: Rows that go to a Python worker at once, at most: texts can be long, and both sides hold a batch.
 BATCH_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process.
+
+    On a cluster a folder of our own would be a different one on each machine, so an unset one raises there.
+    """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pitchloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
@@ -68,6 +75,25 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
+def look_up(big: DataFrame, small: DataFrame, on: str, value: str, spread: str, total: int | None = None) -> DataFrame:
+    """big with the column ``value`` of small (columns on, value and n, the rows that big has for the key), null where it has none.
+
+    Hot keys are broadcast, fewer than HOT_SHARE rows by their definition; their rows are dealt by a hash of ``spread``,
+    so no task gathers a hot key. The other keys meet in a shuffle join. total is the number of rows of big, or more, if known.
+    """
+    small = small.select(F.col(on).alias("__on"), F.col(value).alias("__value"), "n")
+    if total is None:
+        small = materialize(small, "keys")
+        total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = (F.col("n") * HOT_SHARE > total) & (F.col("n") > HOT_ROWS)
+    hot = F.broadcast(small.where(is_hot).select("__on", F.struct("__value").alias("__hot")))
+    cold = small.where(~is_hot).select("__on", F.lit(0).alias("__plain"), F.col("__value").alias("__cold"))
+    marked = big.join(hot, F.col(on) == F.col("__on"), "left").drop("__on")
+    marked = marked.withColumn("__salt", F.when(F.col("__hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(1000))).otherwise(0).cast("int"))
+    found = marked.join(cold.hint("merge"), (F.col(on) == F.col("__on")) & (F.col("__salt") == F.col("__plain")), "left")
+    return found.select(*big.columns, F.coalesce("__hot.__value", "__cold").alias(value))
+
+
 def lower_az(column):
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, LOWER)

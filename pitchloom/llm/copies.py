@@ -5,8 +5,8 @@ No pair is missed: in any one order of all shingles, two sets of similarity t sh
 the first n - ceil(t n) + 1 of each (prefix filter). The order puts shingles that a sample of the texts finds common last,
 so that buckets stay small; results don't depend on the sample.
 
-Members of a bucket are first checked against its smallest one, which links large groups of copies without pairs.
-Then those pairs of a bucket are checked whose sets are not yet in one class; sizes, places in the order and the number of
+First come the pairs that SimHash finds (the covering masks of ``simhash`` over fingerprints of the same shingles), each text with the
+smallest of its class there, and the members of a bucket with its smallest one: both link large groups of copies without pairs. Then those pairs of a bucket are checked whose sets are not yet in one class; sizes, places in the order and the number of
 shared shingles rule most out before texts are read.
 
 Nulls and empty texts have the empty set and are one class. Rows with a null doc_id join the class of their text.
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchloom.llm.common import BROADCAST_IDS, bounded_batches, materialize, release, text_key, utf8
+from pitchloom.llm import simhash
+from pitchloom.llm.common import BROADCAST_IDS, bounded_batches, look_up, materialize, release, text_key, utf8
 from pitchloom.llm.simhash import SEED, connected
 
 SHINGLE = 5
@@ -86,27 +87,28 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """doc_id, the columns of keep, __tk (text_key), node (a hash of the set), n (its size) and prefix, for each row."""
+    """doc_id, the columns of keep, __tk (text_key), node (a hash of the set), n (its size), fp (its SimHash) and prefix, for each row."""
     common, counts = common_shingles(docs)
     keyed = docs.select("doc_id", *keep, text_key().alias("__tk"), F.col("text").alias("__text"))
-    names = [*keyed.columns[:-1], "node", "n", "prefix"]
+    names = [*keyed.columns[:-1], "node", "n", "fp", "prefix"]
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, prints, firsts = [], [], [], []
             for text in utf8(batch.column(batch.num_columns - 1)):
                 found = shingles(text)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0)
                 sizes.append(len(found))
+                prints.append(simhash.majority(found.view(np.uint64)))
                 firsts.append(prefix(found, common, counts))
             nodes = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes, pa.array(sizes, pa.int32()), _lists(firsts)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes, pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(firsts)], names=names)
         release()
 
-    fields = ", ".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in names[:-3])
-    return bounded_batches(keyed).mapInArrow(run, f"{fields}, node long, n int, prefix array<long>")
+    fields = ", ".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in names[:-4])
+    return bounded_batches(keyed).mapInArrow(run, f"{fields}, node long, n int, fp long, prefix array<long>")
 
 
 def _possible(pairs: DataFrame) -> DataFrame:
@@ -141,12 +143,19 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, root) of every node that is similar to another, directly or through others. prints is prefixes(docs)."""
     bucket = Window.partitionBy("g")
     nodes = prints.groupBy("node").agg(F.min("__tk").alias("__tk"))
+    hashed = materialize(prints.select("node", "fp").distinct(), "hashed")
+    of_print = connected(simhash.links(hashed.select("fp").distinct()))
+    placed = hashed.join(of_print.withColumnsRenamed({"node": "fp", "root": "print"}).hint("merge"), "fp", "left").select("node", F.coalesce("print", "fp").alias("print"))
+    placed = materialize(placed, "placed")
+    firsts = placed.groupBy("print").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    close = look_up(placed, firsts, "print", "v", "node").where("node > v").selectExpr("node u", "v")
+
     rows = prints.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("at", "g"))
     first = F.min(F.struct("node", "n", "at")).over(bucket)
     members = materialize(rows.withColumn("c", first).withColumn("last", F.max("node").over(bucket)).where("last > c.node").drop("last"), "members")
 
     stars = members.where("node > c.node").selectExpr("node u", "c.node v", "n un", "c.n vn", "at ua", "c.at va")
-    roots = materialize(connected(similar(_possible(stars), docs, nodes)), "roots")
+    roots = materialize(connected(similar(_possible(stars).union(close).distinct(), docs, nodes)), "roots")
 
     rest = members.drop("c").join(roots.hint("merge"), "node", "left").select("g", "node", "n", "at", F.coalesce("root", "node").alias("class"))
     rest = rest.withColumn("low", F.min("class").over(bucket)).withColumn("high", F.max("class").over(bucket)).where("low < high")
@@ -163,8 +172,10 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of keep, class (of its near copies) and component_id (the smallest doc_id in it) of every row."""
     prints = materialize(prefixes(docs, keep), "prefixes")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
-    rooted = nodes.join(links(docs, prints).hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("class"))
-    ids = rooted.groupBy("class").agg(F.min("first").alias("component_id"))
-    rooted = rooted.join(ids.hint("merge"), "class").select("node", "class", "component_id")
-    return prints.select("doc_id", *keep, "node").join(rooted.hint("merge"), "node").select("doc_id", *keep, "class", "component_id")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    rooted = nodes.join(links(docs, prints).hint("merge"), "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("class"))
+    rooted = materialize(rooted, "rooted")
+    ids = rooted.groupBy("class").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    rooted = look_up(rooted, ids, "class", "component_id", "node").select("node", F.struct("class", "component_id").alias("found"), "n")
+    rows = prints.select("doc_id", *keep, "node").withColumn("__row", F.monotonically_increasing_id())
+    return look_up(rows, rooted, "node", "found", "__row").select("doc_id", *keep, "found.class", "found.component_id")

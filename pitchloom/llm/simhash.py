@@ -11,6 +11,9 @@ at distance at most 1 (flips of the bits which the colliding masks leave free);
 within distance 2 iff they share such a centre, and a centre has at most 65 distinct fingerprints. Links go from
 each member to the smallest one of its centre, which keeps connectivity.
 
+Components come from star contraction; the neighbours of a hub, and the copies of a frequent text, are spread over tasks
+(``common.look_up``), so a group of any size is never gathered.
+
 Nulls and empty texts have no words and fingerprint zero. Rows with a null doc_id keep a fingerprint and
 join the class of their fingerprint; a class with no doc_id at all has a null component_id. Repeated rows
 stay repeated. An empty table gives an empty result. Further columns are ignored.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchloom.llm.common import bounded_batches, materialize, release, shared_dir, utf8
+from pitchloom.llm.common import bounded_batches, look_up, materialize, release, shared_dir, utf8
 
 RADIUS = 2
 SHINGLE = 3
@@ -59,20 +62,25 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if shingle > 1 else words
     n = len(words) - shingle + 1
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8", count=n)
-    ones = np.zeros(BITS, np.int64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the unsigned hashes."""
+    n, ones = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, BLOCK):
-        part = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)
+        part = np.ascontiguousarray(hashes[at : at + BLOCK]).view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """doc_id, the columns of ``keep`` and fp, the fingerprint as a signed long, for each row."""
     names = ["doc_id", *keep, "fp"]
 
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(x) for x in utf8(batch.column(batch.num_columns - 1))], dtype=np.uint64).view(np.int64)
+            prints = np.array([fingerprint(x, shingle) for x in utf8(batch.column(batch.num_columns - 1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], names=names)
         release()
 
@@ -105,11 +113,11 @@ def connected(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = moved.unionByName(least.withColumnRenamed("m", "v")).distinct().checkpoint()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        edges = look_up(both, least, "u", "m", "v", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = look_up(edges, least, "u", "m", "v", 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         after = mark(edges)
         if after == before:
             break
@@ -120,9 +128,10 @@ def connected(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``keep``, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row."""
     prints = materialize(fingerprints(docs, keep), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = connected(links(nodes.select("fp")))
-    rooted = nodes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(ids.hint("merge"), "root").select("fp", "component_id")
-    return prints.join(classes.hint("merge"), "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = nodes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    classes = look_up(rooted, ids, "root", "component_id", "fp").select("fp", "component_id", "n")
+    return look_up(prints.withColumn("__row", F.monotonically_increasing_id()), classes, "fp", "component_id", "__row").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
