@@ -536,6 +536,25 @@ def test_pii(spark):
     assert [x for x in got[2].spans.split(",") if x.startswith("iban")] == ["iban:5:32"]
 
 
+def test_context_decides(spark):
+    rows = [
+        (1, "GB82WEST12345698765432 AND MORE"), (2, "ES91 2100 0418 4502 0005 1332 MORE"), (3, "our account 123456789, order 123456789"),
+        (4, "SSN 123-45-6789 but part " + "x" * 40 + " 123-45-6789"), (5, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (6, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962"),
+        (7, "write to a@b.cd"), (8, "a@b.cd"),
+    ]
+    got = {r.doc_id: (r.spans, r.scores, r.n_other) for r in pii.pii_digest(documents(spark, rows)).collect()}
+    assert got == {
+        1: ("iban:0:22", "0.60", 1), 2: ("iban:0:29", "0.60", 1), 3: ("account:12:21,account:29:38", "0.55,0.55", 2), 4: ("ssn:4:15", "0.65", 1),
+        5: ("secret:9:49", "0.55", 1), 6: ("", "", 0), 7: ("email:9:15", "1.05", 0), 8: ("email:0:6", "0.80", 0),
+    }
+
+
+def test_many_matches(spark):
+    text = "x@y.zz 10.0.0.1 " * 400
+    r = pii.pii_digest(documents(spark, [(1, text)])).first()
+    assert (r.n_email, r.n_ip) == (400, 400) and r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_pii(text)))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="a1@.+- ()%é25", max_size=60), min_size=30, max_size=30))
 def test_pii_on_random_texts(spark, texts):
