@@ -10,8 +10,8 @@ A word or beginning is a trait; its presence, and its repetition where it is den
 a log-likelihood ratio of ``SCREEN`` at least, and if prior * P(feature | positive) / P(feature | unlabelled), the share of
 toxic texts among those with the feature, is ``POSTERIOR`` at least; the rest only adds noise to long texts. Exact copies count once in the sample.
 
-The sample is bounded: at most about ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled texts, taken by a hash of
-doc_id from the whole training part. Everything else is over all rows: each whole text is scored.
+The sample is bounded: at most about 1.25 * ``MAX_POSITIVE`` positives and 1.25 * ``MAX_UNLABELLED`` unlabelled texts, taken by a hash of
+the text from the whole training part, however often ids or texts repeat. Everything else is over all rows: each whole text is scored.
 
 Training rows are those whose crc32(doc_id as text) mod 5 is not 0; labels, lang, source and doc_id are never
 inputs of a score. Nulls and empty texts have no words and get the score of the bias. A null doc_id counts as held
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchloom.llm.common import bounded_batches, release, utf8
+from pitchloom.llm.common import BROADCAST_IDS, bounded_batches, materialize, release, utf8
 
 FOLDS = 5
 MAX_POSITIVE = 2_000
@@ -151,16 +151,27 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the bounded sample of the training part."""
+    """Fit on the bounded sample of the training part.
+
+    The sample is taken by a hash of the text and copies go in Spark, so it is bounded however often an id or a text repeats: a side with more
+    texts than its bound after a first cut is cut again by the share that is too much.
+    """
     marked = labels.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
     n, n_toxic = marked.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0))).first()
-    n_docs = docs.where(fold(F.col("doc_id")) != 0).count()
-    share = lambda most, count: F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(count, 1)))
-    chosen = marked.where((F.col("toxic") == 1) & share(MAX_POSITIVE, n_toxic)).select("doc_id", F.lit(True).alias("positive"))
-    toxic = marked.where(F.col("toxic") == 1).select("doc_id", F.lit(1).alias("any"))
-    candidates = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0)
-    unlabelled = candidates.where(share(MAX_UNLABELLED, n_docs)).join(toxic, "doc_id", "left_anti").select("text", F.lit(False).alias("positive"))
-    confirmed = candidates.join(F.broadcast(chosen), "doc_id").select("text", "positive")  # at most about MAX_POSITIVE ids
+    training = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0)
+    n_docs = training.count()
+    part = lambda most, count: F.pmod(F.xxhash64("text", F.lit("toxicity")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(count, 1)))
+    toxic = materialize(marked.where("toxic = 1").select("doc_id"), "toxic")
+    toxic = F.broadcast(toxic) if n_toxic <= BROADCAST_IDS else toxic
+    unlabelled = training.where(part(MAX_UNLABELLED, n_docs)).join(toxic, "doc_id", "left_anti").select("text", F.lit(False).alias("positive"))
+    confirmed = training.join(toxic, "doc_id", "left_semi").where(part(MAX_POSITIVE, n_toxic)).select("text", F.lit(True).alias("positive"))
+    texts = materialize(bounded_batches(unlabelled.unionByName(confirmed)).distinct(), "sample")
+    counts = {r["positive"]: r["count"] for r in texts.groupBy("positive").count().collect()}
+    again = F.pmod(F.xxhash64("text", F.lit("again")), F.lit(1 << 20))
+    within = F.lit(False)
+    for side, most in ((True, MAX_POSITIVE), (False, MAX_UNLABELLED)):
+        share = int((1 << 20) * min(1.0, 1.25 * most / max(counts.get(side, 0), 1)))
+        within = within | ((F.col("positive") == side) & (again < share))
 
     def run(batches):
         for batch in batches:
@@ -168,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["positive", "words"])
         release()
 
-    rows = bounded_batches(unlabelled.unionByName(confirmed)).mapInArrow(run, "positive boolean, words binary").collect()  # bounded by the two sizes
+    rows = texts.where(within).select("text", "positive").mapInArrow(run, "positive boolean, words binary").collect()  # bounded by the two sizes
     sets: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for side, packed in sorted({(r["positive"], bytes(r["words"])) for r in rows}):
         sets[side].append(np.frombuffer(packed, "<i4"))

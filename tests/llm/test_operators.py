@@ -314,6 +314,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(y == p for y, p in held) / len(held) > 0.97
 
 
+def test_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
+    """One confirmed id with many rows and texts: the sample stays near its bounds."""
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 40)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 60)
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: sizes.append((len(p), len(u))))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(ids[0], f"bad {name(i)}") for i in range(1500)] + [(ids[0], "same")] * 500 + [(ids[1 + i % 20], f"fine {name(i)}") for i in range(1500)]
+    toxicity.train(documents(spark, rows), spark.createDataFrame([(ids[0], 1, 1)], "doc_id long, quality int, toxic int"))
+    assert 20 <= sizes[0][0] <= 80 and 10 <= sizes[0][1] <= 120
+
+
 def test_toxicity_of_odd_rows(spark, texts):
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(documents(spark, texts), nothing).where("predicted = 0").count() == len(texts)
