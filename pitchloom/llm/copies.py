@@ -6,8 +6,10 @@ the first n - ceil(t n) + 1 of each (prefix filter). The order puts shingles tha
 so that buckets stay small; results don't depend on the sample.
 
 First come the pairs that SimHash finds (the covering masks of ``simhash`` over fingerprints of the same shingles), each text with the
-smallest of its class there, and the members of a bucket with its smallest one: both link large groups of copies without pairs. Then those pairs of a bucket are checked whose sets are not yet in one class; sizes, places in the order and the number of
-shared shingles rule most out before texts are read.
+smallest of its class there, and the members of a bucket with its smallest one: both link large groups of copies without pairs. Then
+buckets whose members are not yet in one class are checked whole: equal buckets once, a bucket needs a member whose shingle stands early
+enough to be the first that a similar pair shares, and a task counts the shared shingles of the members by a matrix product over
+blocks of at most about ``PART`` shingles. A task gives back no pairs but the links that unite classes, fewer than it has members.
 
 Nulls and empty texts have the empty set and are one class. Rows with a null doc_id join the class of their text.
 """
@@ -31,6 +33,9 @@ SIMILAR = (4, 5)
 #: One text of so many is in the sample; at most so many common shingles go to every task.
 SAMPLE = 64
 COMMON = 200_000
+#: Shingles of the members that are compared at once (8 bytes each); members with fewer than WIDE shared shingles go into one matrix.
+PART = 1 << 21
+WIDE = 4_096
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -123,15 +128,19 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return found.where((F.least("un", "vn") * of >= F.greatest("un", "vn") * least) & (overlap * (least + of) >= (F.col("un") + F.col("vn")) * least)).select("u", "v")
 
 
+def sets_of(named: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and h (its shingles) of the named nodes. nodes has the text_key (__tk) of one text of each node."""
+    needed = materialize(nodes.join(named.hint("merge"), "node", "left_semi"), "needed")
+    listed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed.hint("merge")
+    texts = docs.select(text_key().alias("__tk"), "text").join(listed, "__tk").select("node", "text").dropDuplicates(["node"])
+    return materialize(_sets(texts, ["node"]), "sets")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose sets are similar. nodes has the text_key (__tk) of one text of each node."""
     least, of = SIMILAR
     pairs = materialize(pairs, "pairs")
-    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    needed = materialize(nodes.join(named.hint("merge"), "node", "left_semi"), "needed")
-    listed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed.hint("merge")
-    texts = docs.select(text_key().alias("__tk"), "text").join(listed, "__tk").select("node", "text").dropDuplicates(["node"])
-    sets = materialize(_sets(texts, ["node"]), "sets")
+    sets = sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs, nodes)
     left = sets.select(F.col("node").alias("u"), F.col("h").alias("__a"))
     right = sets.select(F.col("node").alias("v"), F.col("h").alias("__b"))
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v")
@@ -139,6 +148,79 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(shared * (least + of) >= (F.size("__a") + F.size("__b")) * least).select("u", "v")
 
 
+def unions(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places of similar sets that unite the classes of all similar sets, as few as possible."""
+    least, of = SIMILAR
+    sizes, labels, out = np.array([len(x) for x in sets]), classes.copy(), []
+
+    def unite(i: int, places: np.ndarray) -> None:
+        for j in places:
+            if labels[j] != labels[i]:
+                out.append((i, int(j)))
+                labels[labels == labels[j]] = labels[i]
+
+    if len(sets) <= 8:
+        for i in range(len(sets)):
+            for j in range(i):
+                if labels[i] != labels[j] and min(sizes[i], sizes[j]) * of >= max(sizes[i], sizes[j]) * least:
+                    if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) * (least + of) >= (sizes[i] + sizes[j]) * least:
+                        unite(i, np.array([j]))
+        return out
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.flatnonzero(counts[place] > 1)
+    new = np.cumsum(counts > 1) - 1  # shared shingles, numbered
+    owner, place = owner[order], new[place[order]]
+    by_place = np.argsort(place, kind="stable")
+    owner, place = owner[by_place], place[by_place]
+    width = int(place[-1]) + 1 if len(place) else 0
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, width, WIDE):
+        a, b = np.searchsorted(place, [low, low + WIDE])
+        part = np.zeros((len(sets), min(WIDE, width - low)), np.float32)
+        part[owner[a:b], place[a:b] - low] = 1
+        shared += part @ part.T
+    for i in range(len(sets)):
+        unite(i, np.flatnonzero((shared[i] * (least + of) >= (sizes + sizes[i]) * least) & (labels != labels[i])))
+    return out
+
+
+def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) that unite the similar nodes of each group (members, node, n, class). nodes has the text_key (__tk) of one text of each node."""
+    whole = Window.partitionBy("members")
+    blocks = F.ceil(2 * F.sum("n").over(whole) / PART).cast("int")
+    cut = rest.select("members", "node", "class", blocks.alias("b")).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("b")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
+    dealt = materialize(cut.select("members", "node", "class", "own", other.alias("k")).select("members", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "class"), "blocks")
+    sets = sets_of(dealt.select("node").distinct(), docs, nodes)
+    rows = dealt.join(sets.hint("merge"), "node").select("members", "i", "j", "node", "class", "h").repartition("members", "i", "j").sortWithinPartitions("members", "i", "j", "node")
+
+    def run(batches):
+        now, held = None, []
+
+        def links_of():
+            ids, classes = [x[0] for x in held], np.array([x[1] for x in held], np.int64)
+            return [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in unions([x[2] for x in held], classes)]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            out = []
+            h = batch.column(5)
+            values, offsets = h.values.to_numpy(zero_copy_only=False), h.offsets.to_numpy()
+            for at, (m, i, j, node, c) in enumerate(zip(*(x.to_pylist() for x in batch.columns[:5]), strict=True)):
+                if (m, i, j) != now:
+                    out += links_of()
+                    now, held = (m, i, j), []
+                held.append((node, c, values[offsets[at] : offsets[at + 1]].copy()))
+            yield batch_of(out)
+        yield batch_of(links_of())
+        release()
+
+    return bounded_batches(rows).mapInArrow(run, "u long, v long").distinct()
+
+
 def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, root) of every node that is similar to another, directly or through others. prints is prefixes(docs)."""
     bucket = Window.partitionBy("g")
@@ -158,11 +240,11 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     roots = materialize(connected(similar(_possible(stars).union(close).distinct(), docs, nodes)), "roots")
 
     rest = members.drop("c").join(roots.hint("merge"), "node", "left").select("g", "node", "n", "at", F.coalesce("root", "node").alias("class"))
-    rest = rest.withColumn("low", F.min("class").over(bucket)).withColumn("high", F.max("class").over(bucket)).where("low < high")
-    other = rest.selectExpr("g", "node v", "n vn", "at va", "class v_class")
-    pairs = rest.selectExpr("g", "node u", "n un", "at ua", "class u_class").join(other.hint("merge"), "g")
-    fit = F.least("un", "vn") * SIMILAR[1] >= F.greatest("un", "vn") * SIMILAR[0]
-    more = materialize(similar(_possible(pairs.where((F.col("u") > F.col("v")) & (F.col("u_class") != F.col("v_class")) & fit)), docs, nodes), "more")
+    least, of = SIMILAR
+    early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * least) * F.col("n") / (least + of))
+    marked = rest.select("*", F.min("class").over(bucket).alias("low"), F.max("class").over(bucket).alias("high"), F.max(early).over(bucket).alias("early"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("xor"), F.count("*").over(bucket).alias("m"))
+    rest = marked.where("low < high and early").groupBy(F.xxhash64("xor", "m").alias("members"), "node").agg(F.min("n").alias("n"), F.min("class").alias("class"))
+    more = materialize(united(rest, docs, nodes), "more")
     if more.isEmpty():
         return roots
     stars = roots.where("node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))
