@@ -11,8 +11,10 @@ its counts. P(w | v) = (q(v w) + MU * P1(w)) / (c(v) + MU), with P1(w) = (c(w) +
 first token is a mark that begins every text. score is the sum of log10 P over the tokens of a text, its end included.
 
 Size: words and filter are cut into shards of at most about ``SHARD_BYTES``, by the hash of the scored word. Each shard
-is broadcast in a pass over the texts of its own; the sums are additive over tokens, so the passes are added up by row.
-One pass is enough up to some 100 million distinct pairs. Nothing is pruned, and memory does not grow with the corpus.
+is broadcast in a pass over the texts of its own; the sums are additive over tokens, so the passes are added up by row. With several
+shards each pass is written before the next shard is read, so the driver holds one shard. One pass is enough up to some 100 million
+distinct pairs. The number of buckets follows the bytes of the training texts, so a bucket stays at about ``BUCKET_BYTES`` at any size. Nothing is
+pruned unless asked for (``least``: pairs seen less often are left out), and memory does not grow with the corpus; passes do.
 
 Training rows are those whose crc32(doc_id as text) mod 7 is not 2; a row without doc_id is held out. Nulls and empty texts
 are an end alone. Without training rows N = V = 0. Rows with null or repeated ids give one result row each; an empty
@@ -35,9 +37,11 @@ from pitchloom.llm.common import materialize
 FOLDS, HELD_OUT = 7, 2
 MU = 64.0
 BITS, PROBES = 8, 5
-#: Words are cut into this many groups by hash, pairs into SUB buckets in the group of their second word.
+#: Words are cut into this many groups by hash, pairs into at least SUB buckets in the group of their second word.
 GROUPS, SUB = 64, 8
 SHARD_BYTES = 160 << 20
+#: What a bucket brings together, about: twice the bytes of the texts are shuffled over all buckets.
+BUCKET_BYTES = 32 << 20
 #: Tokens that a task holds at once.
 FLUSH = 1_000_000
 #: Tokens scored at once.
@@ -73,8 +77,8 @@ def group_of(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - GROUPS.bit_length() + 1)).astype(np.int64)
 
 
-def bucket_of(second: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return group_of(second) * SUB + (keys % U(SUB)).astype(np.int64)
+def bucket_of(second: np.ndarray, keys: np.ndarray, sub: int = SUB) -> np.ndarray:
+    return group_of(second) * sub + (keys % U(sub)).astype(np.int64)
 
 
 class Block:
@@ -109,10 +113,10 @@ def probes(keys: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarra
         yield ((one + U(i) * two) % size).astype(np.int64)
 
 
-def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def build_filter(keys: np.ndarray, counts: np.ndarray, bits_each: int = BITS) -> np.ndarray:
     """The bytes of a log-frequency Bloom filter of distinct keys and their counts."""
     levels = np.frexp(counts.astype(float))[1].astype(np.int64)  # 1 + floor(log2)
-    size = max(64, -(-int(levels.sum()) * BITS // 8) * 8)
+    size = max(64, -(-int(levels.sum()) * bits_each // 8) * 8)
     bits = np.zeros(size, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for place in probes(keys[levels >= level], level, U(size)):
@@ -144,7 +148,7 @@ def _add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(place, counts, len(found)).astype(np.int64)
 
 
-def counted(training: DataFrame) -> DataFrame:
+def counted(training: DataFrame, sub: int = SUB, least: int = 1, bits: int = BITS) -> DataFrame:
     """One row per bucket: pairs (bool), bucket, distinct, total, keys and counts of words, or the filter of pairs."""
 
     def emit(block):
@@ -164,7 +168,7 @@ def counted(training: DataFrame) -> DataFrame:
         both, counts = np.unique(before.astype(np.int64) * n + here, return_counts=True)
         second = hashes[both % n]
         keys = pair_keys(hashes[both // n], second)
-        cut(True, bucket_of(second, keys), keys, counts)
+        cut(True, bucket_of(second, keys, sub), keys, counts)
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.bool_(), pa.int32(), pa.binary(), pa.binary()))], names=["pairs", "bucket", "keys", "counts"])
 
     def run(batches):
@@ -180,16 +184,17 @@ def counted(training: DataFrame) -> DataFrame:
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _add(np.frombuffer(b"".join(rows["keys"]), "<u8"), np.frombuffer(b"".join(rows["counts"]), "<u4"))
-        data = build_filter(keys, counts) if key[0] else keys
-        return pd.DataFrame([(key[0], key[1], len(keys), int(counts.sum()), data.tobytes(), b"" if key[0] else counts.astype("<i8").tobytes())], columns=["pairs", "bucket", "n", "total", "data", "counts"])
+        n, total = len(keys), int(counts.sum())
+        data = build_filter(keys[counts >= least], counts[counts >= least], bits) if key[0] else keys
+        return pd.DataFrame([(key[0], key[1], n, total, data.tobytes(), b"" if key[0] else counts.astype("<i8").tobytes())], columns=["pairs", "bucket", "n", "total", "data", "counts"])
 
     parts = training.select("text").mapInArrow(run, "pairs boolean, bucket int, keys binary, counts binary")
     return parts.groupBy("pairs", "bucket").applyInPandas(merge, "pairs boolean, bucket int, n long, total long, data binary, counts binary")
 
 
-def shards(model: DataFrame) -> list[tuple[int, int]]:
+def shards(model: DataFrame, sub: int = SUB) -> list[tuple[int, int]]:
     """Ranges of groups whose words and filters take at most SHARD_BYTES together (or a single group)."""
-    group = F.when(F.col("pairs"), F.floor(F.col("bucket") / SUB)).otherwise(F.col("bucket"))
+    group = F.when(F.col("pairs"), F.floor(F.col("bucket") / sub)).otherwise(F.col("bucket"))
     sizes = {r["g"]: r["b"] for r in model.groupBy(group.alias("g")).agg(F.sum(F.octet_length("data") + F.octet_length("counts")).alias("b")).collect()}  # GROUPS rows
     out, start, held = [], 0, 0
     for g in range(GROUPS):
@@ -200,23 +205,24 @@ def shards(model: DataFrame) -> list[tuple[int, int]]:
     return [*out, (start, GROUPS)]
 
 
-def load(model: DataFrame, low: int, high: int) -> dict:
+def load(model: DataFrame, low: int, high: int, sub: int = SUB) -> dict:
     """The arrays of one shard."""
-    rows = model.where((~F.col("pairs") & F.col("bucket").between(low, high - 1)) | (F.col("pairs") & F.col("bucket").between(low * SUB, high * SUB - 1)))
+    rows = model.where((~F.col("pairs") & F.col("bucket").between(low, high - 1)) | (F.col("pairs") & F.col("bucket").between(low * sub, high * sub - 1)))
     words, filters = {}, {}
     for r in rows.toLocalIterator():
         (filters if r["pairs"] else words)[r["bucket"]] = r
-    starts, sizes = np.zeros(GROUPS * SUB, np.int64), np.zeros(GROUPS * SUB, np.int64)
+    starts, sizes = np.zeros(GROUPS * sub, np.int64), np.zeros(GROUPS * sub, np.int64)
     at = 0
     for b, r in sorted(filters.items()):
         starts[b], sizes[b] = at, len(r["data"]) * 8
         at += len(r["data"])
     return {
         "words": np.frombuffer(b"".join(words[b]["data"] for b in sorted(words)), "<u8"),
-        "counts": np.frombuffer(b"".join(words[b]["counts"] for b in sorted(words)), "<i8").astype(np.uint32),
+        "counts": np.frombuffer(b"".join(words[b]["counts"] for b in sorted(words)), "<i8"),
         "data": np.frombuffer(b"".join(filters[b]["data"] for b in sorted(filters)), np.uint8),
         "starts": starts,
         "sizes": sizes,
+        "sub": sub,
     }
 
 
@@ -233,19 +239,21 @@ def partial_scores(block: Block, shard: dict, low: int, high: int, total: int, d
     scored = mine[here]
     t, w, v = text[scored], here[scored], before[scored]
     keys = pair_keys(hashes[v], hashes[w])
-    pair = look_up(keys, bucket_of(hashes[w], keys), shard["data"], shard["starts"], shard["sizes"])
+    pair = look_up(keys, bucket_of(hashes[w], keys, shard["sub"]), shard["data"], shard["starts"], shard["sizes"])
     count[0], mine[0] = n_texts, low == 0  # BEGIN
     history = mine[before]
     n = len(block.texts)
     score = np.bincount(t, np.log10(pair + mu * plain[w]), n) - np.bincount(text[history], np.log10(count[before[history]] + mu), n)
-    return np.stack([np.bincount(t, minlength=n), np.bincount(t, count[w] > 0, n), np.bincount(t, np.log10(plain[w]), n), score], axis=1)
+    return np.stack([np.bincount(t, minlength=n), np.bincount(t, count[w] > 0, n), np.bincount(t, np.log10(plain[w]), n), score], axis=1).astype(float)
 
 
-def lm_scores(docs: DataFrame, mu: float = MU) -> DataFrame:
+def lm_scores(docs: DataFrame, mu: float = MU, least: int = 1, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
-    model = materialize(counted(docs.where(fold != HELD_OUT)), "ngrams")
+    size = docs.where(fold != HELD_OUT).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sub = max(SUB, -(-2 * size // (GROUPS * BUCKET_BYTES)))
+    model = materialize(counted(docs.where(fold != HELD_OUT), sub, least, bits), "ngrams")
     sums = model.where("not pairs").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, distinct = int(sums[0]), int(sums[1])
     n_texts = docs.where(fold != HELD_OUT).count()
@@ -254,7 +262,7 @@ def lm_scores(docs: DataFrame, mu: float = MU) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one(low, high):
-        shard = spark.sparkContext.broadcast(load(model, low, high))  # at most SHARD_BYTES, unless one group is larger
+        shard = spark.sparkContext.broadcast(load(model, low, high, sub))  # at most SHARD_BYTES, unless one group is larger
 
         def run(batches):
             for batch in batches:
@@ -269,10 +277,16 @@ def lm_scores(docs: DataFrame, mu: float = MU) -> DataFrame:
                 found = np.concatenate(out) if out else np.zeros((0, 4))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, i].astype(np.int64)) for i in (0, 1)), *(pa.array(found[:, i]) for i in (2, 3))], names=names)
 
-        return rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-
-    passes = [one(*s) for s in shards(model)]
-    scored = passes[0]
-    if len(passes) > 1:
+        return rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), shard
+
+    ranges = shards(model, sub)
+    if len(ranges) == 1:
+        scored = one(*ranges[0])[0]
+    else:
+        passes = []
+        for low, high in ranges:
+            found, shard = one(low, high)
+            passes.append(materialize(found, "pass"))
+            shard.destroy()
         scored = reduce(DataFrame.unionByName, passes).groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in names[3:]])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

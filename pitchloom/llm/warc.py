@@ -5,10 +5,12 @@ pages with equal payloads of ``REVISIT_FROM`` bytes or more the one with the sma
 revisit records that refer to it and carry its HTTP headers without the payload. Files are written under a
 temporary name and renamed, and their content depends on the rows alone, so a task may run again.
 
-Reader: a file is read member by member (or record by record if it is not compressed). A member
-that does not decompress, a record that ends early, lacks its headers or does not have the payload digest it claims fails; the
-reader then searches for the next member, or version line, that starts a valid record, goes on there, and logs the
-byte gap in between. So one damaged spot costs the records that it touches.
+Reader: a file is read piece by piece, as it is stored, and walked member by member (or record by record if it is not compressed); a
+member may hold several records. A member that does not decompress, a record that ends early, lacks its headers or does not have the digest it
+claims (of its block or payload; SHA-256, SHA-1, SHA-512 or MD5, in hex or base32) fails; the reader then searches for the next member, or
+version line, that starts a valid record, goes on there, and logs the byte gap in between. So one damaged spot costs the records that it
+touches. Records of any type are read; page_id is null for those of other writers. A revisit has no payload and tells its size and
+digest as stated, if they are. A record of more than RECORD_BYTES counts as damaged, as it cannot be a row.
 
 Null html is the empty payload, a null url is about:blank, control characters of urls are percent-encoded. Pages with a
 null page_id are responses. Rows that repeat the smallest page_id of their payload are all
@@ -17,7 +19,9 @@ responses. An empty table gives no files and an empty result; further columns ar
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,18 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchloom.llm.common import materialize
+from pitchloom.llm.common import look_up, materialize
 
 REVISIT_FROM = 100
 ROLL = 32 << 20
 LEVEL = 1
-STEP = 1 << 16
-#: Up to so many payloads with copies (about 100 bytes each) are broadcast to the writers; more are joined by shuffle.
+STEP = 1 << 14
+#: Bytes of a record's header, and of its block, at most.
+HEAD_BYTES, RECORD_BYTES = 1 << 20, 1 << 30
+#: Up to so many payloads with copies (about 100 bytes each) are broadcast to the writers; of more, only the hot ones are.
 BROADCAST_PAYLOADS = 200_000
 DATE = "2026-01-01T00:00:00Z"
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
-RECORD = "file string, offset long, length long, fault string, record_type string, page_id string, refers_to string, url string, payload_bytes long, payload_digest string, payload binary"
+RECORD = "file string, offset long, length long, position long, fault string, record_type string, page_id string, refers_to string, url string, payload_bytes long, payload_digest string, payload binary"
 
 
 def file_system(path: str):
@@ -71,10 +77,13 @@ def marked(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest and refers_to (the page_id of the response, for revisits)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    shared = keyed.where(F.octet_length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    shared = keyed.where(F.octet_length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     shared = materialize(shared, "payloads")
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_PAYLOADS else shared.hint("merge")
-    return keyed.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", F.expr("if(page_id <> first, first, null)").alias("refers_to"))
+    if shared.count() <= BROADCAST_PAYLOADS:
+        marked = keyed.join(F.broadcast(shared), "digest", "left")
+    else:
+        marked = look_up(keyed, shared, "digest", "first", "page_id")
+    return marked.select("page_id", "url", "payload", "digest", F.expr("if(page_id <> first, first, null)").alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -97,7 +106,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    out, size = system.open_output_stream(f"{base}/.{part}-{number}-{attempt}"), 0
+                    out, size = system.open_output_stream(f"{base}/.{part}-{number}-{attempt}", compression=None), 0
                 packer = zlib.compressobj(LEVEL, wbits=31)
                 member = packer.compress(record(page, url, payload, digest, refers)) + packer.flush()
                 out.write(member)
@@ -111,69 +120,184 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return materialize(marked(pages).mapInArrow(run, "file string, bytes long"), "archives")
 
 
-def parse(data: bytes) -> dict:
-    """The fields of a whole record; ValueError if it fails a check."""
-    head, mark, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not mark or not lines[0].startswith("WARC/1."):
+def digest_matches(stated: str | None, data: bytes) -> bool | None:
+    """Whether data has the stated digest (algorithm:value, in hex or base32); None if there is none or its algorithm is unknown."""
+    algorithm, _, value = (stated or "").partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("sha256", "sha1", "md5", "sha512") or not value:
+        return None
+    found = hashlib.new(algorithm, data).digest()
+    return value.strip().lower() == found.hex() or value.strip().upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+class Window:
+    """The bytes from a record's start on, filled as they are asked for; ``pull`` gives the next piece, or nothing at the end."""
+
+    def __init__(self, pull):
+        self.pull, self.data, self.start, self.ended = pull, bytearray(), 0, False
+
+    def fill(self, n: int) -> bool:
+        """Whether there are n bytes."""
+        while len(self.data) < n and not self.ended:
+            piece = self.pull()
+            self.data += piece
+            self.ended = not piece
+        return len(self.data) >= n
+
+    def find(self, mark: bytes, at: int, most: int | None = None) -> int:
+        """The place of mark from ``at`` on (it begins before ``most``), or -1."""
+        while True:
+            found = self.data.find(mark, at)
+            if found >= 0 or (most is not None and len(self.data) > most + len(mark)) or self.ended:
+                return found
+            at = max(at, len(self.data) - len(mark) + 1)
+            self.fill(len(self.data) + 1)
+
+    def drop(self, n: int) -> None:
+        del self.data[:n]
+        self.start += n
+
+
+def parse(window: Window, room: int | None = None) -> tuple[dict, bool]:
+    """The record at the start of a window, and whether a digest of it was checked; ValueError or KeyError if it fails a check.
+
+    room: the bytes that are left in its file, where that is known.
+    """
+    window.fill(len(VERSION))
+    end = window.find(b"\r\n\r\n", 0, HEAD_BYTES)
+    if not window.data.startswith(VERSION) or not 0 <= end <= HEAD_BYTES:
         raise ValueError("no record header")
+    lines = bytes(window.data[:end]).decode("utf-8").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     n = int(fields["content-length"])
-    if n < 0 or len(rest) < n or rest[n : n + 4] != b"\r\n\r\n":
+    if not 0 <= n <= RECORD_BYTES or (room is not None and end + n + 8 > room):
+        raise ValueError("record ends early or is too long")
+    if not window.fill(end + n + 8) or window.data[end + 4 + n : end + n + 8] != b"\r\n\r\n":
         raise ValueError("record ends early")
-    block = rest[:n]
-    http, mark, payload = block.partition(b"\r\n\r\n")
-    if not mark:
-        raise ValueError("no HTTP header")
-    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
-    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-        raise ValueError("payload digest differs")
-    size = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1])
-    page = lambda x: re.sub(r"^<urn:x-page:|>$", "", x) or None if x else None
-    return {"record_type": kind, "page_id": page(fields["warc-record-id"]), "refers_to": page(fields.get("warc-refers-to")), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "payload": payload if kind == "response" else None, "size": len(head) + 4 + n + 4}
-
-
-def member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The gzip member at an offset and where it ends; fed in steps, so the rest of the file is not copied."""
-    unpack, out, end = zlib.decompressobj(wbits=31), [], at
-    while not unpack.eof:
-        piece = data[end : end + STEP]
-        if not piece:
-            raise ValueError("member ends early")
-        out.append(unpack.decompress(piece))
-        end += len(piece)
-    return b"".join(out), end - len(unpack.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """(offset, length, record) of each valid record and (offset, length, fault) of each gap, in file order."""
-    view, at, gap, fault = memoryview(data), 0, None, ""
-    zipped = data.find(MEMBER) != -1 and (data.find(VERSION) == -1 or data.find(MEMBER) < data.find(VERSION))
-    while at < len(data):
+    block = bytes(window.data[end + 4 : end + 4 + n])
+    kind, stated, size = fields["warc-type"], fields.get("warc-payload-digest"), None
+    checked = digest_matches(fields.get("warc-block-digest"), block)
+    payload: bytes | None = block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, mark, payload = block.partition(b"\r\n\r\n")
+        if not mark:
+            raise ValueError("no HTTP header")
+        if kind == "revisit":
+            length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+            size, payload = int(length[1]) if length else None, None
+        elif (found := digest_matches(stated, payload)) is not None and not (found is False and re.search(rb"(?im)^transfer-encoding:.*chunked", http)):
+            checked = found if checked is not False else False
+    if checked is False:
+        raise ValueError("digest differs")
+    own = lambda x: (re.fullmatch(r"<urn:x-page:(.+)>", x or "") or [None, None])[1]
+    name = stated.partition(":")[2] if payload is None and stated and stated.lower().startswith("sha256:") else hashlib.sha256(payload).hexdigest() if payload is not None else None
+    row = {"record_type": kind, "page_id": own(fields.get("warc-record-id")), "refers_to": own(fields.get("warc-refers-to")), "url": fields.get("warc-target-uri")}
+    return row | {"payload_bytes": size if payload is None else len(payload), "payload_digest": name, "payload": payload, "size": end + n + 8}, bool(checked)
+
+
+def member(file, at: int, size: int):
+    """A function that gives the next piece of the gzip member at an offset, and one that tells where the member ends."""
+    unpack, read_to = zlib.decompressobj(wbits=31), at
+
+    def pull() -> bytes:
+        nonlocal read_to
+        while not unpack.eof:
+            file.seek(read_to)
+            piece = unpack.unconsumed_tail or file.read(min(STEP, size - read_to))
+            if not unpack.unconsumed_tail:
+                read_to += len(piece)
+            if not piece:
+                raise ValueError("member ends early")
+            if text := unpack.decompress(piece, STEP):
+                return text
+        return b""
+
+    return pull, lambda: read_to - len(unpack.unused_data)
+
+
+def seek_mark(file, mark: bytes, at: int, size: int) -> int:
+    """The offset of the next mark from ``at`` on, or the file's size."""
+    tail = b""
+    while at < size:
+        file.seek(at)
+        data = tail + file.read(min(64 * STEP, size - at))
+        if (found := data.find(mark)) >= 0:
+            return at - len(tail) + found
+        at = min(size, at + 64 * STEP)
+        tail = data[1 - len(mark) :]
+    return size
+
+
+FAULTS = (ValueError, KeyError, TypeError, zlib.error)
+
+
+def salvage(file, size: int) -> Iterator[tuple[int, int, int, dict | str]]:
+    """(offset, length, position, record) of each valid record and (offset, length, position, fault) of each gap, in file order.
+
+    file can seek and read. position is that in the decompressed member, 0 in a file that is not compressed. No more than a record
+    (RECORD_BYTES at most) and a few pieces are in memory.
+    """
+    first = seek_mark(file, MEMBER, 0, size)
+    zipped = first < size and first < seek_mark(file, VERSION, 0, min(first + len(VERSION), size))
+    at, gap, fault = 0, None, ""
+    while at < size:
+        rows: list[tuple[int, int, int, dict | str]] = []
         try:
             if zipped:
-                text, end = member(view, at)
-                found = parse(text)
+                pull, end_of = member(file, at, size)
+                window, done, lost = Window(pull), [], None
+                try:
+                    while window.fill(1):
+                        try:
+                            found, sure = parse(window)
+                        except (ValueError, KeyError, TypeError) as e:
+                            if window.ended is False and not window.data:
+                                raise
+                            lost = (window.start, str(e)) if lost is None else lost
+                            step = window.find(VERSION, 1)
+                            window.drop(step if step > 0 else len(window.data))
+                            continue
+                        if lost is not None:
+                            done.append((lost[0], lost[1], True))
+                            lost = None
+                        done.append((window.start, found, sure))
+                        window.drop(found["size"])
+                    if lost is not None:
+                        done.append((lost[0], lost[1], True))
+                    end, broken = end_of(), None
+                except (ValueError, zlib.error) as e:
+                    # The member itself is damaged: what was checked by a digest stays, the rest is lost.
+                    end, broken = None, str(e)
+                    done = [x for x in done if x[2]]
+                if broken is None:
+                    if not any(isinstance(x[1], dict) for x in done):
+                        raise ValueError(next((x[1] for x in done), "empty member"))
+                    rows = [(at, end - at, place, found) for place, found, _ in done]
+                else:
+                    rows = [(at, 0, place, found) for place, found, _ in done if isinstance(found, dict)]
+                    if not rows:
+                        raise ValueError(broken)
             else:
-                # A record ends where its own length says; look no further than the bytes at hand.
-                stop = data.find(b"\r\n\r\n", at)
-                length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[at:stop]) if data.startswith(VERSION, at) and stop > 0 else None
-                if not length:
-                    raise ValueError("no record header")
-                end = stop + 4 + int(length[1]) + 4
-                found = parse(data[at:end])
-        except (ValueError, KeyError, TypeError, zlib.error) as e:
+                file.seek(at)
+                window = Window(lambda: file.read(STEP))
+                found, _ = parse(window, size - at)
+                end, broken = at + found["size"], None
+                rows = [(at, end - at, 0, found)]
+        except FAULTS as e:
             gap, fault = (at, str(e)) if gap is None else (gap, fault)
-            at = data.find(MEMBER if zipped else VERSION, at + 1)
-            at = len(data) if at < 0 else at
+            at = seek_mark(file, MEMBER if zipped else VERSION, at + 1, size)
             continue
         if gap is not None:
-            yield gap, at - gap, fault
+            yield gap, at - gap, 0, fault
             gap = None
-        yield at, end - at, found
-        at = end
+        yield from rows
+        if broken is None:
+            at = end
+        else:
+            gap, fault = at, broken
+            at = seek_mark(file, MEMBER, at + 1, size)
     if gap is not None:
-        yield gap, len(data) - gap, fault
+        yield gap, size - gap, 0, fault
 
 
 def read(spark: SparkSession, files: DataFrame, payloads: bool = True) -> DataFrame:
@@ -181,22 +305,22 @@ def read(spark: SparkSession, files: DataFrame, payloads: bool = True) -> DataFr
 
     def run(batches):
         names = [x.split()[0] for x in RECORD.split(", ")]
-        schema = pa.schema([(n, pa.int64() if n in ("offset", "length", "payload_bytes") else pa.binary() if n == "payload" else pa.string()) for n in names])
+        numbers = ("offset", "length", "position", "payload_bytes")
+        schema = pa.schema([(n, pa.int64() if n in numbers else pa.binary() if n == "payload" else pa.string()) for n in names])
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, place = file_system(path)
-                with system.open_input_stream(place) as f:
-                    data = f.read()
-                rows, held = [], 0
-                for at, length, found in salvage(data):
-                    row = {"file": path, "offset": at, "length": length} | ({"fault": found} if isinstance(found, str) else found)
-                    row["payload"] = row.get("payload") if payloads else None
-                    rows.append(row)
-                    held += len(row["payload"] or b"")
-                    if held > ROLL or len(rows) >= 5_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                with system.open_input_file(place) as stored, io.BufferedReader(stored, ROLL >> 5) as f:  # the bytes as they are, whatever the name says
+                    rows, held = [], 0
+                    for at, length, position, found in salvage(f, stored.size()):
+                        row = {"file": path, "offset": at, "length": length, "position": position} | ({"fault": found} if isinstance(found, str) else found)
+                        row["payload"] = row.get("payload") if payloads else None
+                        rows.append(row)
+                        held += len(row["payload"] or b"")
+                        if held > ROLL or len(rows) >= 5_000:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, held = [], 0
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = max(1, files.count())
     return files.select("file").repartition(min(n, 10_000)).mapInArrow(run, RECORD)
