@@ -7,8 +7,9 @@ inserted once for each level up to q. Each bucket is a Bloom filter of its own,
 and ``PROBES`` hash functions each, about 2 % false positives).
 
 Scoring: the filter is probed for level 1, 2, ... until a probe fails; the level stands for the mean of
-its counts. P(w | v) = (q(v w) + MU * P1(w)) / (c(v) + MU), with P1(w) = (c(w) + 1) / (N + V + 1); the history of a
-first token is a mark that begins every text. score is the sum of log10 P over the tokens of a text, its end included.
+its counts. P(w | v) = (q(v w) + m(v) * P1(w)) / (c(v) + m(v)), with P1(w) = (c(w) + 1) / (N + V + 1) and m(v) = max(LEAST_MASS,
+c(v) ** POWER), as the number of different followers grows with a word; for m alone, words beyond the FREQUENT most frequent ones count
+as half the least count of those. The history of a first token is a mark that begins every text. score is the sum of log10 P over the tokens of a text, its end included.
 
 Size: words and filter are cut into shards of at most about ``SHARD_BYTES``, by the hash of the scored word. Each shard
 is broadcast in a pass over the texts of its own; the sums are additive over tokens, so the passes are added up by row. With several
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from pitchloom.llm.common import materialize
 
 FOLDS, HELD_OUT = 7, 2
-MU = 64.0
+LEAST_MASS, POWER = 4.0, 0.9
+#: Words whose counts every task has (16 bytes each), for the mass that a history gives to single words.
+FREQUENT = 1_000_000
 BITS, PROBES = 8, 5
 #: Words are cut into this many groups by hash, pairs into at least SUB buckets in the group of their second word.
 GROUPS, SUB = 64, 8
@@ -226,7 +229,19 @@ def load(model: DataFrame, low: int, high: int, sub: int = SUB) -> dict:
     }
 
 
-def partial_scores(block: Block, shard: dict, low: int, high: int, total: int, distinct: int, n_texts: int, mu: float = MU) -> np.ndarray:
+def frequent(model: DataFrame, most: int) -> dict:
+    """The counts of the ``most`` most frequent words at most (all words of a count or none), sorted by hash, and the count that others are taken for."""
+    keys, counts, floor = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    for r in model.where("not pairs").toLocalIterator():  # a bucket at a time
+        keys, counts = np.concatenate([keys, np.frombuffer(r["data"], "<u8")]), np.concatenate([counts, np.frombuffer(r["counts"], "<i8")])
+        if len(counts) > most:
+            floor = max(floor, int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]))
+        keys, counts = keys[counts > floor], counts[counts > floor]
+    order = np.argsort(keys)
+    return {"frequent": keys[order], "often": counts[order], "rest": floor / 2}
+
+
+def partial_scores(block: Block, shard: dict, low: int, high: int, total: int, distinct: int, n_texts: int) -> np.ndarray:
     """Columns n_tokens, n_known, base_score and score of each text, as far as the shard's words decide them."""
     hashes, here, before, text = block.arrays()
     mine = (group_of(hashes) >= low) & (group_of(hashes) < high)
@@ -236,6 +251,12 @@ def partial_scores(block: Block, shard: dict, low: int, high: int, total: int, d
     if len(shard["words"]):
         count = np.where(shard["words"][place] == hashes, shard["counts"][place], 0).astype(float)
     plain = (count + 1) / (total + distinct + 1)
+    mass = np.full(len(hashes), shard["rest"], float)
+    if len(shard["frequent"]):
+        place = np.minimum(np.searchsorted(shard["frequent"], hashes), len(shard["frequent"]) - 1)
+        mass = np.where(shard["frequent"][place] == hashes, shard["often"][place], mass)
+    mass[0] = n_texts
+    mass = np.maximum(LEAST_MASS, mass**POWER)
     scored = mine[here]
     t, w, v = text[scored], here[scored], before[scored]
     keys = pair_keys(hashes[v], hashes[w])
@@ -243,11 +264,11 @@ def partial_scores(block: Block, shard: dict, low: int, high: int, total: int, d
     count[0], mine[0] = n_texts, low == 0  # BEGIN
     history = mine[before]
     n = len(block.texts)
-    score = np.bincount(t, np.log10(pair + mu * plain[w]), n) - np.bincount(text[history], np.log10(count[before[history]] + mu), n)
+    score = np.bincount(t, np.log10(pair + mass[v] * plain[w]), n) - np.bincount(text[history], np.log10(count[before[history]] + mass[before[history]]), n)
     return np.stack([np.bincount(t, minlength=n), np.bincount(t, count[w] > 0, n), np.bincount(t, np.log10(plain[w]), n), score], axis=1).astype(float)
 
 
-def lm_scores(docs: DataFrame, mu: float = MU, least: int = 1, bits: int = BITS) -> DataFrame:
+def lm_scores(docs: DataFrame, most: int = FREQUENT, least: int = 1, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
@@ -257,12 +278,13 @@ def lm_scores(docs: DataFrame, mu: float = MU, least: int = 1, bits: int = BITS)
     sums = model.where("not pairs").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, distinct = int(sums[0]), int(sums[1])
     n_texts = docs.where(fold != HELD_OUT).count()
+    often = frequent(model, most)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(fold == HELD_OUT, F.lit(True)).alias("held_out"), "text")
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one(low, high):
-        shard = spark.sparkContext.broadcast(load(model, low, high, sub))  # at most SHARD_BYTES, unless one group is larger
+        shard = spark.sparkContext.broadcast(load(model, low, high, sub) | often)  # at most SHARD_BYTES, unless one group is larger
 
         def run(batches):
             for batch in batches:
@@ -270,10 +292,10 @@ def lm_scores(docs: DataFrame, mu: float = MU, least: int = 1, bits: int = BITS)
                 for text in batch.column(3).cast(pa.binary()):
                     block.add(text.as_py())
                     if block.n >= SLICE:
-                        out.append(partial_scores(block, shard.value, low, high, total, distinct, n_texts, mu))
+                        out.append(partial_scores(block, shard.value, low, high, total, distinct, n_texts))
                         block = Block()
                 if block.n:
-                    out.append(partial_scores(block, shard.value, low, high, total, distinct, n_texts, mu))
+                    out.append(partial_scores(block, shard.value, low, high, total, distinct, n_texts))
                 found = np.concatenate(out) if out else np.zeros((0, 4))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, i].astype(np.int64)) for i in (0, 1)), *(pa.array(found[:, i]) for i in (2, 3))], names=names)
 

@@ -510,11 +510,24 @@ def test_lm_scores_equal_the_formula(spark, texts, monkeypatch):
     pair = collections.Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
     total, distinct = sum(word.values()), len(word)
     history = word | collections.Counter({"<s>": len(train)})
+    mass = lambda c: max(lm.LEAST_MASS, c**lm.POWER)
     mean = lambda c: 0 if not c else (2 ** (math.frexp(c)[1] - 1) + 2 ** math.frexp(c)[1] - 1) / 2
-    want = [(i, round(sum(math.log10((mean(pair[a, b]) + lm.MU * (word[b] + 1) / (total + distinct + 1)) / (history[a] + lm.MU)) for a, b in zip(["<s>", *token(t)], token(t), strict=False)), 6)) for i, t in texts]
+    want = [(i, round(sum(math.log10((mean(pair[a, b]) + mass(history[a]) * (word[b] + 1) / (total + distinct + 1)) / (history[a] + mass(history[a]))) for a, b in zip(["<s>", *token(t)], token(t), strict=False)), 6)) for i, t in texts]
     same([(r.doc_id, round(r.score, 6)) for r in lm.lm_scores(documents(spark, texts), bits=512).collect()], want)
 
 
+def test_mass_of_words_beyond_the_frequent_ones(spark):
+    """The table of frequent words holds whole counts only; the others count as half the least one, in one shard or several."""
+    rows = [(i, " ".join(f"w{k}" for k in range(1 + i % 7))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.counted(docs)
+    table = lm.frequent(model, 3)
+    counts = sorted(collections.Counter(w for _, t in rows for w in [*t.split(), " "]).values())
+    assert sorted(table["often"].tolist()) == [c for c in counts if c > counts[-4]] and table["rest"] == counts[-4] / 2
+    few, many = lm.lm_scores(docs, most=3).collect(), lm.lm_scores(docs).collect()
+    assert [r.base_score for r in few] == [r.base_score for r in many] and few != many
+
+
 def test_lm_score_equals_the_formula_with_exact_counts(spark):
     rows = [(i, f"the cat sat on the mat {i % 3}") for i in range(40)]
     r = {x.doc_id: x for x in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -528,7 +541,8 @@ def test_lm_score_equals_the_formula_with_exact_counts(spark):
         return 0 if not c else (2 ** (math.frexp(c)[1] - 1) + 2 ** math.frexp(c)[1] - 1) / 2
 
     text = rows[0][1].split()
-    want = sum(math.log10((level_mean(pair[a, b]) + lm.MU * (word[b] + 1) / (total + distinct + 1)) / (word[a] + lm.MU)) for a, b in zip(["<s>", *text], [*text, "</s>"], strict=True))
+    mass = lambda c: max(lm.LEAST_MASS, c**lm.POWER)
+    want = sum(math.log10((level_mean(pair[a, b]) + mass(word[a]) * (word[b] + 1) / (total + distinct + 1)) / (word[a] + mass(word[a]))) for a, b in zip(["<s>", *text], [*text, "</s>"], strict=True))
     assert r[0].score == pytest.approx(want, abs=0.2)
 
 
