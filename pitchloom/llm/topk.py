@@ -8,7 +8,8 @@ block; the parts are merged by one shuffle by query. Every query meets every can
 Order: higher score, then smaller vec_id. A query's own row is no candidate; rows that repeat its vec_id aren't either.
 Vectors that are null or hold null or non-finite components take no part. Vectors of different lengths are compared over the
 components both have. Rows that repeat a vec_id take part each; repeated query rows are
-asked once per distinct vector and give their rows each. Scores are exact in 64 bits; components beyond 2**31 / 256 take no part, as non-finite ones. Empty tables give
+asked once per distinct vector and give their rows each. Scores are exact: where a block's components are so large that 64 bits might not
+hold a sum, Python's integers take over; a score among the best that does not fit the long column raises. Empty tables give
 empty results; further columns are ignored.
 """
 
@@ -22,19 +23,19 @@ from pyspark.sql import functions as F
 K = 5
 EVERY = 50
 SCALE = 256
-QUERY_BLOCK = 512
+QUERY_BLOCK = 8_192
 CANDIDATE_BLOCK = 8_192
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) with integer components, without the vectors that take no part."""
-    limit = 2**31 / SCALE
-    usable = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < limit)), F.lit(False)) & F.col("vec_id").isNotNull()
-    return vectors.where(usable).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+    usable = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False)) & F.col("vec_id").isNotNull()
+    scale = lambda x: F.when(F.abs(x) < 2.0**44, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE)  # larger ones are whole already
+    return vectors.where(usable).select("vec_id", F.transform("embedding", lambda x: scale(x.cast("double"))).alias("v"))
 
 
 def _matrix(rows, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
+    out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
@@ -44,8 +45,11 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     """Places of the k best candidates: higher score, then smaller id; partition selection keeps all ties of the k-th score."""
     places = np.flatnonzero(ids != own)
     if len(places) > k:
-        bar = np.partition(scores[places], len(places) - k)[len(places) - k]
+        held = scores[places]
+        bar = np.partition(held, len(places) - k)[len(places) - k] if held.dtype != object else sorted(held)[-k]
         places = places[scores[places] >= bar]
+    if scores.dtype == object:
+        return np.array(sorted(places, key=lambda p: (-scores[p], ids[p]))[:k], np.int64)
     return places[np.lexsort((ids[places], -scores[places]))][:k]
 
 
@@ -53,21 +57,26 @@ def scan(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFram
     """The k best candidates of a block for each query of a block, term at a time."""
     ids = candidates["vec_id"].to_numpy(np.int64)
     width = max([0, *map(len, candidates["v"])])
-    dense = _matrix(candidates["v"].tolist(), width)
+    dense, asked = _matrix(candidates["v"].tolist(), width), [v[:width] for v in queries["v"]]
+    most = np.abs(dense).max(initial=0) * max([0.0, *(np.abs(v).max(initial=0) for v in asked)]) * max(width, 1)
+    whole = most < 2.0**62
+    dense = dense.astype(np.int64) if whole else np.array([int(x) for x in dense.ravel()], object).reshape(dense.shape)
     postings = []
     for t in range(width):
         column = np.ascontiguousarray(dense[:, t])
         docs = np.flatnonzero(column)
         postings.append((docs, column[docs]) if 2 * len(docs) < len(column) else (slice(None), column))
     out = []
-    for own, row, vector in zip(queries["vec_id"], queries["row"], queries["v"], strict=True):
-        scores = np.zeros(len(ids), np.int64)
-        for t, weight in enumerate(vector[:width]):
+    for own, row, vector in zip(queries["vec_id"], queries["row"], asked, strict=True):
+        scores = np.zeros(len(ids), np.int64 if whole else object)
+        for t, weight in enumerate(map(int, vector)):
             if weight:
                 docs, values = postings[t]
                 scores[docs] += weight * values
         for p in best(scores, ids, own, k):
             out.append((own, row, ids[p], scores[p]))
+    if not whole and any(abs(x[3]) >= 2**63 for x in out):
+        raise OverflowError("a score does not fit 64 bits")
     return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"]).astype("int64")
 
 

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 
 import public_tokenizers
 import pytest
@@ -393,6 +394,7 @@ def test_labels_of_held_out_rows_change_nothing(spark):
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(0, 400, 2)] + [(i, [0.5] * 6) for i in range(1001, 1009)]
+    rows += [(3000, [2.0**24] * 6), (3001, [-(2.0**20), 0.0, 0.0, 0.0, 0.0, 2.0**21 + 0.125])]
     rows += [(2000, None), (2050, [1.0, None]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, [1.0, 2.0]), (2250, []), (None, [1.0] * 6), (50, [0.25] * 6)]
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 37)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
@@ -405,22 +407,36 @@ def test_top_k(spark, monkeypatch):
             want += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
     same(topk.top_k(df).collect(), want)
     assert topk.top_k(df.limit(0)).count() == 0
+    exact = topk.scan(pd.DataFrame({"vec_id": [0], "row": [0], "v": [[2.0**31, 1.0, -(2.0**31)]]}), pd.DataFrame({"vec_id": [1, 2], "v": [[2.0**31, 1.0, 2.0**31], [2.0**31 - 256, 0.0, 0.0]]}), 5)
+    assert exact.values.tolist() == [[0, 0, 2, 2**62 - 256 * 2**31], [0, 0, 1, 1]]
+    with pytest.raises(OverflowError):
+        topk.scan(pd.DataFrame({"vec_id": [0], "row": [0], "v": [[2.0**40]]}), pd.DataFrame({"vec_id": [1], "v": [[2.0**40]]}), 5)
 
 
 # --- chat
 
 
 def brute_repair(roles):
-    """Least cost by enumeration of all move sequences."""
-    best = {chat.START: 0}
-    for role in roles:
-        step = {}
-        for s, c in best.items():
-            for m in chat.MOVES:
-                if m[0] == s:
-                    step[m[1]] = min(step.get(m[1], 1 << 60), c + chat.cost(m, role))
-        best = step
-    return min(c + chat.INSERT * len(chat.closing(s)) for s, c in best.items())
+    """Least cost, from the definition alone: a legal sequence of roles in which each turn keeps its place, is relabelled (3), merged
+    into the turn before (1), and empty turns (2 each) fill the gaps. By all ways to write the sequence, one role at a time."""
+    legal_next = {"": "su", "s": "u", "u": "a", "a": "u"}
+    cheapest = {("", 0): 0}  # (last role written, turns used) to cost
+    queue = [(0, "", 0)]
+    while queue:
+        queue.sort()
+        cost, last, used = queue.pop(0)
+        if cost > cheapest[last, used]:
+            continue
+        if used == len(roles) and last == "a":
+            return cost
+        steps = [(2, r, used) for r in legal_next[last]]
+        if used < len(roles):
+            steps += [(0 if roles[used] == r else 3, r, used + 1) for r in legal_next[last]]
+            steps += [(1 + (0 if roles[used] == last else 3), last, used + 1)] if last else []
+        for c, r, n in steps:
+            if cost + c < cheapest.get((r, n), 1 << 60):
+                cheapest[r, n] = cost + c
+                queue.append((cost + c, r, n))
 
 
 def legal(roles):
@@ -455,7 +471,14 @@ def test_chat_repair(spark, monkeypatch, part):
         assert legal(shown_roles(turns)), conv
         if conv == 99:
             turns = sorted(turns, key=lambda r: r.turn)
-        assert sum(r.cost for r in turns) == brute_repair([chat.NAMES.get(r.role.strip().lower(), -1) for r in turns])
+        kind = {"user": "u", "human": "u", "assistant": "a", "bot": "a", "system": "s"}
+        assert sum(r.cost for r in turns) == brute_repair([kind.get(r.role.strip().lower(), "") for r in turns])
+
+
+def test_chat_keeps_large_ids_beside_nulls(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, big, "user", "a"), (big, None, "user", "b"), (None, big, "user", "c"), (0, 0, "user", "d")], "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.turn) for r in chat.repaired(df).collect()} == {(big, big), (big, None), (None, big), (0, 0)}
 
 
 def test_chat_cuts_change_nothing(spark, monkeypatch):
