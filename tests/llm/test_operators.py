@@ -588,6 +588,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";<
         ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"),
         ("<article><p class='share-bar'>Share</p><p>Text</article>", "Text"),
         ("<p>1 < 2 and 3 > 2</p><p title='a>b'>ok", "1 < 2 and 3 > 2\nok"),
+        ('<body class="no-sidebar single-post"><p data-id="ad">Text', "Text"),
+        ('<article class="post comments-open">In</article>', "In"),
+        ('<div id="search-results-explained">Text</div><div class="comments">No</div>', "Text"),
+        ("<div>" * 3000 + "deep", "deep"),
         ("<article>never closed <p>x", "never closed\nx"),
     ],
 )
@@ -606,6 +610,52 @@ def test_wrapper_leaves_varying_slots(spark):
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
+def brute_match(a, b):
+    """Size of the largest match, by all order-preserving choices of children."""
+    if a.label != b.label:
+        return 0
+
+    def children(x, y):
+        if not x or not y:
+            return 0
+        return max(children(x[1:], y), children(x, y[1:]), (brute_match(x[0], y[0]) or -99) + children(x[1:], y[1:]))
+
+    return 1 + children(a.children, b.children)
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_matching_equals_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(html, "CELLS", cells)
+    rng = random.Random(4)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1) if depth else rng.choice('xyz')}</{t}>" for t in rng.choices(("div", "b", "i"), k=rng.randrange(0, 5)))
+
+    for _ in range(150):
+        a, b = html.tree(page(2)), html.tree(page(2))
+        pairs = html.matched(a, b)
+        assert len(pairs) == brute_match(a, b)
+        assert all(x.label == y.label and (x.parent is None or (x.parent, y.parent) in pairs) for x, y in pairs)
+
+
+def test_deep_and_wide_pages_are_matched():
+    deep = html.tree("<div>" * 3000 + "x")
+    assert len(html.matched(deep, html.tree("<div>" * 2990 + "x"))) == 2991
+    wide = [html.tree("".join(f"<p>{i}</p>" for i in range(n))) for n in (2000, 1990)]
+    assert len(html.matched(*wide)) == 1991
+
+
+def test_template_decides_without_tags_under_any_partitioning(spark):
+    page = "<div><div>House of stories {end}</div><div><p>Story {n} of today</p><p>More on {m}</p></div><div>All rights kept</div></div>"
+    rows = [(i, "http://plain.example/" + str(i), page.format(n=i, m=i * 7, end="" if i % 10 else "!")) for i in range(40)]
+    rows += [(100 + i, "http://plain.example/c", rows[3][2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [{(r.page_id, r.text) for r in html.extract(df.repartition(n)).collect()} for n in (1, 3, 17)]
+    assert found[0] == found[1] == found[2]
+    texts = dict(found[0])
+    assert texts[7] == "Story 7 of today\nMore on 49" and texts[10] == "House of stories !\nStory 10 of today\nMore on 70" and texts[150] == texts[3]
+
+
 def test_simple_tree_matching_size():
     a, b = html.tree("<div><p>1</p><ul><li>x<li>y</ul></div>"), html.tree("<div><h1>t</h1><p>1</p><ul><li>x</ul></div>")
     assert len(html.matched(a, b)) == 5  # root, div, p, ul, one li
