@@ -7,9 +7,11 @@ so that buckets stay small; results don't depend on the sample.
 
 First come the pairs that SimHash finds (the covering masks of ``simhash`` over fingerprints of the same shingles), each text with the
 smallest of its class there, and the members of a bucket with its smallest one: both link large groups of copies without pairs. Then
-buckets whose members are not yet in one class are checked whole: equal buckets once, a bucket needs a member whose shingle stands early
+buckets whose members are not yet in one class are checked whole: equal buckets once, only with members whose shingle stands early
 enough to be the first that a similar pair shares, and a task counts the shared shingles of the members by a matrix product over
-blocks of at most about ``PART`` shingles. A task gives back no pairs but the links that unite classes, fewer than it has members.
+blocks of at most about ``PART`` shingles. A task gives back no pairs but the links that unite classes, fewer than it has members. To
+halve the shuffle it counts the upper halves of the hashes, which can only find more; the links are then checked, and groups
+with one that fails are done again with whole hashes.
 
 Nulls and empty texts have the empty set and are one class. Rows with a null doc_id join the class of their text.
 """
@@ -129,18 +131,18 @@ def _possible(pairs: DataFrame) -> DataFrame:
 
 
 def sets_of(named: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and h (its shingles) of the named nodes. nodes has the text_key (__tk) of one text of each node."""
+    """node and h (its shingles) of the named nodes, to be used once. nodes has the text_key (__tk) of one text of each node."""
     needed = materialize(nodes.join(named.hint("merge"), "node", "left_semi"), "needed")
     listed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed.hint("merge")
     texts = docs.select(text_key().alias("__tk"), "text").join(listed, "__tk").select("node", "text").dropDuplicates(["node"])
-    return materialize(_sets(texts, ["node"]), "sets")
+    return _sets(texts, ["node"])
 
 
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose sets are similar. nodes has the text_key (__tk) of one text of each node."""
     least, of = SIMILAR
     pairs = materialize(pairs, "pairs")
-    sets = sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs, nodes)
+    sets = materialize(sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs, nodes), "sets")
     left = sets.select(F.col("node").alias("u"), F.col("h").alias("__a"))
     right = sets.select(F.col("node").alias("v"), F.col("h").alias("__b"))
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v")
@@ -149,9 +151,14 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def unions(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of places of similar sets that unite the classes of all similar sets, as few as possible."""
+    """Pairs of places of similar sets that unite the classes of all similar sets, as few as possible.
+
+    Members that a set repeats (cut hashes) count as shared, so no similar pair is missed.
+    """
     least, of = SIMILAR
     sizes, labels, out = np.array([len(x) for x in sets]), classes.copy(), []
+    sets = [np.unique(x) for x in sets]
+    lost = sizes - np.array([len(x) for x in sets])
 
     def unite(i: int, places: np.ndarray) -> None:
         for j in places:
@@ -163,10 +170,10 @@ def unions(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, int]]
         for i in range(len(sets)):
             for j in range(i):
                 if labels[i] != labels[j] and min(sizes[i], sizes[j]) * of >= max(sizes[i], sizes[j]) * least:
-                    if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) * (least + of) >= (sizes[i] + sizes[j]) * least:
+                    if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) * (least + of) + (lost[i] + lost[j]) * (least + of) >= (sizes[i] + sizes[j]) * least:
                         unite(i, np.array([j]))
         return out
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), sizes - lost)
     _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.flatnonzero(counts[place] > 1)
     new = np.cumsum(counts > 1) - 1  # shared shingles, numbered
@@ -181,11 +188,11 @@ def unions(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, int]]
         part[owner[a:b], place[a:b] - low] = 1
         shared += part @ part.T
     for i in range(len(sets)):
-        unite(i, np.flatnonzero((shared[i] * (least + of) >= (sizes + sizes[i]) * least) & (labels != labels[i])))
+        unite(i, np.flatnonzero(((shared[i] + lost[i] + lost) * (least + of) >= (sizes + sizes[i]) * least) & (labels != labels[i])))
     return out
 
 
-def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame, whole_hashes: bool = False) -> DataFrame:
     """Links (u, v) that unite the similar nodes of each group (members, node, n, class). nodes has the text_key (__tk) of one text of each node."""
     whole = Window.partitionBy("members")
     blocks = F.ceil(2 * F.sum("n").over(whole) / PART).cast("int")
@@ -193,6 +200,8 @@ def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
     dealt = materialize(cut.select("members", "node", "class", "own", other.alias("k")).select("members", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "class"), "blocks")
     sets = sets_of(dealt.select("node").distinct(), docs, nodes)
+    if not whole_hashes:
+        sets = sets.select("node", F.transform("h", lambda x: F.shiftright(x, 32).cast("int")).alias("h"))
     rows = dealt.join(sets.hint("merge"), "node").select("members", "i", "j", "node", "class", "h").repartition("members", "i", "j").sortWithinPartitions("members", "i", "j", "node")
 
     def run(batches):
@@ -241,10 +250,19 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
     rest = members.drop("c").join(roots.hint("merge"), "node", "left").select("g", "node", "n", "at", F.coalesce("root", "node").alias("class"))
     least, of = SIMILAR
-    early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * least) * F.col("n") / (least + of))
-    marked = rest.select("*", F.min("class").over(bucket).alias("low"), F.max("class").over(bucket).alias("high"), F.max(early).over(bucket).alias("early"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("xor"), F.count("*").over(bucket).alias("m"))
-    rest = marked.where("low < high and early").groupBy(F.xxhash64("xor", "m").alias("members"), "node").agg(F.min("n").alias("n"), F.min("class").alias("class"))
-    more = materialize(united(rest, docs, nodes), "more")
+    # Where a shingle is the first that a similar pair shares, what follows it in either set holds their overlap, least / (least + of) of both sizes.
+    room = (F.col("n") - F.col("at")) * (least + of) - F.col("n") * least
+    rest = rest.withColumn("small", F.min("n").over(bucket)).where(room >= F.col("small") * least).drop("small")
+    marked = rest.select("*", F.min("class").over(bucket).alias("low"), F.max("class").over(bucket).alias("high"), F.min("n").over(bucket).alias("small"), F.max("n").over(bucket).alias("large"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("xor"), F.count("*").over(bucket).alias("m"))
+    unlike = (F.col("m") == 2) & (F.col("small") * of < F.col("large") * least)
+    rest = marked.where((F.col("low") < F.col("high")) & ~unlike).groupBy(F.xxhash64("xor", "m").alias("members"), "node").agg(F.min("n").alias("n"), F.min("class").alias("class"))
+    rest = materialize(rest, "rest")
+    found = materialize(united(rest, docs, nodes), "found")
+    more = materialize(similar(found, docs, nodes), "more")
+    failed = materialize(found.join(more, ["u", "v"], "left_anti"), "failed")
+    if not failed.isEmpty():
+        again = rest.join(failed.select(F.col("u").alias("node")).union(failed.select("v")).distinct(), "node", "left_semi").select("members").distinct()
+        more = materialize(more.union(united(rest.join(again, "members", "left_semi"), docs, nodes, True)).distinct(), "more")
     if more.isEmpty():
         return roots
     stars = roots.where("node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))

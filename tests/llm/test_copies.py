@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -66,6 +67,35 @@ def test_classes(spark, texts, monkeypatch, sample):
     assert copies.classes(frame.limit(0), ("k",)).count() == 0
 
 
+@pytest.mark.parametrize("m", [5, 60])
+def test_unions_equal_all_pairs(m):
+    """Links within a group unite what all pairs unite, by whole hashes; by cut ones at least that."""
+    rng = np.random.default_rng(m)
+    base = [np.unique(rng.integers(-(2**63), 2**63 - 1, 40)) for _ in range(4)]
+    sets = []
+    for k in range(m):
+        x = base[k % 4].copy()
+        x[rng.choice(len(x), rng.integers(0, 8), replace=False)] = rng.integers(-(2**63), 2**63 - 1)
+        sets.append(np.unique(x))
+    labels = np.arange(m)
+    for a, b in itertools.combinations(range(m), 2):
+        if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b])):
+            labels[labels == labels[a]] = labels[b]
+
+    def classes(links):
+        out = np.arange(m)
+        for a, b in links:
+            out[out == out[a]] = out[b]
+        return out
+
+    for cut in (sets, [(x >> 32).astype(np.int32) for x in sets]):
+        links = copies.unions(cut, np.arange(m))
+        got = classes(links)
+        assert len(links) < m and all((got[a] == got[b]) == (labels[a] == labels[b]) for a, b in itertools.combinations(range(m), 2))
+    tiny = [(x & 3).astype(np.int32) for x in sets]  # collisions everywhere: nothing is missed
+    assert len(set(classes(copies.unions(tiny, np.arange(m))))) <= len(set(labels))
+
+
 def test_stage_drops_edited_copies(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {min(i for i, x in enumerate(brute_classes(texts)) if x == c) for c in set(brute_classes(texts))}
