@@ -92,15 +92,20 @@ def keyed_uniform(seed: int | Column, *key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def poisson_draw(rate: Column, u: Column, most: int = 15) -> Column:
-    """The inverse of the Poisson distribution function at u: how many of its values for 0..most are at most u."""
+def poisson_draw(rate: Column, u: Column, first: int = 15) -> Column:
+    """The inverse of the Poisson distribution function at u: how many of its values are at most u.
+
+    The first values decide nearly always; else all values go in up to where the tail is below the resolution of u.
+    """
     start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
 
     def step(acc, k):
         p = acc["p"] * rate / k
         return F.struct((acc["n"] + F.when(acc["cdf"] <= u, 1).otherwise(0)).alias("n"), p.alias("p"), (acc["cdf"] + p).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["n"])
+    short = F.aggregate(F.sequence(F.lit(1), F.lit(first)), start, step, lambda acc: acc["n"])
+    enough = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
+    return F.when(short < first, short).otherwise(F.aggregate(F.sequence(F.lit(1), enough), start, step, lambda acc: acc["n"]))
 
 
 def log_loss(p: Column) -> Column:

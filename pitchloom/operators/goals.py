@@ -126,17 +126,23 @@ def _grid(rate_a: Column, rate_b: Column, rho: Column, most: int) -> Column:
 def with_outcomes(rated: DataFrame, rho: float | Column = 0.0, most: int = MOST_GOALS, keep_cells: bool = False) -> DataFrame:
     """rated matches with p_home, p_draw and p_away: sums below, on and above the diagonal of the normalized score matrix."""
     rho = F.lit(float(rho)) if isinstance(rho, (int, float)) else rho
-    full = rated.withColumn("__cells", _grid(F.col("rate_home"), F.col("rate_away"), rho, most))
-    total = lambda keep: F.aggregate(F.filter("__cells", keep), F.lit(0.0), lambda s, c: s + c["p"])
-    full = full.withColumn("__all", total(lambda c: F.lit(True)))
     if keep_cells:
+        full = rated.withColumn("__cells", _grid(F.col("rate_home"), F.col("rate_away"), rho, most))
+        full = full.withColumn("__all", F.aggregate("__cells", F.lit(0.0), lambda s, c: s + c["p"]))
         return full.select(*rated.columns, "__all", F.explode("__cells").alias("c")).select(*rated.columns, "c.home_goals", "c.away_goals", (F.col("c.p") / F.col("__all")).alias("p"))
-    return full.select(
-        *rated.columns,
-        (total(lambda c: c["home_goals"] > c["away_goals"]) / F.col("__all")).alias("p_home"),
-        (total(lambda c: c["home_goals"] == c["away_goals"]) / F.col("__all")).alias("p_draw"),
-        (total(lambda c: c["home_goals"] < c["away_goals"]) / F.col("__all")).alias("p_away"),
-    )
+    # The cells are products but for the four lowest: sums of products of the two distributions, as plain columns.
+    a, b = ([F.col(f"__{s}{k}") for k in range(most + 1)] for s in "ab")
+    pmf = {f"__{s}{k}": poisson_pmf(F.lit(k), F.col(r)) for s, r in (("a", "rate_home"), ("b", "rate_away")) for k in range(most + 1)}
+    change = {f"__{i}{j}": a[i] * b[j] * (low_score_factor(F.lit(i), F.lit(j), F.col("rate_home"), F.col("rate_away"), rho) - 1) for i in (0, 1) for j in (0, 1)}
+    add = lambda parts: sum(parts[1:], parts[0])
+    sums = {
+        "__h": add([a[i] * add(b[:i]) for i in range(1, most + 1)]) + F.col("__10"),
+        "__d": add([x * y for x, y in zip(a, b, strict=True)]) + F.col("__00") + F.col("__11"),
+        "__v": add([b[i] * add(a[:i]) for i in range(1, most + 1)]) + F.col("__01"),
+    }
+    full = rated.withColumns(pmf).withColumns(change).select(*rated.columns, *[c.alias(n) for n, c in sums.items()])
+    shares = [F.col(c) / (F.col("__h") + F.col("__d") + F.col("__v")) for c in sums]
+    return full.select(*rated.columns, *[s.alias(n) for s, n in zip(shares, ("p_home", "p_draw", "p_away"), strict=True)])
 
 
 def ordered_logit(dr: Column, c1: float, c2: float, scale: float) -> list[Column]:
@@ -148,10 +154,12 @@ def ordered_logit(dr: Column, c1: float, c2: float, scale: float) -> list[Column
 def fit_ordered_logit(rows: DataFrame, bucket: float = 5.0, most_buckets: int = 20_000) -> tuple[float, float, float]:
     """Cut-points and scale by maximum likelihood over counts of (rating difference in buckets, outcome).
 
-    Rows: dr, outcome. The counts are bounded by the range of differences, at most ``most_buckets`` per outcome.
+    Rows: dr, outcome. The counts are bounded by the range of differences, at most ``most_buckets`` per outcome; more raise.
     """
     counts = rows.groupBy(F.floor(F.col("dr") / bucket).alias("b"), "outcome").agg(F.avg("dr").alias("dr"), F.count("*").alias("n"))
-    table = counts.limit(3 * most_buckets).toPandas()
+    table = counts.limit(3 * most_buckets + 1).toPandas()
+    if len(table) > 3 * most_buckets:
+        raise ValueError(f"ordered logit: more than {most_buckets} buckets")
     dr, y, n = table["dr"].to_numpy(float), table["outcome"].to_numpy(int), table["n"].to_numpy(float)
 
     def loss(t):

@@ -13,12 +13,14 @@ def _in_force(date: Column) -> Column:
 def resolve(rows: DataFrame, aliases: DataFrame, key: list[str], name: str = "source_name", date: str = "date") -> DataFrame:
     """rows with team_id and n_aliases: the alias in force on the date. None gives null and 0, several give null and their number.
 
-    An equi-join on source and name with the interval as residual predicate; ``key`` identifies a row.
+    The few aliases of a name are one array, so a row meets one row and is not grouped again; key comes first in the result.
     """
-    a = aliases.select(F.col("source").alias("__source"), F.col("source_name").alias("__name"), "team_id", "valid_from", "valid_to")
-    found = rows.join(a, (F.col("source") == F.col("__source")) & (F.col(name) == F.col("__name")) & _in_force(F.col(date)), "left")
-    n = F.count("team_id")
-    return found.groupBy(*key).agg(*[F.first(c).alias(c) for c in rows.columns if c not in key], n.cast("int").alias("n_aliases"), F.when(n == 1, F.min("team_id")).alias("team_id"))
+    entry = F.struct("team_id", "valid_from", F.coalesce("valid_to", F.lit("9999-12-31").cast("date")).alias("valid_to"))
+    a = aliases.groupBy(F.col("source").alias("__source"), F.col("source_name").alias("__name")).agg(F.collect_list(entry).alias("__all"))
+    found = rows.join(a, (F.col("source") == F.col("__source")) & (F.col(name) == F.col("__name")), "left")
+    valid = F.coalesce(F.filter("__all", lambda x: x["team_id"].isNotNull() & (x["valid_from"] <= F.col(date)) & (F.col(date) <= x["valid_to"])), F.array().cast(found.schema["__all"].dataType))
+    rest = [c for c in rows.columns if c not in key]
+    return found.withColumn("__valid", valid).select(*key, *rest, F.size("__valid").alias("n_aliases"), F.when(F.size("__valid") == 1, F.get("__valid", F.lit(0))["team_id"]).alias("team_id"))
 
 
 def unresolved(rows: DataFrame, aliases: DataFrame, name: str = "source_name", date: str = "date") -> DataFrame:

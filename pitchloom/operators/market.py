@@ -20,14 +20,20 @@ def demargined(quotes: DataFrame) -> DataFrame:
 def linked(quotes: DataFrame, fixture: DataFrame, key: list[str], hours: float = 12) -> DataFrame:
     """quotes (home_team_id, away_team_id, commence_time) with n_fixtures and, if that is 1, match_id and whether the sides are swapped.
 
-    An equi-join on the unordered pair with the kickoff interval as residual predicate.
+    An equi-join on the unordered pair and a span of time as long as the tolerance: a fixture stands in its own span and in both next to it, and
+    those of a pair and span are one short array. So a quote meets one row, is not grouped again, and a frequent pair is no hot key.
     """
-    f = fixture.select("match_id", "kickoff", F.col("home_team_id").alias("__home"), pair_key(F.col("home_team_id"), F.col("away_team_id")).alias("__pair"))
-    near = F.abs(F.unix_micros("kickoff") - F.unix_micros("commence_time")) <= int(hours * 3_600_000_000)
-    found = quotes.withColumn("__p", pair_key(F.col("home_team_id"), F.col("away_team_id"))).join(f, (F.col("__p") == F.col("__pair")) & near, "left")
-    n = F.count("match_id")
-    rest = [F.first(c).alias(c) for c in quotes.columns if c not in key]
-    return found.groupBy(*key).agg(*rest, n.cast("int").alias("n_fixtures"), F.when(n == 1, F.min("match_id")).alias("match_id"), F.when(n == 1, F.min(F.col("__home") != F.col("home_team_id"))).alias("swapped"))
+    span = int(hours * 3_600_000_000)
+    own = F.floor(F.unix_micros("kickoff") / span)
+    entry = F.struct("match_id", F.unix_micros("kickoff").alias("at"), F.col("home_team_id").alias("home"))
+    f = fixture.where("match_id is not null and kickoff is not null").select(pair_key(F.col("home_team_id"), F.col("away_team_id")).alias("__pair"), entry.alias("__one"), F.explode(F.array(own - 1, own, own + 1)).alias("__span"))
+    f = f.groupBy("__pair", "__span").agg(F.collect_list("__one").alias("__all"))
+    mine = quotes.withColumn("__p", pair_key(F.col("home_team_id"), F.col("away_team_id"))).withColumn("__s", F.floor(F.unix_micros("commence_time") / span))
+    found = mine.join(f, (F.col("__p") == F.col("__pair")) & (F.col("__s") == F.col("__span")), "left")
+    near = F.coalesce(F.filter("__all", lambda x: F.abs(x["at"] - F.unix_micros("commence_time")) <= span), F.array().cast(found.schema["__all"].dataType))
+    one, only = F.get("__near", F.lit(0)), F.size("__near") == 1
+    rest = [c for c in quotes.columns if c not in key]
+    return found.withColumn("__near", near).select(*key, *rest, F.size("__near").alias("n_fixtures"), F.when(only, one["match_id"]).alias("match_id"), F.when(only, one["home"] != F.col("home_team_id")).alias("swapped"))
 
 
 def oriented(df: DataFrame, home: str, away: str, swapped: str = "swapped") -> DataFrame:
@@ -42,9 +48,18 @@ def fresh(quotes: DataFrame, as_of: Column, hours: float = 24) -> DataFrame:
 
 
 def consensus(probabilities: DataFrame, by: list[str]) -> DataFrame:
-    """Medians over bookmakers, normalized; means; number of bookmakers."""
+    """Medians over bookmakers, normalized; means; number of bookmakers. One aggregation brings the few quotes of a match together."""
     names = ("home", "draw", "away")
-    table = probabilities.dropna(subset=["prob_home"]).groupBy(*by).agg(*[F.median(f"prob_{n}").alias(f"__{n}") for n in names], *[F.avg(f"prob_{n}").alias(f"prob_{n}_mean") for n in names], F.count_distinct("bookmaker").alias("n_bookmakers"))
+
+    def median(name):
+        values = F.array_sort(F.transform("__q", lambda q: q[f"prob_{name}"]))
+        n = F.size("__q")
+        return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+    one = F.struct(*[f"prob_{n}" for n in names], "bookmaker")
+    table = probabilities.dropna(subset=["prob_home"]).groupBy(*by).agg(F.collect_list(one).alias("__q"), *[F.avg(f"prob_{n}").alias(f"prob_{n}_mean") for n in names])
+    bookmakers = F.size(F.array_distinct(F.filter(F.transform("__q", lambda q: q["bookmaker"]), lambda b: b.isNotNull()))).cast("long")
+    table = table.select("*", *[median(n).alias(f"__{n}") for n in names], bookmakers.alias("n_bookmakers"))
     shares = normalized(*[F.col(f"__{n}") for n in names])
     return table.select(*by, *[s.alias(f"prob_{n}") for s, n in zip(shares, names, strict=True)], *[f"prob_{n}_mean" for n in names], "n_bookmakers")
 

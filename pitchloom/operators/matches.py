@@ -79,11 +79,20 @@ def kickoff_boundary(fixture: DataFrame, played: DataFrame, now: Column) -> Data
 
 
 def latest_fraction(rows: DataFrame, fraction: float, order: list[str]) -> DataFrame:
-    """rows with ``recent``: the last share of them by order, at least one, leaving at least one."""
+    """rows with ``recent``: the last share of them by order, at least one, leaving at least one.
+
+    Counts by the first order column (a date: few values) find the date at which the share begins; only the rows of that date are sorted.
+    """
     n = rows.count()
     k = max(1, min(n - 1, round(n * fraction)))
-    bound = rows.select(F.struct(*order).alias("o")).orderBy(F.desc("o")).limit(k).agg(F.min("o").alias("bound"))
-    return rows.join(F.broadcast(bound), how="cross").withColumn("recent", F.struct(*order) >= F.col("bound")).drop("bound")
+    counts = rows.groupBy(order[0]).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(F.desc(order[0])))
+    found = counts.withColumn("upto", upto).where((F.col("upto") >= k) & (F.col("upto") - F.col("c") < k)).first()
+    if found is None:
+        return rows.withColumn("recent", F.lit(False))
+    own = rows.where(F.col(order[0]).eqNullSafe(F.lit(found[order[0]]))).select(F.struct(*order).alias("o"))
+    bound = own.orderBy(F.desc("o")).limit(k - (found["upto"] - found["c"])).agg(F.min("o").alias("bound"))  # rows of one date
+    return rows.join(F.broadcast(bound), how="cross").withColumn("recent", F.struct(*order) >= F.col("bound")).drop("bound")  # one row
 
 
 def rolling_form(sides: DataFrame, last: int = 5, enough: int = 5) -> DataFrame:

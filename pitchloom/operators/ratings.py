@@ -9,18 +9,20 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchloom.functions.columns import HOME_BONUS, SPREAD, START_RATING
 
+#: Categories of tournaments and their K-factors.
+K_CATEGORIES = {"wc": 60, "continental": 50, "qualifier_major": 40, "other": 30, "friendly": 20}
 HISTORY = "pool string, match_id string, date date, team_id string, opponent_id string, rating_pre double, rating_post double, k_factor int"
 
 
 def change(elo_home: float, elo_away: float, home: int, away: int, k: int, neutral: bool, drawn: bool) -> float:
-    """What the home team gains and the away team loses."""
-    gap = elo_home + (0.0 if neutral else HOME_BONUS) - elo_away
-    expected = 1 / (10 ** (-gap / SPREAD) + 1)
+    """What the home team gains and the away team loses. The home bonus counts for what is expected, not for the margin."""
+    gap = elo_home - elo_away
+    expected = 1 / (10 ** (-(gap + (0.0 if neutral else HOME_BONUS)) / SPREAD) + 1)
     margin = 0 if drawn else home - away
     result = 0.5 if margin == 0 else float(margin > 0)
     factor = 1.0 if margin == 0 else math.log(abs(margin) + 1) * 2.2 / ((gap if margin > 0 else -gap) * 0.001 + 2.2)
@@ -54,9 +56,19 @@ def history(matches: DataFrame, pool: str | None = None) -> DataFrame:
 def leaderboard(rated: DataFrame) -> DataFrame:
     """Last rating of each team and its dense rank; the rank runs over one row per team."""
     last = rated.groupBy("team_id").agg(F.max_by("rating_post", F.struct("date", "match_id")).alias("rating"))
-    ranks = last.select("rating").distinct()
-    ahead = ranks.alias("a").join(F.broadcast(ranks.alias("b")), F.col("b.rating") > F.col("a.rating"), "left").groupBy("a.rating").agg((F.count("b.rating") + 1).cast("int").alias("rank"))
-    return last.join(ahead, "rating").select("team_id", "rating", "rank")
+    return last.withColumn("rank", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rating"))))
+
+
+def k_factors(matches: DataFrame, table: DataFrame) -> DataFrame:
+    """matches with k_factor, by the exact name of their tournament. table (tournament, k_category, k_factor) is a reviewed list, one row
+    per name; an unknown category, a factor that is not its category's, a repeated name or a match without an entry raises."""
+    known = F.create_map(*[F.lit(x) for pair in K_CATEGORIES.items() for x in pair])
+    bad = table.where(F.coalesce(known[F.col("k_category")] != F.col("k_factor"), F.lit(True)))
+    if not bad.isEmpty() or not table.groupBy("tournament").count().where("count > 1").isEmpty():
+        raise ValueError("K-factor table: unknown categories, factors that differ from their category, or repeated names")
+    joined = matches.drop("k_factor").join(table.select("tournament", F.col("k_factor").cast("int").alias("__k")), "tournament", "left")
+    missing = F.raise_error(F.concat(F.lit("no K-factor for tournament "), F.coalesce("tournament", F.lit("null")))).cast("int")
+    return joined.withColumn("k_factor", F.coalesce("__k", missing)).drop("__k")
 
 
 def with_ratings(matches: DataFrame, rated: DataFrame) -> DataFrame:

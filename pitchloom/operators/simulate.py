@@ -70,6 +70,9 @@ def simulate(spark: SparkSession, fixture: DataFrame, rates: DataFrame, mapping:
     scores = played.select("match_id", "home_score", "away_score") if played is not None else spark.createDataFrame([], "match_id string, home_score int, away_score int")
     matches = fixture.where("stage = 'group'").join(scores, "match_id", "left").join(rates, ["home_team_id", "away_team_id"]).select("match_id", "group", number[F.col("home_team_id")].alias("home"), number[F.col("away_team_id")].alias("away"), "rate_home", "rate_away", "home_score", "away_score")
     chances = {(r["home_team_id"], r["away_team_id"]): r["p_advance"] for r in rates.select("home_team_id", "away_team_id", "p_advance").collect()}  # teams squared
+    missing = [(a, b) for a in teams for b in teams if a != b and (a, b) not in chances]
+    if missing:
+        raise ValueError(f"no chance to advance for {len(missing)} pairs, {missing[0]} first")
     chance = F.array(*[F.lit(float(chances.get((a, b), 0.5))) for a in teams for b in teams])
     parts = parts or max(8, min(2_000, n_sims // 2_000))
     sims = spark.range(n_sims).withColumnRenamed("id", "sim").repartition(parts, "sim")
@@ -96,6 +99,8 @@ def simulate(spark: SparkSession, fixture: DataFrame, rates: DataFrame, mapping:
             m, h, a = r["match_id"], F.col(f"h_{r['match_id']}"), F.col(f"a_{r['match_id']}")
             if m in fixed:
                 f = fixed[m]
+                if not f["advanced_team"] and f["home_score"] == f["away_score"]:
+                    raise ValueError(f"drawn knockout match {m} without advanced_team")
                 winner = f["advanced_team"] or (r["home_team_id"] if f["home_score"] > f["away_score"] else r["away_team_id"])
                 loser = next((t for t in (r["home_team_id"], r["away_team_id"]) if t != winner), None)
                 new[f"w_{m}"], new[f"l_{m}"] = F.lit(teams.index(winner)), F.lit(teams.index(loser) if loser in teams else None).cast("int")

@@ -111,6 +111,39 @@ def head_to_head(spark, sf_dir):
     return rules.head_to_head(games, blocks, ["group"])
 
 
+@query(STANDINGS + """, th AS (SELECT *, -(points % 3) AS conduct, goals_for % 2 AS place FROM rk WHERE position = 3)
+SELECT "group", team_id, CAST(points AS BIGINT) AS points, row_number() OVER (ORDER BY points // 100 DESC, conduct DESC, place, team_id) AS o0, count(*) OVER (PARTITION BY points // 100, conduct, place) > 1 AS tied FROM th""".replace("row_number() OVER (ORDER BY points // 100 DESC, conduct DESC, place, team_id) AS o0", "CAST(row_number() OVER (ORDER BY points // 100 DESC, conduct DESC, place, team_id) AS INTEGER) AS \"order\", row_number() OVER (ORDER BY points // 100 DESC, conduct DESC, place, team_id) <= 2 AS qualified"))
+def best_thirds_cascade(spark, sf_dir):
+    """Points in steps of 100 and no goals, so that conduct and ranking editions decide."""
+    table = rules.ranked(rules.standings(_group_matches(spark, sf_dir), ["group"]), ["group"]).where("position = 3")
+    coarse = table.select("group", "team_id", F.col("points").alias("all"), F.floor(F.col("points") / 100).alias("points"), F.lit(0).alias("goal_difference"), F.lit(0).alias("goals_for"), (-(F.col("points") % 3)).alias("conduct"), F.array(F.col("goals_for") % 2).alias("places"))
+    return rules.best_thirds(coarse, 2, []).select("group", "team_id", F.col("all").alias("points"), "order", "qualified", "tied")
+
+
+@query("""SELECT match_id, home_region, CAST(CASE home_region WHEN 0 THEN 60 WHEN 1 THEN 50 WHEN 2 THEN 40 WHEN 3 THEN 30 ELSE 20 END AS INTEGER) AS k_factor FROM m""")
+def k_factor_lookup(spark, sf_dir):
+    """Regions as tournaments: exact names to reviewed factors."""
+    table = spark.createDataFrame([(f"t{i}", c, k) for i, (c, k) in enumerate(ratings.K_CATEGORIES.items())], "tournament string, k_category string, k_factor int")
+    m = scans.matches(spark, sf_dir).withColumn("tournament", F.concat(F.lit("t"), F.col("home_region").cast("string")))
+    return ratings.k_factors(m, table).select("match_id", "home_region", "k_factor")
+
+
+@query(""", fx AS (SELECT match_id, CASE WHEN home_region = away_region THEN 'group' ELSE 'r32' END AS stage, home_team_id, away_team_id FROM m WHERE k_factor <> 20),
+rs AS (SELECT match_id, CASE WHEN k_factor = 30 THEN 'nobody' ELSE home_team_id END AS a, CASE WHEN k_factor = 40 AND home_score > 2 THEN home_team_id ELSE away_team_id END AS b, home_score, away_score,
+  CASE WHEN outcome = 0 AND k_factor = 60 THEN home_team_id END AS adv FROM m),
+j AS (SELECT rs.*, stage, home_team_id AS h, away_team_id AS w FROM rs LEFT JOIN fx USING (match_id))
+SELECT match_id, 'unknown_match' AS rule FROM j WHERE stage IS NULL UNION ALL SELECT match_id, 'unknown_team' FROM j WHERE a = 'nobody' UNION ALL SELECT match_id, 'wrong_teams' FROM j WHERE h IS NOT NULL AND NOT ((a = h AND b = w) OR (a = w AND b = h))
+UNION ALL SELECT match_id, 'advanced_in_group' FROM j WHERE stage = 'group' AND adv IS NOT NULL UNION ALL SELECT match_id, 'drawn_knockout' FROM j WHERE stage <> 'group' AND home_score = away_score AND adv IS NULL""")
+def state_errors(spark, sf_dir):
+    """Results with planted faults against their fixture."""
+    m = scans.matches(spark, sf_dir)
+    fixture = m.where("k_factor <> 20").select("match_id", F.when(F.col("home_region") == F.col("away_region"), "group").otherwise("r32").alias("stage"), "home_team_id", "away_team_id")
+    a = F.when(F.col("k_factor") == 30, "nobody").otherwise(F.col("home_team_id")).alias("team_a")
+    b = F.when((F.col("k_factor") == 40) & (F.col("home_score") > 2), F.col("home_team_id")).otherwise(F.col("away_team_id")).alias("team_b")
+    advanced = F.when((F.col("outcome") == 0) & (F.col("k_factor") == 60), F.col("home_team_id")).alias("advanced_team")
+    return rules.state_errors(m.select("match_id", a, b, F.col("home_score").alias("goals_a"), F.col("away_score").alias("goals_b"), advanced), fixture)
+
+
 @query()
 def tie_break_cascade(spark, sf_dir):
     """Seasons as groups of matches: shorter tables tie more often."""
@@ -137,12 +170,12 @@ def rolling_form(spark, sf_dir):
     return matches.rolling_form(matches.perspectives(scans.matches(spark, sf_dir)))
 
 
-@query("""SELECT DISTINCT e.match_id, coalesce((SELECT arg_max(h.goals, h.date) FROM (SELECT team_id, date, CAST(sum(scored) AS DOUBLE) AS goals FROM p GROUP BY 1, 2) h
-  WHERE h.team_id = e.home_team_id AND h.date < e.date), 0.0) AS goals FROM m e WHERE year(date) = 1999""")
+@query(""", h AS (SELECT team_id, date, CAST(sum(scored) AS DOUBLE) AS goals FROM p GROUP BY 1, 2)
+SELECT e.match_id, coalesce(h.goals, 0.0) AS goals FROM m e ASOF LEFT JOIN h ON h.team_id = e.home_team_id AND e.date > h.date""")
 def as_of_goals(spark, sf_dir):
     m = scans.matches(spark, sf_dir)
     history = matches.perspectives(m).groupBy("team_id", "date").agg(F.sum("scored").alias("goals"))
-    events = m.where("year(date) = 1999").select("match_id", F.col("home_team_id").alias("team_id"), "date")
+    events = m.select("match_id", F.col("home_team_id").alias("team_id"), "date")
     return matches.as_of(events, history, "team_id", "date", "goals", 0.0).select("match_id", "goals")
 
 
@@ -224,8 +257,8 @@ def shootout_join(spark, sf_dir):
     return matches.with_shootouts(m.select("date", "home_team_id", "away_team_id", "match_id"), shootouts)
 
 
-QUOTED = """, fx AS (SELECT match_id, CAST(date AS TIMESTAMP) + INTERVAL 18 HOUR AS kickoff, home_team_id, away_team_id FROM m WHERE year(date) = 2000),
-qs AS (SELECT match_id AS event_id, away_team_id AS home_team_id, home_team_id AS away_team_id, CAST(date AS TIMESTAMP) + INTERVAL 18 HOUR + (k_factor - 20) * INTERVAL 20 MINUTE AS commence_time FROM m WHERE year(date) = 2000)"""
+QUOTED = """, fx AS (SELECT match_id, CAST(date AS TIMESTAMP) + INTERVAL 18 HOUR AS kickoff, home_team_id, away_team_id FROM m),
+qs AS (SELECT match_id AS event_id, away_team_id AS home_team_id, home_team_id AS away_team_id, CAST(date AS TIMESTAMP) + INTERVAL 18 HOUR + (k_factor - 20) * INTERVAL 20 MINUTE AS commence_time FROM m)"""
 
 
 @query(QUOTED + """SELECT event_id, any_value(qs.home_team_id) AS home_team_id, any_value(qs.away_team_id) AS away_team_id, any_value(commence_time) AS commence_time, CAST(count(match_id) AS INTEGER) AS n_fixtures,
@@ -233,7 +266,7 @@ qs AS (SELECT match_id AS event_id, away_team_id AS home_team_id, home_team_id A
 FROM qs LEFT JOIN fx ON least(qs.home_team_id, qs.away_team_id) = least(fx.home_team_id, fx.away_team_id) AND greatest(qs.home_team_id, qs.away_team_id) = greatest(fx.home_team_id, fx.away_team_id)
   AND abs(epoch_us(kickoff) - epoch_us(commence_time)) <= 43200000000 GROUP BY 1""")
 def quote_fixture_link(spark, sf_dir):
-    m = scans.matches(spark, sf_dir).where("year(date) = 2000").withColumn("kickoff", F.to_timestamp("date") + F.expr("interval 18 hours"))
+    m = scans.matches(spark, sf_dir).withColumn("kickoff", F.to_timestamp("date") + F.expr("interval 18 hours"))
     fixture = m.select("match_id", "kickoff", "home_team_id", "away_team_id")
     quotes = m.select(F.col("match_id").alias("event_id"), F.col("away_team_id").alias("home_team_id"), F.col("home_team_id").alias("away_team_id"), (F.col("kickoff") + F.make_dt_interval(mins=(F.col("k_factor") - 20) * 20)).alias("commence_time"))
     return market.linked(quotes, fixture, ["event_id"])
@@ -311,14 +344,14 @@ def goal_statistics(spark, sf_dir):
     return goals.cells(matches.weighted(scans.matches(spark, sf_dir), F.lit("2000-01-01").cast("date"), 0.00095))
 
 
-PMF = """, r AS (SELECT match_id, 0.8 + k_factor / 50.0 AS x, 0.6 + CAST(substr(match_id, 10, 1) AS INTEGER) / 10.0 AS y FROM m WHERE year(date) = 2000),
+PMF = """, r AS (SELECT match_id, 0.8 + k_factor / 50.0 AS x, 0.6 + CAST(substr(match_id, 10, 1) AS INTEGER) / 10.0 AS y FROM m),
 g AS (SELECT match_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, exp(-x) * pow(x, a) / factorial(CAST(a AS INTEGER)) * exp(-y) * pow(y, b) / factorial(CAST(b AS INTEGER))
   * CASE WHEN a = 0 AND b = 0 THEN 1 - x * y * -0.05 WHEN a = 0 AND b = 1 THEN 1 + x * -0.05 WHEN a = 1 AND b = 0 THEN 1 + y * -0.05 WHEN a = 1 AND b = 1 THEN 1 - -0.05 ELSE 1 END AS p
   FROM r, range(0, 11) ra(a), range(0, 11) rb(b))"""
 
 
 def _rated(spark, sf_dir):
-    return scans.matches(spark, sf_dir).where("year(date) = 2000").select("match_id", (0.8 + F.col("k_factor") / 50.0).alias("rate_home"), (0.6 + F.substring("match_id", 10, 1).cast("int") / 10.0).alias("rate_away"))
+    return scans.matches(spark, sf_dir).select("match_id", (0.8 + F.col("k_factor") / 50.0).alias("rate_home"), (0.6 + F.substring("match_id", 10, 1).cast("int") / 10.0).alias("rate_away"))
 
 
 @query(PMF + "SELECT match_id, x AS rate_home, y AS rate_away, sum(p) FILTER (a > b) / sum(p) AS p_home, sum(p) FILTER (a = b) / sum(p) AS p_draw, sum(p) FILTER (a < b) / sum(p) AS p_away FROM g JOIN r USING (match_id) GROUP BY 1, 2, 3")
@@ -344,7 +377,7 @@ def keyed_uniforms(spark, sf_dir):
 
 
 @query(""", d AS (SELECT match_id, 0.8 + k_factor / 50.0 AS x, CAST('0x' || substr(md5('7|' || match_id), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM m),
-c AS (SELECT match_id, u, k, sum(exp(-x) * pow(x, k) / factorial(CAST(k AS INTEGER))) OVER (PARTITION BY match_id ORDER BY k) AS cdf FROM d, range(0, 15) r(k))
+c AS (SELECT match_id, u, k, sum(exp(-x) * pow(x, k) / factorial(CAST(k AS INTEGER))) OVER (PARTITION BY match_id ORDER BY k) AS cdf FROM d, range(0, 30) r(k))
 SELECT match_id, CAST(count(*) FILTER (cdf <= u) AS INTEGER) AS goals FROM c GROUP BY 1""")
 def poisson_goals(spark, sf_dir):
     m = scans.matches(spark, sf_dir)

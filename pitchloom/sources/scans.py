@@ -44,13 +44,25 @@ def csv_live_results(spark: SparkSession, path: str) -> DataFrame:
 def tsv_ratings(spark: SparkSession, path: str) -> DataFrame:
     """Header-less rating list (rank, previous rank, code, rating); rows without a code go, a rating that is no number raises."""
     raw = spark.read.schema("rank string, previous string, code string, rating string").option("sep", "\t").csv(path)
-    return raw.where("nullif(trim(code), '') is not null").select(F.trim("code").alias("code"), F.col("rank").cast("int").alias("rank"), F.col("rating").cast("double").alias("rating"))
+    rows = raw.where("nullif(trim(code), '') is not null").select(F.trim("code").alias("code"), F.col("rank").cast("int").alias("rank"), F.col("rating").cast("double").alias("rating"))
+    return _unique(rows, "code", "rating list")
+
+
+def _unique(rows: DataFrame, key: str, what: str) -> DataFrame:
+    """rows, unless a key repeats. The lists are small dimensions."""
+    if not rows.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{what}: repeated {key}")
+    return rows
 
 
 def tsv_names(spark: SparkSession, path: str) -> DataFrame:
-    """Code and primary name, the first two fields of each line."""
+    """Code and primary name, the first two fields of each line; a line without both, or a repeated code, raises."""
     parts = F.split("value", "\t")
-    return spark.read.text(path).where("trim(value) <> ''").select(F.trim(parts[0]).alias("code"), F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")).alias("name"))
+    blank = lambda i: F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit(""))
+    rows = spark.read.text(path).select(blank(0).alias("code"), blank(1).alias("name"))
+    if not rows.where("code is null or name is null").isEmpty():
+        raise ValueError("names: malformed lines")
+    return _unique(rows, "code", "names")
 
 
 def json_quotes(payload: DataFrame, column: str = "payload") -> DataFrame:

@@ -41,6 +41,10 @@ def test_rating_change_is_bounded_and_signed(a, b, home, away, neutral):
 
 def test_rating_hand_value():
     assert 1500 + ratings.change(1500, 1500, 1, 0, 60, True, False) == pytest.approx(1520.7944, abs=1e-4)
+    # At home the bonus counts for what is expected alone: ln(3) * 2.2 / (0.1 + 2.2) * 40 * (1 - 1 / (1 + 10 ** -0.5)).
+    assert ratings.change(1600, 1500, 2, 0, 40, False, False) == pytest.approx(10.098, abs=1e-3)
+    # An away win: ln(3) * 2.2 / (-0.1 + 2.2) * 40 * (0 - 1 / (1 + 10 ** -0.5)).
+    assert ratings.change(1600, 1500, 0, 2, 40, False, False) == pytest.approx(-34.9765, abs=1e-3)
 
 
 def test_rating_history_follows_order(spark):
