@@ -7,7 +7,7 @@ so that buckets stay small; results don't depend on the sample.
 
 First come the pairs that SimHash finds (the covering masks of ``simhash`` over fingerprints of the same shingles), each text with the
 smallest of its class there, and the members of a bucket with its smallest one: both link large groups of copies without pairs. Then
-buckets whose members are not yet in one class are checked whole: equal buckets once, only with members whose shingle stands early
+buckets whose members are not yet in one class are checked whole: buckets that share members together as far as a task can hold them, only with members whose shingle stands early
 enough to be the first that a similar pair shares, and a task counts the shared shingles of the members by a matrix product over
 blocks of at most about ``PART`` shingles. A task gives back no pairs but the links that unite classes, fewer than it has members. To
 halve the shuffle it counts the upper halves of the hashes, which can only find more; the links are then checked, and groups
@@ -38,6 +38,8 @@ COMMON = 200_000
 #: Shingles of the members that are compared at once (8 bytes each); members with fewer than WIDE shared shingles go into one matrix.
 PART = 1 << 21
 WIDE = 4_096
+#: Members that are compared at once, at most about.
+MOST = 2_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -194,8 +196,15 @@ def unions(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, int]]
 
 def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame, whole_hashes: bool = False) -> DataFrame:
     """Links (u, v) that unite the similar nodes of each group (members, node, n, class). nodes has the text_key (__tk) of one text of each node."""
+    # Buckets of one cluster of copies share most members: under the least number that a member's buckets bear they go together, once each.
+    near = rest.withColumn("l", F.min("members").over(Window.partitionBy("node"))).withColumn("l", F.min("l").over(Window.partitionBy("members")))
+    small = near.groupBy("l", "node").agg(F.min("n").alias("n")).groupBy("l").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where((F.col("total") * 2 <= PART) & (F.col("m") <= MOST))
+    near = near.join(small.select(F.col("l").alias("__l"), F.lit(True).alias("fits")).hint("merge"), F.col("l") == F.col("__l"), "left")
+    rest = near.groupBy(F.when(F.col("fits"), F.col("l")).otherwise(F.col("members")).alias("members"), "node").agg(F.min("n").alias("n"), F.min("class").alias("class"))
     whole = Window.partitionBy("members")
-    blocks = F.ceil(2 * F.sum("n").over(whole) / PART).cast("int")
+    blocks = F.greatest(F.ceil(2 * F.sum("n").over(whole) / PART), F.ceil(2 * F.count("*").over(whole) / MOST)).cast("int")
+    if whole_hashes:
+        blocks = blocks * 2
     cut = rest.select("members", "node", "class", blocks.alias("b")).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("b")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
     dealt = materialize(cut.select("members", "node", "class", "own", other.alias("k")).select("members", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "class"), "blocks")
