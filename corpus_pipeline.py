@@ -69,7 +69,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: No stage chain with a trained classifier, SimHash and BPE can be put in SQL; tests compare with a brute-force version.
+#: No stage chain with a trained classifier, SimHash and BPE can be put in SQL; tests compare near_dedup with all pairs, the others through their operators.
 ORACLE_SQL = None
 
 
