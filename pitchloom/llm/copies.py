@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchloom.llm import simhash
-from pitchloom.llm.common import BROADCAST_IDS, bounded_batches, look_up, materialize, release, text_key, utf8
+from pitchloom.llm.common import BROADCAST_IDS, bounded_batches, look_up, materialize, release, remove, stored, text_key, utf8
 from pitchloom.llm.simhash import SEED, connected
 
 SHINGLE = 5
@@ -143,13 +143,15 @@ def sets_of(named: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose sets are similar. nodes has the text_key (__tk) of one text of each node."""
     least, of = SIMILAR
-    pairs = materialize(pairs, "pairs")
-    sets = materialize(sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs, nodes), "sets")
+    pairs, pairs_path = stored(pairs, "pairs")
+    sets, sets_path = stored(sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs, nodes), "sets")
     left = sets.select(F.col("node").alias("u"), F.col("h").alias("__a"))
     right = sets.select(F.col("node").alias("v"), F.col("h").alias("__b"))
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v")
     shared = F.size(F.array_intersect("__a", "__b"))
-    return both.where(shared * (least + of) >= (F.size("__a") + F.size("__b")) * least).select("u", "v")
+    found = materialize(both.where(shared * (least + of) >= (F.size("__a") + F.size("__b")) * least).select("u", "v"), "similar")
+    remove(docs.sparkSession, pairs_path, sets_path)
+    return found
 
 
 def unions(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, int]]:
@@ -207,7 +209,7 @@ def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame, whole_hashes: boo
         blocks = blocks * 2
     cut = rest.select("members", "node", "class", blocks.alias("b")).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("b")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
-    dealt = materialize(cut.select("members", "node", "class", "own", other.alias("k")).select("members", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "class"), "blocks")
+    dealt, dealt_path = stored(cut.select("members", "node", "class", "own", other.alias("k")).select("members", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node", "class"), "blocks")
     sets = sets_of(dealt.select("node").distinct(), docs, nodes)
     if not whole_hashes:
         sets = sets.select("node", F.transform("h", lambda x: F.shiftright(x, 32).cast("int")).alias("h"))
@@ -236,7 +238,9 @@ def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame, whole_hashes: boo
         yield batch_of(links_of())
         release()
 
-    return bounded_batches(rows).mapInArrow(run, "u long, v long").distinct()
+    found = materialize(bounded_batches(rows).mapInArrow(run, "u long, v long").distinct(), "found")
+    remove(docs.sparkSession, dealt_path)
+    return found
 
 
 def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -252,22 +256,23 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
     rows = prints.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("at", "g"))
     first = F.min(F.struct("node", "n", "at")).over(bucket)
-    members = materialize(rows.withColumn("c", first).withColumn("last", F.max("node").over(bucket)).where("last > c.node").drop("last"), "members")
+    least, of = SIMILAR
+    # Where a shingle is the first that a similar pair shares, what follows it in either set holds their overlap, least / (least + of) of both sizes.
+    room = (F.col("n") - F.col("at")) * (least + of) - F.col("n") * least
+    found = rows.withColumn("c", first).withColumn("last", F.max("node").over(bucket)).withColumn("early", room >= F.min("n").over(bucket) * least)
+    members, members_path = stored(found.where("last > c.node").drop("last"), "members")
 
     stars = members.where("node > c.node").selectExpr("node u", "c.node v", "n un", "c.n vn", "at ua", "c.at va")
     roots = materialize(connected(similar(_possible(stars).union(close).distinct(), docs, nodes)), "roots")
 
-    rest = members.drop("c").join(roots.hint("merge"), "node", "left").select("g", "node", "n", "at", F.coalesce("root", "node").alias("class"))
-    least, of = SIMILAR
-    # Where a shingle is the first that a similar pair shares, what follows it in either set holds their overlap, least / (least + of) of both sizes.
-    room = (F.col("n") - F.col("at")) * (least + of) - F.col("n") * least
-    rest = rest.withColumn("small", F.min("n").over(bucket)).where(room >= F.col("small") * least).drop("small")
+    rest = members.where("early").select("g", "node", "n").join(roots.hint("merge"), "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("class"))
     marked = rest.select("*", F.min("class").over(bucket).alias("low"), F.max("class").over(bucket).alias("high"), F.min("n").over(bucket).alias("small"), F.max("n").over(bucket).alias("large"), F.bit_xor(F.xxhash64("node")).over(bucket).alias("xor"), F.count("*").over(bucket).alias("m"))
     unlike = (F.col("m") == 2) & (F.col("small") * of < F.col("large") * least)
     rest = marked.where((F.col("low") < F.col("high")) & ~unlike).groupBy(F.xxhash64("xor", "m").alias("members"), "node").agg(F.min("n").alias("n"), F.min("class").alias("class"))
     rest = materialize(rest, "rest")
-    found = materialize(united(rest, docs, nodes), "found")
-    more = materialize(similar(found, docs, nodes), "more")
+    remove(docs.sparkSession, members_path)
+    found = united(rest, docs, nodes)
+    more = similar(found, docs, nodes)
     failed = materialize(found.join(more, ["u", "v"], "left_anti"), "failed")
     if not failed.isEmpty():
         again = rest.join(failed.select(F.col("u").alias("node")).union(failed.select("v")).distinct(), "node", "left_semi").select("members").distinct()
