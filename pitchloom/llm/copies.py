@@ -18,6 +18,7 @@ Nulls and empty texts have the empty set and are one class. Rows with a null doc
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -40,6 +41,8 @@ PART = 1 << 21
 WIDE = 4_096
 #: Members that are compared at once, at most about.
 MOST = 2_000
+#: Groups are compared in so many turns, so that the disk holds the sets of a part of them at a time.
+TURNS = 4
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -213,7 +216,14 @@ def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame, whole_hashes: boo
     sets = sets_of(dealt.select("node").distinct(), docs, nodes)
     if not whole_hashes:
         sets = sets.select("node", F.transform("h", lambda x: F.shiftright(x, 32).cast("int")).alias("h"))
-    rows = dealt.join(sets.hint("merge"), "node").select("members", "i", "j", "node", "class", "h").repartition("members", "i", "j").sortWithinPartitions("members", "i", "j", "node")
+    sets, sets_path = stored(sets, "sets")
+
+    def rows_of(turn: int) -> DataFrame:
+        part = dealt.where(F.pmod(F.xxhash64("members", "i", "j"), F.lit(TURNS)) == turn)
+        both = sets.join(F.broadcast(part) if small_list else part.hint("merge"), "node")
+        return both.select("members", "i", "j", "node", "class", "h").repartition("members", "i", "j").sortWithinPartitions("members", "i", "j", "node")
+
+    small_list = dealt.count() <= BROADCAST_IDS
 
     def run(batches):
         now, held = None, []
@@ -238,9 +248,9 @@ def united(rest: DataFrame, docs: DataFrame, nodes: DataFrame, whole_hashes: boo
         yield batch_of(links_of())
         release()
 
-    found = materialize(bounded_batches(rows).mapInArrow(run, "u long, v long").distinct(), "found")
-    remove(docs.sparkSession, dealt_path)
-    return found
+    turns = [materialize(bounded_batches(rows_of(k)).mapInArrow(run, "u long, v long").distinct(), "found") for k in range(TURNS)]
+    remove(docs.sparkSession, dealt_path, sets_path)
+    return reduce(DataFrame.union, turns).distinct()
 
 
 def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -271,7 +281,7 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     rest = marked.where((F.col("low") < F.col("high")) & ~unlike).groupBy(F.xxhash64("xor", "m").alias("members"), "node").agg(F.min("n").alias("n"), F.min("class").alias("class"))
     rest = materialize(rest, "rest")
     remove(docs.sparkSession, members_path)
-    found = united(rest, docs, nodes)
+    found = materialize(united(rest, docs, nodes), "found")
     more = similar(found, docs, nodes)
     failed = materialize(found.join(more, ["u", "v"], "left_anti"), "failed")
     if not failed.isEmpty():
