@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchloom.functions import columns as C
-from pitchloom.operators import challenger, contracts, goals, identity, market, matches, ratings, rules, scoring
+from pitchloom.operators import challenger, contracts, goals, identity, live, market, matches, ratings, rules, scoring
 from pitchloom.sources import scans
 
 QUERIES: dict = {}
@@ -553,3 +553,40 @@ def tournament(spark, sf_dir):
 
     fixture = world.fixture(spark)
     return advancement(spark, simulate(spark, fixture, world.rates(spark), world.mapping(spark), 10_000, 20260613), fixture, 10_000)
+
+
+@query("""SELECT match_id, date, home_team_id, away_team_id, home_score, away_score, CASE WHEN date < DATE '2000-06-01' THEN neutral ELSE true END AS neutral,
+after_extra_time AS result_after_extra_time, '' AS city, CAST(home_region AS VARCHAR) AS country,
+CASE WHEN date < DATE '2000-06-01' THEN 'history' ELSE 'cup' END AS tournament, CASE WHEN date < DATE '2000-06-01' THEN 'view' ELSE 'live' END AS source, 'v1' AS source_version FROM m""")
+def live_training_set(spark, sf_dir):
+    """All matches: those before a day as history, the later ones as live results in canonical form."""
+    m = scans.matches(spark, sf_dir)
+    text = lambda x: F.lit(x)
+    history = m.where("date < date '2000-06-01'").select("*", F.col("after_extra_time").alias("result_after_extra_time"), text("").alias("city"), F.col("home_region").cast("string").alias("country"), text("history").alias("tournament"), text("view").alias("source"), text("v1").alias("source_version"))
+    fixture = m.select("match_id", F.timestamp_micros(F.unix_date("date").cast("long") * live.DAY + live.DAY // 2).alias("kickoff"), F.col("home_region").alias("host_country"))
+    advanced = F.when(F.col("after_extra_time"), F.col("away_team_id")).when(F.col("neutral") & (F.col("home_score") > F.col("away_score")), F.col("home_team_id"))
+    results = m.where("date >= date '2000-06-01'").select("match_id", F.col("home_team_id").alias("team_a"), F.col("away_team_id").alias("team_b"), F.col("home_score").alias("goals_a"), F.col("away_score").alias("goals_b"), advanced.alias("advanced_team"))
+    return live.training_set(history, live.canonical(results, fixture, F.lit("2000-06-01").cast("date"), "v1", "cup"))
+
+
+@query("""SELECT match_id, 'outside_fixture' AS rule FROM m WHERE home_region = 4
+UNION ALL SELECT match_id, 'wrong_margin' FROM m WHERE home_score < away_score AND neutral
+UNION ALL SELECT match_id, 'repeated' FROM m WHERE away_region = 2""")
+def live_result_errors(spark, sf_dir):
+    """Live results with planted faults: no fixture for one region, the home team always advances on neutral ground, one region is sent twice."""
+    m = scans.matches(spark, sf_dir)
+    advanced = F.when(F.col("neutral"), F.col("home_team_id"))
+    results = m.select("match_id", F.col("home_team_id").alias("team_a"), F.col("away_team_id").alias("team_b"), F.col("home_score").alias("goals_a"), F.col("away_score").alias("goals_b"), advanced.alias("advanced_team"), "away_region")
+    return live.canonical_errors(results.union(results.where("away_region = 2")), m.where("home_region <> 4"))
+
+
+@query("""SELECT count(*) FILTER (date < DATE '2000-06-01') AS rows, count(*) FILTER (date < DATE '2000-06-01') AS completed, count(*) FILTER (date >= DATE '2000-06-01') AS unplayed,
+0::BIGINT AS one_sided, 0::BIGINT AS unversioned, 0::BIGINT AS other_sources, (SELECT count(DISTINCT team_id) FROM sides) AS teams,
+(SELECT count(DISTINCT team_id) FROM sides WHERE team_id LIKE 'united%') AS unresolved, 1::BIGINT AS versions, (SELECT count(*) FROM sides WHERE team_id LIKE 'united%') = 0 AS passed FROM m""")
+def materialization_audit(spark, sf_dir):
+    """The matches before a day against a raw table in which later ones are not played, with some names unknown."""
+    m = scans.matches(spark, sf_dir)
+    played = F.col("date") < F.lit("2000-06-01").cast("date")
+    raw = m.select(F.col("home_team_id").alias("home_team"), F.col("away_team_id").alias("away_team"), F.when(played, F.col("home_score")).alias("home_score"), F.when(played, F.col("away_score")).alias("away_score"))
+    names = m.select(F.explode(F.array("home_team_id", "away_team_id")).alias("source_name")).where("source_name not like 'united%'").distinct()
+    return live.audit(m.where(played).select(F.lit("view").alias("source"), F.lit("v1").alias("source_version")), raw, names, "view")
