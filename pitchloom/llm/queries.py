@@ -76,7 +76,25 @@ def op7_chat(spark, sf_dir):
     return repaired(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op7_chat": op7_chat, "op9_html": op9_html, "op8_lm": op8_lm, "op6_topk": op6_topk, "op4_warc": op4_warc, "pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
+def op11_runs(spark, sf_dir):
+    from pitchloom.llm.runs import run_digest
+
+    return run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark, sf_dir):
+    from pitchloom.llm.merkle import manifest_digest
+
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark, sf_dir):
+    from pitchloom.llm.sharding import shard_digest
+
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op11_runs": op11_runs, "op12_merkle": op12_merkle, "op13_sharding": op13_sharding, "op7_chat": op7_chat, "op9_html": op9_html, "op8_lm": op8_lm, "op6_topk": op6_topk, "op4_warc": op4_warc, "pipeline": pipeline, "op5_toxicity": op5_toxicity, "op2_bpe": op2_bpe, "op1_decontaminate": op1_decontaminate, "op10_pii": op10_pii, "op3_simhash": op3_simhash}
 ORACLE_SQL = {}
 
 ORACLE_SQL["op6_topk"] = """
@@ -117,3 +135,40 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(item
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
+
+#: The manifest: levels of the trees as one recursion, the way up of each row as another; the CRC of doc_id bit by bit.
+ORACLE_SQL["op12_merkle"] = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a, n_chars, coalesce(octet_length(encode(text)) || ':' || text, '-') AS b FROM documents),
+l AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS tree, sha256(a || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || b) AS leaf,
+         sha256(a || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || b) AS changed FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+up AS (
+  SELECT tree, 0 AS level, pos, leaf AS d, n FROM p
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (min(n) + 1) // 2 FROM up WHERE n > 1 GROUP BY tree, level, pos // 2),
+s AS (SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, subroot AS d, n FROM s
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (min(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2),
+crc AS (
+  SELECT CAST(doc_id AS VARCHAR) AS t, 0 AS i, 4294967295::BIGINT AS c FROM documents
+  UNION ALL
+  SELECT t, i + 1, CASE WHEN i % 9 = 0 THEN xor(c, ascii(substr(t, i // 9 + 1, 1))::BIGINT) ELSE xor(c >> 1, (c & 1) * 3988292384) END FROM crc WHERE i < 9 * length(t)),
+tried AS (SELECT DISTINCT t FROM crc WHERE i = 9 * length(t) AND xor(c, 4294967295::BIGINT) % 7 = 0),
+walk AS (
+  SELECT p.tree, p.doc_id, p.pos AS row, 0 AS level, p.pos, p.n, '' AS met, CASE WHEN t IS NULL THEN leaf ELSE changed END AS d FROM p LEFT JOIN tried ON t = CAST(doc_id AS VARCHAR)
+  UNION ALL
+  SELECT w.tree, w.doc_id, w.row, w.level + 1, w.pos // 2, (w.n + 1) // 2, w.met || coalesce(o.d, ''), sha256(CASE WHEN w.pos % 2 = 1 THEN o.d || w.d ELSE w.d || coalesce(o.d, '') END)
+  FROM walk w LEFT JOIN up o ON o.tree = w.tree AND o.level = w.level AND o.pos = xor(w.pos, 1) WHERE w.n > 1),
+last AS (
+  SELECT w.tree, w.doc_id, w.row, 0 AS level, s.pos, s.n, w.met, w.d, s.subroot FROM walk w JOIN s USING (tree) WHERE w.n = 1
+  UNION ALL
+  SELECT w.tree, w.doc_id, w.row, w.level + 1, w.pos // 2, (w.n + 1) // 2, w.met || coalesce(o.d, ''), sha256(CASE WHEN w.pos % 2 = 1 THEN o.d || w.d ELSE w.d || coalesce(o.d, '') END), w.subroot
+  FROM last w LEFT JOIN top o ON o.level = w.level AND o.pos = xor(w.pos, 1) WHERE w.n > 1)
+SELECT p.doc_id, p.leaf, last.subroot, r.d AS root, sha256(met) AS proof_sha256, last.d AS folded_root, last.d = r.d AS verified
+FROM last JOIN p ON p.tree = last.tree AND p.pos = last.row, (SELECT d FROM top WHERE n = 1) r WHERE last.n = 1
+"""

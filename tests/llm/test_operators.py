@@ -734,7 +734,7 @@ def test_redaction(spark):
 
 def test_registry_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in Q.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in Q.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
