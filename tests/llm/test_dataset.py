@@ -32,7 +32,7 @@ def rows():
     line = " ".join(f"w{k}" for k in range(6))
     out += [(5_000, None, None, None, None), (5_001, "", "one", "s", 0), (5_002, " \t\r\n\x0b\x0c", "en", "s", 6), (5_003, "one", "en", "s", 3), (5_004, f"{line} {line} {line} x {line}", "en", "s", 9)]
     out += [(6_000 + i, "same text " * 30, "en", "s", 1) for i in range(150)]
-    long = " ".join(f"u{rng.randrange(400)}" for _ in range(3_000))
+    long = " ".join(f"u{rng.randrange(400)}" for _ in range(1_500))
     out += [(9_000, long, "de", "s", 5), (9_001, f"{long} {long}", "de", "s", 5), (None, "of no id a a a a a a a a a a a a a", "en", "s", 1), (None, None, None, "s", 1)]
     out += [out[3], out[3]]
     rng.shuffle(out)
