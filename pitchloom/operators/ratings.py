@@ -1,21 +1,32 @@
-"""Sequential team ratings.
-
-A rating depends on all earlier matches of both teams, so a pool of teams that play each other is a chain; chains of different
-pools run in parallel. A pool streams through its task in order, batch by batch, with one number per team in memory.
+"""Sequential team ratings, by relaxation over blocks of time.
+
+A rating depends on all earlier matches of both teams, so a pool of teams is one chain. It is cut into blocks of about BLOCK_ROWS
+matches in order. In a turn every block runs through its matches in its own task, from the ratings that the blocks before had left in
+the turn before (START_RATING at first); what a block leaves goes to the next block in which a team plays, by one window over
+(team, block). Blocks whose start has not moved are right and drop out, the first ones at once. Ratings forget where they began, a few
+hundred matches of a team later nothing is left of it, so a few turns are enough where blocks are long; where they are short there are never more turns
+than blocks. No task holds more than a block, whatever the pool.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchloom.functions.columns import HOME_BONUS, SPREAD, START_RATING
+from pitchloom.operators.matches import as_of
+from pitchloom.sources.work import written
 
 #: Categories of tournaments and their K-factors.
 K_CATEGORIES = {"wc": 60, "continental": 50, "qualifier_major": 40, "other": 30, "friendly": 20}
+#: Matches of a block, about.
+BLOCK_ROWS = 25_000
+#: A start that moved by no more than this has not moved.
+SAME = 1e-11
+STATES = "block int, pool string, team_id string, began double, rating double"
 HISTORY = "pool string, match_id string, date date, team_id string, opponent_id string, rating_pre double, rating_post double, k_factor int"
 
 
@@ -29,28 +40,80 @@ def change(elo_home: float, elo_away: float, home: int, away: int, k: int, neutr
     return k * factor * (result - expected)
 
 
-def history(matches: DataFrame, pool: str | None = None) -> DataFrame:
+def play(rows: pa.Table, starts: dict[tuple, float]) -> tuple[dict[tuple, float], list[tuple]]:
+    """Ratings by (pool, team) after the rows of a block, and (pool, match, date, home, away, k, rating of both before, gain) of each row."""
+    rows = rows.sort_by("place")
+    now, out = dict(starts), []
+    columns = ("pool", "match_id", "date", "home_team_id", "away_team_id", "k_factor", "home_score", "away_score", "neutral", "after_extra_time")
+    for pool, match, date, home, away, k, scored, conceded, neutral, drawn in zip(*(rows[c].to_pylist() for c in columns), strict=True):
+        a, b = now.get((pool, home), START_RATING), now.get((pool, away), START_RATING)
+        gain = change(a, b, scored, conceded, k, neutral, bool(drawn))
+        now[pool, home], now[pool, away] = a + gain, b - gain
+        out.append((pool, match, date, home, away, k, a, b, gain))
+    return now, out
+
+
+def _begin(states: pa.Table) -> dict[tuple, float]:
+    return dict(zip(zip(states["pool"].to_pylist(), states["team_id"].to_pylist(), strict=True), states["began"].to_pylist(), strict=True))
+
+
+def _leave(rows: pa.Table, states: pa.Table) -> pa.Table:
+    """The ratings that a block begins with and leaves, for the teams that play in it."""
+    began = _begin(states)
+    after, played = play(rows, began)
+    block = rows["block"][0].as_py() if len(rows) else None
+    teams = sorted({(r[0], t) for r in played for t in r[3:5]})
+    table = [[block] * len(teams), [p for p, _ in teams], [t for _, t in teams], [began.get(t, START_RATING) for t in teams], [after[t] for t in teams]]
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    return pa.table([pa.array(c, k) for c, k in zip(table, kinds, strict=True)], names=[c.split()[0] for c in STATES.split(", ")])
+
+
+def _tell(rows: pa.Table, states: pa.Table) -> pa.Table:
+    """Two rows for each match of a block."""
+    out = []
+    for pool, match, date, home, away, k, a, b, gain in play(rows, _begin(states))[1]:
+        out.append((pool, match, date, home, away, a, a + gain, k))
+        out.append((pool, match, date, away, home, b, b - gain, k))
+    kinds = (pa.string(), pa.string(), pa.date32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32())
+    columns = zip(*out, strict=True) if out else [[]] * 8
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in HISTORY.split(", ")])
+
+
+def relaxed(blocks: DataFrame) -> DataFrame:
+    """block, pool, team_id and ``began``, the rating that the team brings into the block, for all blocks in which it plays."""
+    spark = blocks.sparkSession
+    starts, states, running = spark.createDataFrame([], STATES), None, blocks
+    before = F.lag("rating").over(Window.partitionBy("pool", "team_id").orderBy("block"))
+    while True:
+        fresh = running.groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(_leave, STATES)
+        if states is not None:
+            fresh = fresh.unionByName(states.join(moved, "block", "left_anti"))
+        states = written(fresh, "states")
+        now = written(states.withColumn("next", F.coalesce(before, F.lit(START_RATING))), "starts")
+        moved = now.where(F.abs(F.col("next") - F.col("began")) > SAME).select("block").distinct()
+        starts = now.select("block", "pool", "team_id", F.col("next").alias("began"), "rating")
+        if moved.isEmpty():
+            return starts
+        running = blocks.join(moved, "block", "left_semi")
+        starts = starts.join(moved, "block", "left_semi")
+
+
+def history(matches: DataFrame, pool: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Two rows per match with the ratings before and after it, in order of (date, match_id) from START_RATING on."""
     key = F.col(pool).cast("string") if pool else F.lit("all")
-    columns = ["pool", "match_id", "date", "home_team_id", "away_team_id", "home_score", "away_score", "k_factor", "neutral", "after_extra_time"]
-    rows = matches.withColumn("pool", key).select(*columns)
-    rows = rows.repartition("pool").sortWithinPartitions("pool", "date", "match_id")
-
-    def run(batches):
-        at, ratings = None, {}
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.pool != at:
-                    at, ratings = r.pool, {}
-                a, b = ratings.get(r.home_team_id, START_RATING), ratings.get(r.away_team_id, START_RATING)
-                gain = change(a, b, r.home_score, r.away_score, r.k_factor, r.neutral, bool(r.after_extra_time))
-                ratings[r.home_team_id], ratings[r.away_team_id] = a + gain, b - gain
-                out.append((r.pool, r.match_id, r.date, r.home_team_id, r.away_team_id, a, a + gain, r.k_factor))
-                out.append((r.pool, r.match_id, r.date, r.away_team_id, r.home_team_id, b, b - gain, r.k_factor))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in HISTORY.split(", ")])
-
-    return rows.mapInPandas(run, HISTORY)
+    columns = ["pool", "match_id", "date", "home_team_id", "away_team_id", "home_score", "away_score", F.col("k_factor").cast("int"), "neutral", "after_extra_time"]
+    rows = written(matches.withColumn("pool", key).select(*columns), "rated")
+    parts = -(-rows.count() // block_rows)
+    if parts <= 1:
+        blocks = rows.withColumns({"block": F.lit(0), "place": F.struct("pool", "date", "match_id")})
+        blocks = blocks.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("place")))  # one block
+        starts = rows.sparkSession.createDataFrame([], STATES)
+    else:
+        order = ["pool", "date", "match_id"]
+        dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        blocks = written(dealt.withColumns({"block": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "blocks")
+        starts = relaxed(blocks)
+    return blocks.groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(_tell, HISTORY)
 
 
 def leaderboard(rated: DataFrame) -> DataFrame:
@@ -59,6 +122,13 @@ def leaderboard(rated: DataFrame) -> DataFrame:
     return last.withColumn("rank", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rating"))))
 
 
+def before(rated: DataFrame, days: DataFrame, day: str) -> DataFrame:
+    """days (team_id and a date column) with each team's last rating strictly before the day, START_RATING if there is none."""
+    last = rated.groupBy("team_id", "date").agg(F.max_by("rating_post", "match_id").alias("rating"))
+    events = days.withColumn("__at", F.col(day))
+    return as_of(events, last.withColumnRenamed("date", "__at"), "team_id", "__at", "rating", START_RATING).drop("__at")
+
+
 def k_factors(matches: DataFrame, table: DataFrame) -> DataFrame:
     """matches with k_factor, by the exact name of their tournament. table (tournament, k_category, k_factor) is a reviewed list, one row
     per name; an unknown category, a factor that is not its category's, a repeated name or a match without an entry raises."""

@@ -14,7 +14,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: The match view in SQL.
 VIEW = """
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT l_orderkey, min(l_suppkey) AS suppkey, CAST(count(*) FILTER (l_returnflag = 'R') AS INTEGER) AS home_score,
          CAST(count(*) FILTER (l_returnflag = 'A') AS INTEGER) AS away_score
   FROM lineitem GROUP BY 1),
@@ -186,22 +186,59 @@ def leaderboard_of_last(spark, sf_dir):
     return ratings.leaderboard(rated)
 
 
-@query()
+#: One chain of ratings for each pool: a step of the recursion is the next match of every pool.
+CHAIN = """, t AS (SELECT team_id, row_number() OVER (ORDER BY team_id) AS x FROM (SELECT DISTINCT team_id FROM sides)),
+o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY date, match_id) AS i FROM g),
+o2 AS (SELECT o.*, h.x, w.x AS y FROM o JOIN t h ON h.team_id = home_team_id JOIN t w ON w.team_id = away_team_id),
+e AS (
+  SELECT DISTINCT pool, 0::BIGINT AS i, list_transform(range(30), lambda j: 1000.0::DOUBLE) AS r, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS gain FROM o
+  UNION ALL
+  SELECT pool, i, list_transform(r, lambda v, j: v + CASE WHEN j = x THEN gain WHEN j = y THEN -gain ELSE 0 END), a, b, gain FROM (
+    SELECT *, k_factor * CASE WHEN margin = 0 THEN 1 ELSE ln(abs(margin) + 1) * 2.2 / (sign(margin) * (a - b) * 0.001 + 2.2) END
+      * ((sign(margin) + 1) / 2 - 1 / (pow(10, -(a - b + CASE WHEN neutral THEN 0 ELSE 100 END) / 400) + 1)) AS gain
+    FROM (SELECT o2.pool, o2.i, x, y, k_factor, neutral, r, r[x] AS a, r[y] AS b, CASE WHEN after_extra_time THEN 0 ELSE home_score - away_score END AS margin FROM e JOIN o2 ON o2.pool = e.pool AND o2.i = e.i + 1))),
+hs AS (SELECT CAST(o2.pool AS VARCHAR) AS pool, match_id, date, home_team_id AS team_id, away_team_id AS opponent_id, e.a AS rating_pre, e.a + e.gain AS rating_post, k_factor FROM o2 JOIN e USING (pool, i)
+  UNION ALL SELECT CAST(o2.pool AS VARCHAR), match_id, date, away_team_id, home_team_id, e.b, e.b - e.gain, k_factor FROM o2 JOIN e USING (pool, i))
+"""
+WHOLE = ", g AS (SELECT 'all' AS pool, * FROM m)" + CHAIN
+
+
+@query(WHOLE + "SELECT match_id, date, team_id, opponent_id, rating_pre, rating_post, k_factor FROM hs")
 def elo_history(spark, sf_dir):
     return ratings.history(scans.matches(spark, sf_dir)).drop("pool")
 
 
-@query()
+@query(", g AS (SELECT home_region AS pool, * FROM m WHERE home_region = away_region)" + CHAIN + "SELECT * FROM hs")
 def elo_by_region(spark, sf_dir):
-    """Regions as pools: one chain each, in parallel."""
+    """Regions as pools."""
     return ratings.history(scans.matches(spark, sf_dir).where("home_region = away_region"), pool="home_region")
 
 
-@query()
+@query(WHOLE + "SELECT team_id, rating, CAST(dense_rank() OVER (ORDER BY rating DESC) AS INTEGER) AS rank FROM (SELECT team_id, arg_max(rating_post, date::VARCHAR || match_id) AS rating FROM hs GROUP BY 1)")
 def elo_leaderboard(spark, sf_dir):
     return ratings.leaderboard(ratings.history(scans.matches(spark, sf_dir)))
 
 
+@query(WHOLE + """SELECT x.match_id, x.rating_pre AS home_rating, y.rating_pre AS away_rating, x.rating_pre + CASE WHEN neutral THEN 0 ELSE 100 END - y.rating_pre AS rating_difference
+FROM m JOIN hs x ON x.match_id = m.match_id AND x.team_id = home_team_id JOIN hs y ON y.match_id = m.match_id AND y.team_id = away_team_id""")
+def match_ratings(spark, sf_dir):
+    """Both ratings before each match and their difference."""
+    m = scans.matches(spark, sf_dir)
+    return ratings.with_ratings(m, ratings.history(m)).select("match_id", "home_rating", "away_rating", "rating_difference")
+
+
+@query(WHOLE + """, d AS (SELECT DISTINCT team_id, make_date(y, 1, 1) AS day FROM sides, (SELECT DISTINCT year(date)::BIGINT AS y FROM m) WHERE true),
+l AS (SELECT team_id, date, arg_max(rating_post, match_id) AS rating FROM hs GROUP BY 1, 2)
+SELECT d.team_id, d.day, coalesce(l.rating, 1000.0) AS rating FROM d ASOF LEFT JOIN l ON d.team_id = l.team_id AND d.day > l.date""")
+def ratings_before(spark, sf_dir):
+    """Every team's rating before the first day of each year."""
+    m = scans.matches(spark, sf_dir)
+    years = m.select(F.year("date").alias("y")).distinct().agg(F.collect_set("y").alias("years"))  # calendar years
+    teams = matches.perspectives(m).select("team_id").distinct()
+    days = teams.join(F.broadcast(years)).select("team_id", F.explode("years").alias("y")).select("team_id", F.make_date("y", F.lit(1), F.lit(1)).alias("day"))
+    return ratings.before(ratings.history(m), days, "day")
+
+
 @query("""SELECT home_region, match_id, b || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS row_id FROM
   (SELECT home_region, match_id, b, row_number() OVER (PARTITION BY b ORDER BY match_id) AS n FROM (SELECT home_region, match_id, date || '-' || home_team_id || '-' || away_team_id AS b FROM m))""")
 def collision_free_ids(spark, sf_dir):

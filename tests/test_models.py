@@ -56,6 +56,38 @@ def test_rating_history_follows_order(spark):
     assert sum(post - pre for pre, post in got.values()) == pytest.approx(0)
 
 
+@pytest.mark.parametrize(("pool", "block"), [(None, 40), ("pool", 60), (None, 1000)])
+def test_relaxed_ratings_equal_the_loop(spark, pool, block):
+    """Short blocks, a team that pauses, pools of different sizes, several matches of a team on a day, repeated team names across pools."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        a, b = rng.choice(5 if i % 3 else 12, 2, replace=False)
+        day = datetime.date(2000, 1, 1) + datetime.timedelta(int(rng.integers(0, 60)))
+        rows.append((f"m{i:04d}", day, f"t{a}", f"t{b}", int(rng.poisson(1.4)), int(rng.poisson(1.1)), int(rng.choice([20, 60])), bool(rng.random() < 0.5), bool(rng.random() < 0.1), f"p{min(2, i % 7)}"))
+    df = spark.createDataFrame(rows, "match_id string, date date, home_team_id string, away_team_id string, home_score int, away_score int, k_factor int, neutral boolean, after_extra_time boolean, pool string").repartition(3)
+    now, want = {}, {}
+    for m, d, h, a, x, y, k, n, e, p in sorted(rows, key=lambda r: r[1::-1]):
+        h_, a_ = ((p if pool else "all", t) for t in (h, a))
+        before = now.get(h_, 1000.0), now.get(a_, 1000.0)
+        gain = ratings.change(*before, x, y, k, n, e)
+        now[h_], now[a_] = before[0] + gain, before[1] - gain
+        want[m, h], want[m, a] = (before[0], now[h_]), (before[1], now[a_])
+    got = {(r.match_id, r.team_id): (r.rating_pre, r.rating_post) for r in ratings.history(df, pool, block).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(g - w) for k in want for g, w in zip(got[k], want[k], strict=True)) < 1e-9
+    assert ratings.history(df.limit(0)).count() == 0
+
+
+def test_expressions_of_ratings_equal_the_change(spark):
+    rows = [(1500.0, 1400.0, 3, 1, 40, False), (1500.0, 1720.0, 0, 2, 60, True), (1300.0, 1310.0, 1, 1, 20, False)]
+    df = spark.createDataFrame(rows, "a double, b double, x int, y int, k int, neutral boolean")
+    gap, margin = F.col("a") - F.col("b"), F.col("x") - F.col("y")
+    expected = C.expected_score(gap + F.when(F.col("neutral"), 0.0).otherwise(C.HOME_BONUS))
+    gain = F.col("k") * C.margin_factor(margin, F.signum(margin) * gap) * ((F.signum(margin) + 1) / 2 - expected)
+    assert [r[0] for r in df.select(gain).collect()] == [pytest.approx(ratings.change(*r, False)) for r in rows]
+
+
 def games(spark, scores):
     return spark.createDataFrame([(1, *s) for s in scores], "group int, " + SCORES)
 
