@@ -381,6 +381,24 @@ def goal_statistics(spark, sf_dir):
     return goals.cells(matches.weighted(scans.matches(spark, sf_dir), F.lit("2000-01-01").cast("date"), 0.00095))
 
 
+@query("""SELECT CAST(cutoff AS VARCHAR) AS cutoff, xi, home_team_id, away_team_id, neutral, sum(w) AS w, sum(w * home_score) AS x, sum(w * away_score) AS y, sum(CASE WHEN home_score = 0 AND away_score = 0 THEN w ELSE 0 END) AS w00,
+  sum(CASE WHEN home_score = 0 AND away_score = 1 THEN w ELSE 0 END) AS w01, sum(CASE WHEN home_score = 1 AND away_score = 0 THEN w ELSE 0 END) AS w10, sum(CASE WHEN home_score = 1 AND away_score = 1 THEN w ELSE 0 END) AS w11
+FROM (SELECT m.*, cutoff, xi, exp(-xi * (cutoff - date)) AS w FROM m, (SELECT unnest([DATE '1997-07-01', DATE '1999-01-01', DATE '2000-01-01']) AS cutoff), (SELECT unnest([0.00095::DOUBLE, 0.0018, 0.01]) AS xi) WHERE date < cutoff)
+WHERE w >= 1e-4 GROUP BY 1, 2, 3, 4, 5""")
+def decayed_statistics(spark, sf_dir):
+    """Sums for nine fits, three cutoffs and three decays, from one scan; the last decay reaches 921 days back."""
+    return goals.decayed_sums(scans.matches(spark, sf_dir), ["1997-07-01", "1999-01-01", "2000-01-01"], [0.00095, 0.0018, 0.01])
+
+
+@query()
+def decay_search(spark, sf_dir):
+    """Three yearly holdouts, three decays."""
+    from pitchloom.plans import validation
+
+    holdouts = [validation.Holdout(str(y), y, "k_factor = 60", f"{y}-01-01") for y in (1998, 1999, 2000)]
+    return validation.decay_search(scans.matches(spark, sf_dir), holdouts, (0.00095, 0.0018, 0.01))
+
+
 PMF = """, r AS (SELECT match_id, 0.8 + k_factor / 50.0 AS x, 0.6 + CAST(substr(match_id, 10, 1) AS INTEGER) / 10.0 AS y FROM m),
 g AS (SELECT match_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, exp(-x) * pow(x, a) / factorial(CAST(a AS INTEGER)) * exp(-y) * pow(y, b) / factorial(CAST(b AS INTEGER))
   * CASE WHEN a = 0 AND b = 0 THEN 1 - x * y * -0.05 WHEN a = 0 AND b = 1 THEN 1 + x * -0.05 WHEN a = 1 AND b = 0 THEN 1 + y * -0.05 WHEN a = 1 AND b = 1 THEN 1 - -0.05 ELSE 1 END AS p

@@ -1,6 +1,6 @@
 """Temporal validation: models fitted strictly before each holdout, one long table of forecasts, scores and gates.
 
-The holdouts are few and known, so the driver loops over them; each turn is a filter, one small fit and a projection.
+Goal models of all holdouts and decays come from one scan of the matches. The holdouts are few and known, so the driver loops over what is left.
 """
 
 from __future__ import annotations
@@ -37,10 +37,11 @@ def forecasts(games: DataFrame, holdouts: list[Holdout], xi: float, rated: DataF
     """holdout, model (goal_model, rating, uniform), match_id, outcome and P of every holdout match."""
     rated = ratings.history(games) if rated is None else rated
     gaps = ratings.with_ratings(games, rated).withColumn("dr", F.col("rating_difference"))
+    models = goals.fit_all(games, sorted({h.cutoff for h in holdouts}), [xi])
     parts = []
     for h in holdouts:
         held = matches.holdout(games, h.year, F.expr(h.predicate), h.expected)
-        model = _goal_model(games, h, xi)
+        model = models[h.cutoff, xi]
         rows = {"goal_model": goals.with_outcomes(goals.rates(held, model), model.rho)}
         c1, c2, scale = goals.fit_ordered_logit(gaps.where(F.col("date") < F.lit(h.cutoff).cast("date")))
         named = [p.alias(n) for p, n in zip(goals.ordered_logit(F.col("dr"), c1, c2, scale), scoring.P, strict=True)]
@@ -51,14 +52,17 @@ def forecasts(games: DataFrame, holdouts: list[Holdout], xi: float, rated: DataF
 
 
 def decay_search(games: DataFrame, holdouts: list[Holdout], grid: tuple[float, ...] = (0.00095, 0.0018)) -> DataFrame:
-    """(xi, holdout, log_loss) of the goal model; scoring.best_parameter() picks the decay."""
-    parts = []
-    for xi in grid:
-        for h in holdouts:
-            model = _goal_model(games, h, xi)
-            rows = goals.with_outcomes(goals.rates(matches.holdout(games, h.year, F.expr(h.predicate)), model), model.rho)
-            parts.append(scoring.losses(rows).agg(F.avg("log_loss").alias("log_loss")).select(F.lit(xi).alias("xi"), F.lit(h.name).alias("holdout"), "log_loss"))
-    return reduce(DataFrame.unionByName, parts)
+    """(xi, holdout, n, log_loss) of the goal model; scoring.best_parameter() picks the decay.
+
+    One scan gives the sums of all fits, a second one all forecasts: a match of a holdout meets the models of that holdout.
+    """
+    models = goals.fit_all(games, sorted({h.cutoff for h in holdouts}), list(grid))
+    named = {f"{i} {h.name}": models[h.cutoff, xi] for i, xi in enumerate(grid) for h in holdouts}
+    own = [F.when((F.year("date") == h.year) & F.expr(h.predicate), F.struct(F.lit(h.name).alias("holdout"), F.lit(xi).alias("xi"), F.lit(f"{i} {h.name}").alias("fit"))) for i, xi in enumerate(grid) for h in holdouts]
+    rows = games.where(F.year("date").isin([h.year for h in holdouts])).select("*", F.explode(F.array_compact(F.array(*own))).alias("__of")).select(*games.columns, "__of.*")
+    rated = goals.rates_of(rows, named)
+    losses = scoring.losses(goals.with_outcomes(rated, F.col("rho")))
+    return losses.groupBy("xi", "holdout").agg(F.count("log_loss").alias("n"), F.avg("log_loss").alias("log_loss"))
 
 
 def report(games: DataFrame, holdouts: list[Holdout], xi: float) -> DataFrame:

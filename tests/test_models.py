@@ -154,6 +154,104 @@ def test_goal_model_recovers_parameters(spark):
     assert goals.rates(unknown, model).first()["rate_home"] is None
 
 
+def league(n_teams=5, n=600, seed=8):
+    """Weighted matches with dependent low scores, and a team that never scores away."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        i, j = rng.choice(n_teams, 2, replace=False)
+        x, y = int(rng.poisson(1.2 + 0.2 * i)), int(rng.poisson(0.9)) if j else 0
+        if (x, y) in ((0, 1), (1, 0)) and rng.random() < 0.5:
+            x = y = min(x, y)
+        rows.append((f"t{i}", f"t{j}", x, y, bool(k % 3 == 0), float(np.exp(-k / 400))))
+    return rows
+
+
+LEAGUE = SCORES + ", neutral boolean, weight double"
+
+
+def arrays(rows):
+    """Sums of one row each, as the likelihood takes them."""
+    teams = sorted({t for r in rows for t in r[:2]})
+    h, a = (np.array([teams.index(r[k]) for r in rows]) for k in (0, 1))
+    x, y, w = (np.array([r[k] for r in rows], float) for k in (2, 3, 5))
+    low = {f"w{i}{j}": w * ((x == i) & (y == j)) for i in (0, 1) for j in (0, 1)}
+    return {"h": h, "a": a, "home": np.array([0.0 if r[4] else 1.0 for r in rows]), "w": w, "x": w * x, "y": w * y} | low
+
+
+def value_at(sums, model):
+    theta = np.array([*model.attack, *model.defence, model.intercept, model.home, math.atanh(model.rho / goals.RHO_BOUND)])
+    return goals.likelihood(sums, theta)
+
+
+def test_gradient_equals_finite_differences():
+    sums = arrays(league())
+    theta = np.random.default_rng(1).normal(0, 0.2, 13)
+    _, gradient, curvature = goals.likelihood(sums, theta)
+    for k in range(len(theta)):
+        step = np.zeros(13)
+        step[k] = 1e-5
+        assert gradient[k] == pytest.approx((goals.likelihood(sums, theta + step)[0] - goals.likelihood(sums, theta - step)[0]) / 2e-5, abs=1e-4)
+    assert (curvature > 0).all()
+    far = theta.copy()
+    far[-3], far[-1] = 2.0, 2.0
+    assert goals.likelihood(sums, far)[0] == math.inf
+
+
+def test_joint_fit_equals_a_dense_solver(spark):
+    """Newton's method on the rows themselves, with finite differences of the gradient for the matrix of second derivatives."""
+    rows = league()
+    model = goals.fit(spark.createDataFrame(rows, LEAGUE).repartition(3), 0.001, "2020-01-01")
+    sums = arrays(rows)
+    theta = np.zeros(13)
+    flat = np.zeros((2, 13))
+    flat[0, :5], flat[1, 5:10] = 1, 1
+    for _ in range(60):
+        gradient = goals.likelihood(sums, theta)[1] + 1e3 * flat.T @ flat @ theta
+        second = np.array([(goals.likelihood(sums, theta + e)[1] - goals.likelihood(sums, theta - e)[1]) / 2e-5 for e in np.eye(13) * 1e-5]) + 1e3 * flat.T @ flat
+        step = np.linalg.solve(second + 1e-6 * np.eye(13), -gradient)
+        theta = theta + step * min(1.0, 0.5 / np.abs(step).max())
+    best = goals.likelihood(sums, theta)[0]
+    found, gradient, _ = value_at(sums, model)
+    assert found <= best + 1e-6 and np.abs(gradient).max() < 1e-3
+    assert model.rho == pytest.approx(0.2 * math.tanh(theta[-1]), abs=1e-4) and abs(model.rho) > 0.02
+    assert sum(model.attack) == pytest.approx(0, abs=1e-9) and sum(model.defence) == pytest.approx(0, abs=1e-9)
+
+
+def test_distributed_fit_equals_the_local_one(spark):
+    df = spark.createDataFrame(league(3, 90), LEAGUE)
+    here, there = goals.fit(df, 0.001, "2020-01-01"), goals.fit(df, 0.001, "2020-01-01", here=3)
+    assert there.teams == here.teams
+    assert np.allclose([*there.attack, *there.defence, there.intercept, there.home, there.rho], [*here.attack, *here.defence, here.intercept, here.home, here.rho], atol=1e-5)
+    with pytest.raises(ValueError, match="no matches"):
+        goals.fit(df.limit(0), 0.001, "2020-01-01")
+
+
+def test_all_fits_of_one_scan_equal_single_fits(spark):
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(i * 9) for i in range(400)]
+    g = spark.createDataFrame([(d, *r[:5]) for d, r in zip(days, league(4, 400), strict=True)], "date date, " + SCORES + ", neutral boolean")
+    models = goals.fit_all(g, ["1996-03-01", "1999-01-01"], [0.002, 0.01])
+    assert set(models) == {(c, xi) for c in ("1996-03-01", "1999-01-01") for xi in (0.002, 0.01)}
+    for (c, xi), m in models.items():
+        one_ = goals.fit(M.weighted(g, F.lit(c).cast("date"), xi), xi, c)
+        assert m.teams == one_.teams and np.allclose([*m.attack, m.home, m.rho], [*one_.attack, one_.home, one_.rho], atol=1e-6)
+    rows = g.select("*", F.lit("a").alias("fit")).limit(5)
+    got = goals.rates_of(rows, {"a": models["1999-01-01", 0.01], "b": models["1999-01-01", 0.002]})
+    want = goals.rates(rows, models["1999-01-01", 0.01])
+    assert [tuple(r) for r in got.orderBy("date").select("rate_home", "rate_away").collect()] == [tuple(r) for r in want.orderBy("date").select("rate_home", "rate_away").collect()]
+
+
+def test_model_document(spark, tmp_path):
+    from pitchloom.sources import sinks
+
+    model = goals.GoalModel(("a", "b"), (0.1, -0.1), (0.2, -0.2), 0.3, 0.2, -0.05, 0.001, "2020-01-01")
+    sinks.write_json(spark, model.document(), str(tmp_path / "m"))
+    assert goals.GoalModel.from_document(sinks.read_json(spark, str(tmp_path / "m"))) == model
+    for wrong in ({"rho": 0.3}, {"teams": ["a", "a"]}, {"home": float("nan")}, {"cutoff": "soon"}, {"attack": [1.0]}, {"more": 1}):
+        with pytest.raises(ValueError):
+            goals.GoalModel.from_document(model.document() | wrong)
+
+
 def test_score_matrix_sums_to_one(spark):
     df = spark.createDataFrame([("x", 1.3, 0.9)], "match_id string, rate_home double, rate_away double")
     assert goals.score_matrix(df, -0.1).agg(F.sum("p"), F.count("*")).first() == (pytest.approx(1), 121)
