@@ -600,14 +600,80 @@ def event_counts(spark, sf_dir):
     return live.event_counts(scans.parquet(spark, sf_dir, "events"))
 
 
+def _world_rates(spark, sf_dir):
+    """Goal rates of the synthetic tournament's teams: each takes what one nation scores and concedes at home or away."""
+    from pitchloom.plans import world
+
+    sides = matches.perspectives(scans.matches(spark, sf_dir))
+    form = sides.groupBy("team_id", "is_home").agg(F.avg("scored").alias("a"), F.avg("conceded").alias("d")).orderBy("team_id", "is_home").collect()  # two rows for each nation
+    mean = sides.agg(F.avg("scored")).first()[0]
+    return world.rates(spark, [(r["a"], r["d"]) for r in form], mean)
+
+
 @query()
 def tournament(spark, sf_dir):
-    """10 000 tournaments of the synthetic world; it has no input table."""
+    """10 000 tournaments of the synthetic world, with goal rates from the match view."""
     from pitchloom.operators.simulate import advancement, simulate
     from pitchloom.plans import world
 
     fixture = world.fixture(spark)
-    return advancement(spark, simulate(spark, fixture, world.rates(spark), world.mapping(spark), 10_000, 20260613), fixture, 10_000)
+    return advancement(spark, simulate(spark, fixture, _world_rates(spark, sf_dir), world.mapping(spark), 10_000, 20260613), fixture, 10_000)
+
+
+@query()
+def tournament_cascade(spark, sf_dir):
+    """The same with the full tie-break cascade in groups; the order of team numbers stands for conduct and ranking editions."""
+    from pitchloom.operators.simulate import advancement, simulate
+    from pitchloom.plans import world
+
+    fixture, tail = world.fixture(spark), {t: i for i, t in enumerate(world.teams())}
+    return advancement(spark, simulate(spark, fixture, _world_rates(spark, sf_dir), world.mapping(spark), 10_000, 20260613, rule="cascade", tail=tail, unbroken="raise"), fixture, 10_000)
+
+
+#: 1 000 simulations of the group stage, replayed: goals from keyed uniforms, tables, order of the table rule.
+REPLAY = """, f AS (SELECT *, row_number() OVER (ORDER BY team_id, is_home) - 1 AS i, count(*) OVER () AS c FROM (SELECT team_id, is_home, avg(scored) AS a, avg(conceded) AS d FROM sides GROUP BY 1, 2)),
+tm AS (SELECT t, a, d FROM range(0, 48) r(t) JOIN f ON i = t % c),
+k AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS n, unnest([0, 2, 0, 3, 3, 1]) AS x, unnest([1, 3, 2, 1, 0, 2]) AS y),
+fix AS (SELECT lpad(CAST(6 * g + n + 1 AS VARCHAR), 3, '0') AS id, g, 4 * g + x AS h, 4 * g + y AS w FROM range(0, 12) r(g), k),
+side AS (
+  SELECT id, g, 'home' AS side, h AS own, w AS other, x.a * y.d / (SELECT avg(scored) FROM sides) AS rate FROM fix JOIN tm x ON x.t = h JOIN tm y ON y.t = w
+  UNION ALL SELECT id, g, 'away', w, h, x.a * y.d / (SELECT avg(scored) FROM sides) FROM fix JOIN tm x ON x.t = w JOIN tm y ON y.t = h),
+cdf AS (SELECT id, side, sum(exp(-rate) * pow(rate, n) / factorial(CAST(n AS INTEGER))) OVER (PARTITION BY id, side ORDER BY n) AS v FROM side, range(0, 25) r(n)),
+draw AS (SELECT sim, id, g, side, own, CAST('0x' || substr(md5('20260613|' || id || '|' || sim || '|' || side), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM side, range(0, 1000) r(sim)),
+goal AS (SELECT sim, id, g, side, own, (SELECT count(*) FROM cdf WHERE cdf.id = draw.id AND cdf.side = draw.side AND v <= u) AS goals FROM draw),
+tab AS (SELECT x.sim, x.g, x.own, sum(CASE WHEN x.goals > y.goals THEN 3 WHEN x.goals = y.goals THEN 1 ELSE 0 END) AS points, sum(x.goals - y.goals) AS difference, sum(x.goals) AS goals
+  FROM goal x JOIN goal y ON x.sim = y.sim AND x.id = y.id AND x.side <> y.side GROUP BY 1, 2, 3),
+ord AS (SELECT *, row_number() OVER (PARTITION BY sim, g ORDER BY points DESC, difference DESC, goals DESC, own) AS place FROM tab)
+SELECT sim, chr(CAST(65 + g AS INTEGER)) AS "group", CAST(max(own) FILTER (place = 1) AS INTEGER) AS first, CAST(max(own) FILTER (place = 2) AS INTEGER) AS second, CAST(max(own) FILTER (place = 3) AS INTEGER) AS third,
+  CAST(max(own) FILTER (place = 4) AS INTEGER) AS fourth, CAST(max(points) FILTER (place = 3) AS BIGINT) AS third_points FROM ord GROUP BY 1, 2"""
+
+
+def _group_stage(spark, sf_dir, n, rule="table"):
+    from pitchloom.operators import simulate
+    from pitchloom.plans import world
+
+    rated = {(r["home_team_id"], r["away_team_id"]): r for r in _world_rates(spark, sf_dir).collect()}  # pairs of 48 teams
+    number = {t: i for i, t in enumerate(world.teams())}
+    games = [{"match_id": r[0], "group": r[2], "home": number[r[5]], "away": number[r[6]], "rate_home": rated[r[5:7]]["rate_home"], "rate_away": rated[r[5:7]]["rate_away"], "home_score": None, "away_score": None} for r in world.fixture_rows() if r[1] == "group"]
+    groups, length = simulate.group_frame(spark, games)
+    return simulate.group_tables(simulate.group_goals(groups, length, spark.range(n).withColumnRenamed("id", "sim"), 20260613), rule)
+
+
+@query(REPLAY)
+def simulated_groups(spark, sf_dir):
+    from pitchloom.operators.simulate import POINTS
+
+    third = F.shiftright(F.col("k3") + POINTS // 2, 40).alias("third_points")
+    return _group_stage(spark, sf_dir, 1_000).select("sim", "group", "first", "second", "third", "fourth", third)
+
+
+@query()
+def group_place_shares(spark, sf_dir):
+    """The share of 10 000 simulations in which each team takes each place of its group."""
+    from pitchloom.operators.simulate import group_positions
+    from pitchloom.plans import world
+
+    return group_positions(spark, _group_stage(spark, sf_dir, 10_000, "cascade"), world.teams(), 10_000)
 
 
 @query("""SELECT match_id, date, home_team_id, away_team_id, home_score, away_score, CASE WHEN date < DATE '2000-06-01' THEN neutral ELSE true END AS neutral,

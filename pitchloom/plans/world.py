@@ -64,13 +64,22 @@ def mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(mapping_rows(), "combination string, match_id string, group string")
 
 
+def teams() -> list[str]:
+    return [f"team-{g.lower()}{i}" for g in GROUPS for i in range(1, 5)]
+
+
 def strength(i: int) -> float:
     return 0.45 * math.cos(i * 2.399963)
 
 
-def rates(spark: SparkSession) -> DataFrame:
-    """Goal rates and the home side's chance to advance for every ordered pair."""
-    teams = [f"team-{g.lower()}{i}" for g in GROUPS for i in range(1, 5)]
-    pairs = [(a, b, 1.3 * math.exp(strength(i) - strength(j + 7)), 1.3 * math.exp(strength(j) - strength(i + 7))) for i, a in enumerate(teams) for j, b in enumerate(teams) if i != j]
+def rates(spark: SparkSession, form: list[tuple[float, float]] | None = None, mean: float = 1.3) -> DataFrame:
+    """Goal rates and the home side's chance to advance for every ordered pair.
+
+    form: goals for and against per match, dealt to the teams in turn; without it they come from a rule.
+    """
+    if form is None:
+        form = [(mean * math.exp(strength(i)), mean * math.exp(-strength(i + 7))) for i in range(len(teams()))]
+    rated = [(t, *form[i % len(form)]) for i, t in enumerate(teams())]
+    pairs = [(a, b, x * v / mean, u * y / mean) for a, x, y in rated for b, u, v in rated if a != b]
     table = spark.createDataFrame(pairs, "home_team_id string, away_team_id string, rate_home double, rate_away double")
     return with_outcomes(table).select("home_team_id", "away_team_id", "rate_home", "rate_away", advance_probability(F.col("p_home"), F.col("p_draw"), F.col("p_away")).alias("p_advance"))

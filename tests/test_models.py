@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pitchloom.functions import columns as C
 from pitchloom.operators import contracts, goals, ratings, rules, scoring
 from pitchloom.operators import matches as M
-from pitchloom.operators.simulate import advancement, group_goals, group_tables, simulate
+from pitchloom.operators.simulate import advancement, distribution, group_frame, group_goals, group_positions, group_tables, simulate
 from pitchloom.plans import world
 
 SCORES = "home_team_id string, away_team_id string, home_score int, away_score int"
@@ -283,13 +283,67 @@ def test_simulation_invariants_and_determinism(spark):
     assert table.sort_values("team_id").reset_index(drop=True).equals(again.sort_values("team_id").reset_index(drop=True))
 
 
+def fixture_of(pairs, rate=1.0):
+    return [{"match_id": f"{k}", "group": "A", "home": h, "away": a, "rate_home": rate, "rate_away": rate, "home_score": None, "away_score": None} for k, (h, a) in enumerate(pairs)]
+
+
+ALL_PAIRS = [(0, 1), (2, 3), (2, 0), (1, 3), (3, 0), (1, 2)]
+
+
 def test_fixing_a_group_match_moves_no_other(spark):
-    rows = [("1", "A", 0, 1, 1.0, 1.0, None, None), ("2", "A", 2, 3, 1.0, 1.0, None, None)]
-    kinds = "match_id string, group string, home int, away int, rate_home double, rate_away double, home_score int, away_score int"
     sims = spark.range(50).withColumnRenamed("id", "sim")
-    free = group_goals(spark.createDataFrame(rows, kinds), sims, 3)
-    fixed = group_goals(spark.createDataFrame([(*rows[0][:6], 9, 0), rows[1]], kinds), sims, 3)
-    pick = lambda df: sorted(tuple(r) for r in df.where("home = 2").collect())
+    matches = fixture_of(ALL_PAIRS)
+    free = group_goals(*group_frame(spark, matches), sims, 3)
+    fixed = group_goals(*group_frame(spark, [matches[0] | {"home_score": 9, "away_score": 0}, *matches[1:]]), sims, 3)
+    rest = [f"{s}{k}" for s in "ab" for k in range(1, 6)]
+    pick = lambda df: sorted(tuple(r) for r in df.select("sim", *rest).collect())
     assert pick(free) == pick(fixed)
-    assert fixed.where("home = 0 and home_goals = 9 and away_goals = 0").count() == 50
-    assert group_tables(fixed).where("team = 0 and position = 1").count() == 50
+    assert fixed.where("a0 = 9 and b0 = 0").count() == 50
+    assert group_tables(fixed).where("first = 0").count() > 25
+    with pytest.raises(ValueError, match="four that meet once"):
+        group_frame(spark, matches[:5])
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3, 1.4, 9.0])
+def test_search_equals_the_inverse_of_the_distribution(spark, rate):
+    matches = fixture_of(ALL_PAIRS, rate)
+    goals_ = group_goals(*group_frame(spark, matches), spark.range(300).withColumnRenamed("id", "sim"), 5)
+    # Pair 1 is teams 0 and 2; team 2 is at home in match 2.
+    got = {r["sim"]: (r["a1"], r["b1"]) for r in goals_.collect()}
+    u = lambda side: C.keyed_uniform(5, F.lit("2"), F.col("id"), F.lit(side))
+    want = {r[0]: (r[1], r[2]) for r in spark.range(300).select("id", *[C.poisson_draw(F.lit(rate), u(s)) for s in ("away", "home")]).collect()}
+    assert got == want
+    assert distribution(rate)[-1] == pytest.approx(1)
+
+
+@pytest.mark.parametrize("tail", [None, {0: 3, 1: 1, 2: 2, 3: 1}])
+def test_group_tables_equal_the_cascade(spark, tail):
+    """Many score patterns as simulations of one group, against the cascade by joins and windows; a mini-table of two and of three, and ties."""
+    rng = np.random.default_rng(2)
+    patterns = [tuple(int(g) for g in rng.choice([0, 0, 1, 1, 2], 12)) for _ in range(700)] + [(0,) * 12, (1,) * 12]
+    names = ["sim", *(f"{s}{k}" for k in range(6) for s in "ab")]
+    goals_ = spark.createDataFrame([(i, *p) for i, p in enumerate(patterns)], ", ".join(f"{n} int" for n in names))
+    goals_ = goals_.select("*", F.lit("A").alias("group"), *[F.lit(i).alias(f"t{i}") for i in range(4)])
+    got = {r["sim"]: (r["first"], r["second"], r["third"], r["fourth"], r["tied"]) for r in group_tables(goals_, "cascade", tail).collect()}
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    flat = [(n, str(i), str(j), p[2 * k], p[2 * k + 1]) for n, p in enumerate(patterns) for k, (i, j) in enumerate(pairs)]
+    places = tail and spark.createDataFrame([(str(t), [p]) for t, p in tail.items()], "team_id string, places array<int>")
+    table = rules.cascade(spark.createDataFrame(flat, "group int, " + SCORES), ["group"], editions=places).collect()
+    order_ = {(r["group"], r["position"]): int(r["team_id"]) for r in table}
+    tied = {r["group"] for r in table if r["tied"]}
+    assert got == {n: (*(order_[n, p] for p in range(1, 5)), n in tied) for n in range(len(patterns))}
+    assert tied and len(tied) < len(patterns) / 2
+    plain = {r["sim"]: (r["first"], r["fourth"]) for r in group_tables(goals_).collect()}
+    assert any(plain[n] != (got[n][0], got[n][3]) for n in plain)
+    with pytest.raises(Exception, match="a tie that no rule breaks in group A"):
+        group_tables(goals_, "cascade", tail, "raise").collect()
+
+
+def test_simulation_with_the_cascade(spark):
+    fixture, rates, mapping = world.fixture(spark), world.rates(spark), world.mapping(spark)
+    tail = {t: i for i, t in enumerate(world.teams())}
+    played = spark.createDataFrame([("001", 3, 0, None), ("102", None, None, None)][:1], "match_id string, home_score int, away_score int, advanced_team string")
+    table = advancement(spark, simulate(spark, fixture, rates, mapping, 200, 4, played, 4, "cascade", tail, "raise"), fixture, 200).toPandas()
+    assert table["p_champion"].sum() == pytest.approx(1) and table["p_r32"].sum() == pytest.approx(32)
+    shares = group_positions(spark, group_tables(group_goals(*group_frame(spark, fixture_of(ALL_PAIRS)), spark.range(100).withColumnRenamed("id", "sim"), 1)), ["a", "b", "c", "d"], 100).toPandas()
+    assert len(shares) == 4 and shares[["p_1st", "p_2nd", "p_3rd", "p_4th"]].sum().tolist() == pytest.approx([1] * 4)
