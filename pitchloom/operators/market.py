@@ -95,15 +95,3 @@ def disagreements(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     teams = lambda x: F.array_sort(F.array(f"{x}.team_a", f"{x}.team_b"))
     goals = (F.col("o.goals_a") != F.col("t.goals_a")) | (F.col("o.goals_b") != F.col("t.goals_b"))
     return o.join(t, F.col("o.match_id") == F.col("t.match_id")).where(goals | (teams("o") != teams("t"))).select("o.match_id", goals.alias("goals_differ"), (teams("o") != teams("t")).alias("teams_differ"))
-
-
-def content_hash(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: a digest of the table that does not depend on row order, and its rows.
-
-    Row digests are summed as numbers modulo 2**61 - 1 in two lanes, so nothing is gathered.
-    """
-    row = F.sha2(F.to_json(F.struct(*keys, *[c for c in df.columns if c not in keys]), {"ignoreNullFields": "false"}), 256)
-    lane = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")
-    sums = df.select(row.alias("h")).agg(F.sum(lane(1)).alias("a"), F.sum(lane(16)).alias("b"), F.count("*").alias("rows"))
-    part = lambda c: F.coalesce((F.col(c) % F.lit(2**61 - 1)).cast("string"), F.lit("0"))
-    return sums.select(F.sha2(F.concat_ws("|", part("a"), part("b"), F.col("rows").cast("string")), 256).alias("digest"), "rows")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchloom.functions import columns as C
 from pitchloom.operators import challenger, contracts, goals, identity, live, market, matches, ratings, rules, scoring
-from pitchloom.sources import scans
+from pitchloom.sources import digests, documents, scans
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -485,6 +485,25 @@ def fallback_counts(spark, sf_dir):
     return dual_publication(spark, sf_dir).groupBy("fallback_reason").agg(F.count("*").alias("rows"))
 
 
+@query("""SELECT CASE WHEN k_factor IN (30, 40) THEN NULL ELSE match_id END AS event_id, CASE WHEN k_factor = 20 OR (k_factor > 40 AND home_score <> 1) THEN 'book' END AS bookmaker,
+  CASE WHEN k_factor = 20 THEN 1.5 + home_score WHEN k_factor = 60 AND home_score <> 1 THEN 1.5 + home_score END AS price_home,
+  CASE k_factor WHEN 30 THEN 'not JSON' WHEN 40 THEN 'event lacks id, teams or time' WHEN 20 THEN CASE WHEN home_score = 2 THEN 'not three-way' END
+    WHEN 50 THEN CASE WHEN home_score = 1 THEN 'event without quotes' ELSE 'no h2h market' END ELSE CASE WHEN home_score = 1 THEN 'event without quotes' END END AS verdict,
+  match_id || CASE k_factor WHEN 30 THEN '' WHEN 40 THEN '/0' WHEN 50 THEN CASE WHEN home_score = 1 THEN '/0' ELSE '/0/0' END WHEN 60 THEN CASE WHEN home_score = 1 THEN '/0' ELSE '/0/0/0' END ELSE '/0/0/0' END AS place FROM m""")
+def json_quote_records(spark, sf_dir):
+    """A payload for each match, with planted faults: one cut off, one without an id, a market of other names, one of another kind, an event without bookmakers."""
+    k, goals_ = F.col("k_factor"), F.col("home_score")
+    result = lambda name, price: F.struct(name.alias("name"), price.alias("price"))
+    draw = F.when((k == 20) & (goals_ == 2), "Tie").otherwise("Draw")
+    outcomes = F.array(result(F.col("home_team_id"), (1.5 + goals_).cast("double")), result(draw, F.lit(3.25)), result(F.col("away_team_id"), F.lit(4.5)))
+    market = F.struct(F.when(k == 50, "lay").otherwise("h2h").alias("key"), outcomes.alias("outcomes"))
+    book = F.struct(F.lit("book").alias("key"), F.concat(F.col("date").cast("string"), F.lit("T10:00:00Z")).alias("last_update"), F.array(market).alias("markets"))
+    event = F.struct(F.when(k != 40, F.col("match_id")).alias("id"), F.concat(F.col("date").cast("string"), F.lit("T18:00:00Z")).alias("commence_time"), F.col("home_team_id").alias("home_team"), F.col("away_team_id").alias("away_team"), F.when(~k.isin(50, 60) | (goals_ != 1), F.when(k != 40, F.array(book))).alias("bookmakers"))
+    text = F.to_json(F.array(event))
+    payloads = scans.matches(spark, sf_dir).withColumn("t", text).select("match_id", F.when(k == 30, F.expr("substr(t, 1, length(t) - 9)")).otherwise(F.col("t")).alias("payload"))
+    return documents.quote_records(payloads, source=F.col("match_id")).select("event_id", "bookmaker", "price_home", "verdict", "place")
+
+
 @query("""SELECT match_id, home_score <> (home_score + CAST(k_factor = 60 AS INTEGER)) AS goals_differ, k_factor = 50 AS teams_differ FROM m WHERE k_factor IN (50, 60)""")
 def result_disagreements(spark, sf_dir):
     m = scans.matches(spark, sf_dir)
@@ -528,9 +547,27 @@ def row_ids(spark, sf_dir):
     return scans.matches(spark, sf_dir).select("match_id", F.sha2(F.to_json(F.array("match_id", F.col("date").cast("string"))), 256).alias("row_id"))
 
 
-@query()
+#: The tree of the match view: as many digits as leave 1 000 rows for each range, then sixteen children for each node.
+TREE = """, x AS (SELECT substr(sha256('{"match_id":"' || match_id || '"}'), 1, w) AS r, sha256('{"match_id":"' || match_id || '","date":"' || date || '","home_team_id":"' || home_team_id || '","away_team_id":"' || away_team_id
+    || '","home_score":' || home_score || ',"away_score":' || away_score || ',"k_factor":' || k_factor || ',"home_region":' || home_region || ',"away_region":' || away_region
+    || ',"neutral":' || CAST(neutral AS VARCHAR) || ',"after_extra_time":' || CAST(after_extra_time AS VARCHAR) || ',"outcome":' || outcome || '}') AS d
+  FROM m, (SELECT CAST(greatest(0, ceil(ln(count(*) / 1000.0) / ln(16) - 1e-12)) AS INTEGER) AS w FROM m)),
+ranges AS (SELECT r AS "range", sha256(string_agg(d, '' ORDER BY d)) AS digest, count(*) AS rows FROM x GROUP BY 1),
+node AS (
+  SELECT "range", digest, rows FROM ranges
+  UNION ALL
+  SELECT left("range", length("range") - 1), sha256(string_agg("range" || ':' || digest || ':' || rows || chr(10), '' ORDER BY "range")), CAST(sum(rows) AS BIGINT) FROM node WHERE length("range") > 0 GROUP BY 1)
+"""
+
+
+@query(TREE + """SELECT digest, rows FROM node WHERE length("range") = 0""")
 def table_digest(spark, sf_dir):
-    return market.content_hash(scans.matches(spark, sf_dir), ["match_id"])
+    return digests.content_hash(scans.matches(spark, sf_dir), ["match_id"])
+
+
+@query(TREE + """SELECT "range", digest, rows FROM ranges""")
+def table_ranges(spark, sf_dir):
+    return digests.ranges(scans.matches(spark, sf_dir), ["match_id"])
 
 
 @query("SELECT team_id, printf('%.1f%%', 100 * w) AS share, printf('%+.1f pp', 100 * (w - 0.4)) AS delta FROM (SELECT team_id, avg(CAST(points = 3 AS INTEGER)) AS w FROM p GROUP BY 1)")

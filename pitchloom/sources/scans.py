@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchloom.functions.columns import outcome
-
-QUOTES = "array<struct<id:string,commence_time:string,home_team:string,away_team:string,bookmakers:array<struct<key:string,title:string,last_update:string,markets:array<struct<key:string,last_update:string,outcomes:array<struct<name:string,price:double>>>>>>>>"
+from pitchloom.sources import documents
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,39 +65,14 @@ def tsv_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_quotes(payload: DataFrame, column: str = "payload") -> DataFrame:
-    """Bookmaker payloads (a JSON array of events) to one row per event, bookmaker and three-way market.
-
-    Markets other than h2h, and those whose outcomes are not exactly the two teams and Draw, give no row.
-    """
-    events = payload.select(F.explode(F.from_json(column, QUOTES)).alias("e"))
-    books = events.select("e", F.explode("e.bookmakers").alias("b"))
-    markets = books.select("e", "b", F.explode("b.markets").alias("m")).where("m.key = 'h2h'")
-    wanted = F.array_sort(F.array(F.col("e.home_team"), F.col("e.away_team"), F.lit("Draw")))
-    exact = markets.where(F.array_sort("m.outcomes.name") == wanted)
-
-    def price(name):
-        return F.filter("m.outcomes", lambda o: o["name"] == name)[0]["price"]
-
-    return exact.select(
-        F.col("e.id").alias("event_id"),
-        F.col("b.key").alias("bookmaker"),
-        F.to_timestamp("e.commence_time").alias("commence_time"),
-        F.to_timestamp(F.coalesce("m.last_update", "b.last_update")).alias("updated_at"),
-        F.col("e.home_team").alias("home_team"),
-        F.col("e.away_team").alias("away_team"),
-        price(F.col("e.home_team")).alias("price_home"),
-        price(F.lit("Draw")).alias("price_draw"),
-        price(F.col("e.away_team")).alias("price_away"),
-    )
+    """Bookmaker payloads (a JSON array of events) to one row per event, bookmaker and three-way market. Anything else in them but
+    markets of other kinds raises, a text that is cut off or no JSON included; ``documents.quote_records`` gives verdicts instead."""
+    return documents.checked(documents.quote_records(payload, column), "quotes")
 
 
-def strict_json_results(spark: SparkSession, path: str, allowed: set[str], required: set[str]) -> DataFrame:
-    """Played results from JSON lines or arrays: unknown or missing keys raise."""
-    rows = spark.read.option("multiLine", True).text(path, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("m"))
-    bad = rows.where((F.size(F.array_except(F.map_keys("m"), F.array(*[F.lit(x) for x in sorted(allowed)]))) > 0) | (F.size(F.array_except(F.array(*[F.lit(x) for x in sorted(required)]), F.map_keys("m"))) > 0))
-    if not bad.isEmpty():
-        raise ValueError("played results: unknown or missing keys")
-    return rows.select(*[F.col("m")[k].alias(k) for k in sorted(allowed)])
+def strict_json_results(spark: SparkSession, path: str, allowed: set[str], required: set[str], lines: bool = False) -> DataFrame:
+    """Played results from JSON documents, or JSON lines: what does not parse, unknown keys and missing ones raise."""
+    return documents.checked(documents.result_records(spark, path, allowed, required, lines), "played results")
 
 
 def latest(spark: SparkSession, folder: str, pattern: str) -> str | None:

@@ -1,7 +1,7 @@
 """Sinks that never lose or overwrite: write-once tables, append-only ledgers, snapshot bundles, small JSON documents.
 
-A table is staged under a sibling name and renamed, so readers see all of it or nothing. Its digest does not depend on row order or
-partitioning and is an aggregation: no table passes through the driver. Paths are those of any file system that Spark knows.
+A table is staged under a sibling name and renamed, so readers see all of it or nothing. Its digest is the root of a tree over ranges of its
+keys, by aggregation: no table passes through the driver. A snapshot keeps the ranges too, so a table that was changed shows where. Paths are those of any file system that Spark knows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchloom.operators.market import content_hash
+from pitchloom.sources.digests import content_hash, differences, digits, ranges, root
 
 
 class ImmutableError(ValueError):
@@ -89,7 +89,9 @@ def publish_bundle(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[
     digests = {}
     for table, (df, keys) in sorted(tables.items()):
         df.write.parquet(f"{staged}/{table}")
-        digests[table] = digest(spark.read.parquet(f"{staged}/{table}"), keys) | {"keys": keys}
+        width = digits((stored := spark.read.parquet(f"{staged}/{table}")).count())
+        ranges(stored, keys, width).write.parquet(f"{staged}/_ranges/{table}")
+        digests[table] = root(spark.read.parquet(f"{staged}/_ranges/{table}"), width).first().asDict() | {"keys": keys, "digits": width}
     document = metadata | {"name": name, "tables": digests}
     write_json(spark, document, f"{staged}/metadata")
     _publish(spark, staged, path)
@@ -101,11 +103,18 @@ def verify_bundle(spark: SparkSession, path: str) -> list[str]:
     document = read_json(spark, f"{path}/metadata")
     wrong = []
     for table, stated in sorted(document["tables"].items()):
-        if digest(spark.read.parquet(f"{path}/{table}"), stated["keys"]) | {"keys": stated["keys"]} != stated:
+        found = root(ranges(spark.read.parquet(f"{path}/{table}"), stated["keys"], stated["digits"]), stated["digits"]).first().asDict()
+        if found != {c: stated[c] for c in ("digest", "rows")}:
             wrong.append(table)
     return wrong
 
 
+def changed_ranges(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """range, stated_rows and found_rows: where a table of a snapshot differs from what was published. ``digests.in_ranges`` gives its rows there."""
+    stated = read_json(spark, f"{path}/metadata")["tables"][table]
+    return differences(spark.read.parquet(f"{path}/_ranges/{table}"), ranges(spark.read.parquet(f"{path}/{table}"), stated["keys"], stated["digits"]))
+
+
 def fingerprint(**parts) -> str:
     """SHA-256 of named inputs; equal inputs, equal print."""
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
