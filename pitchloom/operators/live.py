@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchloom.functions.columns import outcome
+from pitchloom.operators.ratings import k_factors
+
 DAY = 86_400_000_000
-CANONICAL = ("match_id", "date", "home_team_id", "away_team_id", "home_score", "away_score", "neutral", "result_after_extra_time", "city", "country", "tournament", "source", "source_version")
+CANONICAL = ("match_id", "date", "home_team_id", "away_team_id", "home_team_source_name", "away_team_source_name", "home_score", "away_score", "neutral", "shootout_winner_team_id", "result_after_extra_time", "city", "country", "tournament", "source", "source_version")
 
 
 def canonical_errors(results: DataFrame, fixture: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def canonical(results: DataFrame, fixture: DataFrame, as_of: Column, source_vers
     """Live results (match_id, team_a, team_b, goals_a, goals_b of 90 minutes, advanced_team) as rows of history, on neutral ground.
 
     The fixture (match_id, and where it has them kickoff, host_city, host_country) gives date and place; a missing kickoff becomes the day
-    as_of, a missing place an empty text. A draw with a team that advanced went on after 90 minutes. A result that breaks a rule of
+    as_of, a missing place an empty text. Team names are those of the results, who won a shoot-out is not known. A draw with a team that advanced went on after 90 minutes. A result that breaks a rule of
     ``canonical_errors`` raises; an empty table gives an empty one.
     """
     errors = canonical_errors(results, fixture).orderBy("match_id", "rule").limit(5).collect()  # five for the message
@@ -44,7 +47,8 @@ def canonical(results: DataFrame, fixture: DataFrame, as_of: Column, source_vers
     day = F.date_from_unix_date(F.floor(F.unix_micros("__kickoff") / DAY).cast("int"))  # of UTC, whatever the session's zone
     return results.join(facts, "match_id").select(
         "match_id", F.coalesce(day, as_of).alias("date"), F.col("team_a").alias("home_team_id"), F.col("team_b").alias("away_team_id"),
-        F.col("goals_a").cast("int").alias("home_score"), F.col("goals_b").cast("int").alias("away_score"), F.lit(True).alias("neutral"),
+        F.col("team_a").alias("home_team_source_name"), F.col("team_b").alias("away_team_source_name"),
+        F.col("goals_a").cast("int").alias("home_score"), F.col("goals_b").cast("int").alias("away_score"), F.lit(True).alias("neutral"), F.lit(None).cast("string").alias("shootout_winner_team_id"),
         (F.col("advanced_team").isNotNull() & (F.col("goals_a") == F.col("goals_b"))).alias("result_after_extra_time"),
         F.coalesce("__city", F.lit("")).alias("city"), F.coalesce("__country", F.lit("")).alias("country"),
         F.lit(tournament).alias("tournament"), F.lit(source).alias("source"), F.lit(source_version).alias("source_version"),
@@ -62,6 +66,16 @@ def training_set(history: DataFrame, live: DataFrame) -> DataFrame:
     return history.select(*CANONICAL).unionByName(live.select(*CANONICAL))
 
 
+def trainable(training: DataFrame, factors: DataFrame) -> DataFrame:
+    """A training set with k_factor (``ratings.k_factors`` of its tournaments), after_extra_time and outcome, as ``ratings.history`` and ``goals.fit`` take it.
+
+    A match with a shoot-out winner went beyond 90 minutes too; an unknown flag means that it did not.
+    """
+    beyond = F.coalesce("result_after_extra_time", F.lit(False)) | F.col("shootout_winner_team_id").isNotNull()
+    rows = k_factors(training, factors).withColumn("after_extra_time", beyond)
+    return rows.withColumn("outcome", outcome(F.col("home_score"), F.col("away_score"), F.col("after_extra_time")))
+
+
 def audit(table: DataFrame, raw: DataFrame, names: DataFrame, source: str) -> DataFrame:
     """One row that holds a written match table against what it was made from.
 

@@ -713,20 +713,34 @@ def group_place_shares(spark, sf_dir):
     return group_positions(spark, _group_stage(spark, sf_dir, 10_000, "cascade"), world.teams(), 10_000)
 
 
-@query("""SELECT match_id, date, home_team_id, away_team_id, home_score, away_score, CASE WHEN date < DATE '2000-06-01' THEN neutral ELSE true END AS neutral,
-after_extra_time AS result_after_extra_time, '' AS city, CAST(home_region AS VARCHAR) AS country,
-CASE WHEN date < DATE '2000-06-01' THEN 'history' ELSE 'cup' END AS tournament, CASE WHEN date < DATE '2000-06-01' THEN 'view' ELSE 'live' END AS source, 'v1' AS source_version FROM m""")
-def live_training_set(spark, sf_dir):
+def _training_set(spark, sf_dir):
     """All matches: those before a day as history, the later ones as live results in canonical form."""
     m = scans.matches(spark, sf_dir)
     text = lambda x: F.lit(x)
-    history = m.where("date < date '2000-06-01'").select("*", F.col("after_extra_time").alias("result_after_extra_time"), text("").alias("city"), F.col("home_region").cast("string").alias("country"), text("history").alias("tournament"), text("view").alias("source"), text("v1").alias("source_version"))
+    history = m.where("date < date '2000-06-01'").select("*", F.col("after_extra_time").alias("result_after_extra_time"), F.upper("home_team_id").alias("home_team_source_name"), F.upper("away_team_id").alias("away_team_source_name"), F.when(F.col("after_extra_time"), F.col("home_team_id")).alias("shootout_winner_team_id"), text("").alias("city"), F.col("home_region").cast("string").alias("country"), text("history").alias("tournament"), text("view").alias("source"), text("v1").alias("source_version"))
     fixture = m.select("match_id", F.timestamp_micros(F.unix_date("date").cast("long") * live.DAY + live.DAY // 2).alias("kickoff"), F.col("home_region").alias("host_country"))
     advanced = F.when(F.col("after_extra_time"), F.col("away_team_id")).when(F.col("neutral") & (F.col("home_score") > F.col("away_score")), F.col("home_team_id"))
     results = m.where("date >= date '2000-06-01'").select("match_id", F.col("home_team_id").alias("team_a"), F.col("away_team_id").alias("team_b"), F.col("home_score").alias("goals_a"), F.col("away_score").alias("goals_b"), advanced.alias("advanced_team"))
     return live.training_set(history, live.canonical(results, fixture, F.lit("2000-06-01").cast("date"), "v1", "cup"))
 
 
+@query("""SELECT match_id, date, home_team_id, away_team_id, CASE WHEN date < DATE '2000-06-01' THEN upper(home_team_id) ELSE home_team_id END AS home_team_source_name,
+CASE WHEN date < DATE '2000-06-01' THEN upper(away_team_id) ELSE away_team_id END AS away_team_source_name, home_score, away_score, CASE WHEN date < DATE '2000-06-01' THEN neutral ELSE true END AS neutral,
+CASE WHEN date < DATE '2000-06-01' AND after_extra_time THEN home_team_id END AS shootout_winner_team_id, after_extra_time AS result_after_extra_time, '' AS city, CAST(home_region AS VARCHAR) AS country,
+CASE WHEN date < DATE '2000-06-01' THEN 'history' ELSE 'cup' END AS tournament, CASE WHEN date < DATE '2000-06-01' THEN 'view' ELSE 'live' END AS source, 'v1' AS source_version FROM m""")
+def live_training_set(spark, sf_dir):
+    return _training_set(spark, sf_dir)
+
+
+@query(""", g AS (SELECT 'all' AS pool, match_id, date, home_team_id, away_team_id, home_score, away_score, CASE WHEN date < DATE '2000-06-01' THEN 40 ELSE 60 END AS k_factor,
+  CASE WHEN date < DATE '2000-06-01' THEN neutral ELSE true END AS neutral, after_extra_time FROM m)""" + CHAIN + """SELECT team_id, rating, CAST(dense_rank() OVER (ORDER BY rating DESC) AS INTEGER) AS rank FROM
+  (SELECT team_id, arg_max(rating_post, date::VARCHAR || match_id) AS rating FROM hs GROUP BY 1)""")
+def live_ratings(spark, sf_dir):
+    """Ratings after history and live results: training set, K-factors of its tournaments, one chain."""
+    factors = spark.createDataFrame([("history", "qualifier_major", 40), ("cup", "wc", 60)], "tournament string, k_category string, k_factor int")
+    return ratings.leaderboard(ratings.history(live.trainable(_training_set(spark, sf_dir), factors)))
+
+
 @query("""SELECT match_id, 'outside_fixture' AS rule FROM m WHERE home_region = 4
 UNION ALL SELECT match_id, 'wrong_margin' FROM m WHERE home_score < away_score AND neutral
 UNION ALL SELECT match_id, 'repeated' FROM m WHERE away_region = 2""")

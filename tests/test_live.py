@@ -46,6 +46,24 @@ def test_training_set(spark, fixture):
         live.training_set(one, one)
 
 
+def test_training_set_feeds_ratings_and_fit(spark, fixture):
+    from pitchloom.operators import goals, matches, ratings
+
+    one = live.canonical(spark.createDataFrame([("M1", "a", "b", 1, 1, "b")], RESULT), fixture, F.lit(DAY), "v7", "cup")
+    old = one.withColumns({"match_id": F.lit("H1"), "date": F.lit(dt.date(2025, 1, 1)), "home_score": F.lit(3), "shootout_winner_team_id": F.lit(None).cast("string"), "result_after_extra_time": F.lit(None).cast("boolean"), "tournament": F.lit("old"), "neutral": F.lit(False)})
+    factors = spark.createDataFrame([("old", "friendly", 20), ("cup", "wc", 60)], "tournament string, k_category string, k_factor int")
+    ready = live.trainable(live.training_set(old, one), factors)
+    got = {(r["match_id"], r["team_id"]): r["rating_post"] for r in ratings.history(ready).collect()}
+    first = ratings.change(1000, 1000, 3, 1, 20, False, False)
+    assert got["H1", "a"] == pytest.approx(1000 + first)
+    assert got["M1", "a"] == pytest.approx(1000 + first + ratings.change(1000 + first, 1000 - first, 1, 1, 60, True, True))
+    assert {r["match_id"]: r["outcome"] for r in ready.collect()} == {"H1": 0, "M1": 1}
+    model = goals.fit(matches.weighted(ready, F.lit(dt.date(2026, 7, 1)), 0.001), 0.001, "2026-07-01")
+    assert model.teams == ("a", "b")  # two teams: what one attacks the other defends
+    with pytest.raises(Exception, match="no K-factor for tournament old"):
+        live.trainable(live.training_set(old, one), factors.where("tournament = 'cup'")).collect()
+
+
 def test_audit(spark):
     raw = spark.createDataFrame([("A", "B", 1, 0), ("B", "A", None, None)], "home_team string, away_team string, home_score int, away_score int")
     names = spark.createDataFrame([("A",), ("B",), ("B",)], "source_name string")
