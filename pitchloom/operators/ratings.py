@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +41,18 @@ def change(elo_home: float, elo_away: float, home: int, away: int, k: int, neutr
     return k * factor * (result - expected)
 
 
-def play(rows: pa.Table, starts: dict[tuple, float]) -> tuple[dict[tuple, float], list[tuple]]:
-    """Ratings by (pool, team) after the rows of a block, and (pool, match, date, home, away, k, rating of both before, gain) of each row."""
-    rows = rows.sort_by("place")
-    now, out = dict(starts), []
-    columns = ("pool", "match_id", "date", "home_team_id", "away_team_id", "k_factor", "home_score", "away_score", "neutral", "after_extra_time")
-    for pool, match, date, home, away, k, scored, conceded, neutral, drawn in zip(*(rows[c].to_pylist() for c in columns), strict=True):
+def play(rows: pa.Table, now: dict[tuple, float]) -> tuple[list[float], list[float], list[float]]:
+    """Ratings of both sides before each match of a block, in order, and the gain; now, the ratings by (pool, team), follows."""
+    columns = ("pool", "home_team_id", "away_team_id", "home_score", "away_score", "k_factor", "neutral", "after_extra_time")
+    homes, aways, gains = [], [], []
+    for pool, home, away, scored, conceded, k, neutral, drawn in zip(*(rows[c].to_pylist() for c in columns), strict=True):
         a, b = now.get((pool, home), START_RATING), now.get((pool, away), START_RATING)
         gain = change(a, b, scored, conceded, k, neutral, bool(drawn))
         now[pool, home], now[pool, away] = a + gain, b - gain
-        out.append((pool, match, date, home, away, k, a, b, gain))
-    return now, out
+        homes.append(a)
+        aways.append(b)
+        gains.append(gain)
+    return homes, aways, gains
 
 
 def _begin(states: pa.Table) -> dict[tuple, float]:
@@ -60,9 +62,10 @@ def _begin(states: pa.Table) -> dict[tuple, float]:
 def _leave(rows: pa.Table, states: pa.Table) -> pa.Table:
     """The ratings that a block begins with and leaves, for the teams that play in it."""
     began = _begin(states)
-    after, played = play(rows, began)
-    block = rows["block"][0].as_py() if len(rows) else None
-    teams = sorted({(r[0], t) for r in played for t in r[3:5]})
+    after = dict(began)
+    play(rows.sort_by("place"), after)
+    teams = sorted(after) if len(rows) else []
+    block = rows["block"][0].as_py() if teams else None
     table = [[block] * len(teams), [p for p, _ in teams], [t for _, t in teams], [began.get(t, START_RATING) for t in teams], [after[t] for t in teams]]
     kinds = (pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64())
     return pa.table([pa.array(c, k) for c, k in zip(table, kinds, strict=True)], names=[c.split()[0] for c in STATES.split(", ")])
@@ -70,13 +73,14 @@ def _leave(rows: pa.Table, states: pa.Table) -> pa.Table:
 
 def _tell(rows: pa.Table, states: pa.Table) -> pa.Table:
     """Two rows for each match of a block."""
-    out = []
-    for pool, match, date, home, away, k, a, b, gain in play(rows, _begin(states))[1]:
-        out.append((pool, match, date, home, away, a, a + gain, k))
-        out.append((pool, match, date, away, home, b, b - gain, k))
-    kinds = (pa.string(), pa.string(), pa.date32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32())
-    columns = zip(*out, strict=True) if out else [[]] * 8
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in HISTORY.split(", ")])
+    rows = rows.sort_by("place")
+    homes, aways, gains = (pa.array(x, pa.float64()) for x in play(rows, _begin(states)))
+    names = [c.split()[0] for c in HISTORY.split(", ")]
+
+    def side(own: str, other: str, before: pa.Array, after: pa.Array) -> pa.Table:
+        return pa.table([rows["pool"], rows["match_id"], rows["date"], rows[f"{own}_team_id"], rows[f"{other}_team_id"], before, after, rows["k_factor"]], names=names)
+
+    return pa.concat_tables([side("home", "away", homes, pc.add(homes, gains)), side("away", "home", aways, pc.subtract(aways, gains))])
 
 
 def relaxed(blocks: DataFrame) -> DataFrame:
