@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchloom.functions.columns import log_loss, picked
-from pitchloom.operators import ratings
+from pitchloom.operators import boosting, ratings
 from pitchloom.operators.matches import perspectives, rolling_form
 from pitchloom.operators.scoring import P
 
@@ -66,25 +66,19 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Classifier:
-    """One multinomial model, or one model per class."""
+    """A multinomial model of pyspark.ml, or boosted trees."""
 
-    models: tuple[Any, ...]
+    model: Any
 
 
-def fit(rows: DataFrame, kind: str = "trees", rounds: int = 200, depth: int = 3, rate: float = 0.05, share: float = 0.9, seed: int = 20260611) -> Classifier:
-    """Fit on rows with FEATURES and outcome. kind: ``trees`` (boosted, one class against the rest) or ``logistic``."""
+def fit(rows: DataFrame, kind: str = "trees", **options) -> Classifier:
+    """Fit on rows with match_id, FEATURES and outcome. kind: ``trees`` (``boosting.fit`` with its options; unknown features stay unknown) or ``logistic``."""
     seen = {r["outcome"] for r in rows.select("outcome").distinct().collect()}  # classes
     if seen != {0, 1, 2}:
         raise ValueError(f"challenger: outcomes {sorted(seen, key=str)}, 0, 1 and 2 expected")
-    data = _assembled(rows)
-    if kind == "logistic":
-        return Classifier((LogisticRegression(labelCol="outcome", family="multinomial", regParam=1e-3).fit(data),))
-    data = data.select("features", "outcome").persist()
-    try:
-        boosted = GBTClassifier(labelCol="label", maxDepth=depth, stepSize=rate, maxIter=rounds, subsamplingRate=share, seed=seed)
-        return Classifier(tuple(boosted.fit(data.withColumn("label", (F.col("outcome") == c).cast("double"))) for c in range(3)))
-    finally:
-        data.unpersist()
+    if kind == "trees":
+        return Classifier(boosting.fit(rows, FEATURES, "match_id", "outcome", **options))
+    return Classifier(LogisticRegression(labelCol="outcome", family="multinomial", regParam=1e-3).fit(_assembled(rows)))
 
 
 def _shares(parts: list[Column]) -> list[Column]:
@@ -96,14 +90,12 @@ def _shares(parts: list[Column]) -> list[Column]:
 
 def predict(rows: DataFrame, classifier: Classifier) -> DataFrame:
     """rows with p_home, p_draw and p_away."""
-    out = _assembled(rows)
-    for i, model in enumerate(classifier.models):
-        out = model.copy({model.probabilityCol: f"__p{i}", model.rawPredictionCol: f"__r{i}", model.predictionCol: f"__y{i}"}).transform(out)
-    if len(classifier.models) == 1:
-        parts = [vector_to_array("__p0")[i] for i in range(3)]
+    model = classifier.model
+    if isinstance(model, boosting.Boosted):
+        out = rows.withColumn("__p", boosting.probabilities(model))
     else:
-        parts = [vector_to_array(f"__p{i}")[1] for i in range(3)]
-    return out.select(*rows.columns, *[s.alias(n) for s, n in zip(_shares(parts), P, strict=True)])
+        out = model.copy({model.probabilityCol: "__v", model.rawPredictionCol: "__r", model.predictionCol: "__y"}).transform(_assembled(rows)).withColumn("__p", vector_to_array("__v"))
+    return out.select(*rows.columns, *[s.alias(n) for s, n in zip(_shares([F.col("__p")[i] for i in range(3)]), P, strict=True)])
 
 
 @dataclass(frozen=True)

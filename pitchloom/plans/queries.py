@@ -630,6 +630,14 @@ def challenger_forecasts(spark, sf_dir):
     return validation.compare(scans.matches(spark, sf_dir), validation.Holdout("2000", 2000, "k_factor = 60", "2000-01-01"), 0.00095, "logistic")
 
 
+@query()
+def boosted_forecasts(spark, sf_dir):
+    """The same holdout with boosted trees: 20 rounds at a rate of 0.2."""
+    from pitchloom.plans import validation
+
+    return validation.compare(scans.matches(spark, sf_dir), validation.Holdout("2000", 2000, "k_factor = 60", "2000-01-01"), 0.00095, "trees", rounds=20, rate=0.2)
+
+
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP)) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_counts(spark, sf_dir):
     from pitchloom.streaming import live
