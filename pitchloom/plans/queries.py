@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchloom.functions import columns as C
 from pitchloom.operators import challenger, contracts, goals, identity, live, market, matches, ratings, rules, scoring
-from pitchloom.sources import digests, documents, scans
+from pitchloom.sources import digests, documents, lines, scans, sinks, work
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -607,6 +609,32 @@ def ordered_logit_predictions(spark, sf_dir):
     return rated.where("year(date) = 2000").select("match_id", "outcome", *[x.alias(n) for x, n in zip(p, scoring.P, strict=True)])
 
 
+@query("""SELECT CASE WHEN bookmaker = 3 THEN 'missing bookmaker' WHEN bookmaker = 5 THEN 'no number price_home' ELSE 'good' END AS verdict,
+  count(*) AS n, count(DISTINCT match_id) AS matches, round(sum(CASE WHEN bookmaker <> 5 THEN price_home END), 3) AS price_home FROM q GROUP BY 1""")
+def quote_lines(spark, sf_dir):
+    """All quotes as CSV files, those of two bookmakers with faults, read back with a verdict for each line."""
+    at = F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    values = {
+        "provider": F.lit("manual"), "bookmaker": F.when(F.col("bookmaker") != 3, F.concat(F.lit("b"), "bookmaker")), "event_id": F.concat_ws("-", "match_id", "line"), "match_id": F.col("match_id"),
+        "commence_time_utc": at, "provider_update_utc": F.when(F.col("line") % 2 == 0, at), "home_team": F.lit("Home, first"), "away_team": F.lit("Away"),
+        "price_home": F.when(F.col("bookmaker") == 5, "many").otherwise(F.col("price_home").cast("string")), "price_draw": F.col("price_draw"), "price_away": F.col("price_away"),
+    }
+    path = f"{work.shared_dir(spark)}/quotes-{uuid.uuid4().hex}"
+    scans.quotes(spark, sf_dir).select(*[values[c].alias(c) for c in lines.QUOTES]).write.option("header", True).csv(path)
+    rows = lines.manual_quotes(spark, path).groupBy(F.coalesce("verdict", F.lit("good")).alias("verdict"))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("match_id").alias("matches"), F.round(F.sum("price_home"), 3).alias("price_home"))
+
+
+@query("SELECT match_id, p_home, p_draw, p_away FROM preds")
+def ledger_batches(spark, sf_dir):
+    """All forecasts, appended to a ledger in a batch for each half of the months, read back."""
+    p = predictions(scans.matches(spark, sf_dir)).select("match_id", "date", "p_home", "p_draw", "p_away")
+    path = f"{work.shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        sinks.append_rows(p.where(F.month("date") % 2 == half).drop("date"), path, ["match_id"])
+    return sinks.ledger(spark, path)
+
+
 @query("""SELECT i / 10.0 AS weight, avg(-ln(least(greatest(i / 10.0 * (1 / 3.0) + (1 - i / 10.0) * CASE outcome WHEN 0 THEN p_home WHEN 1 THEN p_draw ELSE p_away END, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) AS log_loss
 FROM preds, range(0, 11) r(i) GROUP BY 1""")
 def ensemble_mix(spark, sf_dir):

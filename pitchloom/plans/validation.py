@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchloom.operators import challenger, goals, matches, ratings, scoring
+from pitchloom.sources.work import written
 
 
 @dataclass(frozen=True)
@@ -78,24 +79,21 @@ def compare(games: DataFrame, h: Holdout, xi: float, kind: str = "trees", **opti
     """
     model = _goal_model(games, h, xi)
     structural = goals.with_outcomes(goals.rates(games, model), model.rho)
-    table = challenger.features(games, ratings.history(games), structural).where("eligible and lambda_home_dc is not null").persist()
-    try:
-        known = table.where(F.col("date") < F.lit(h.cutoff).cast("date"))
-        split = matches.latest_fraction(known, 0.25, ["date", "match_id"])
-        classifier = challenger.fit(split.where("not recent"), kind, **options)
-        late = challenger.predict(split.where("recent").drop("recent"), classifier)
-        even = F.pmod(F.xxhash64("match_id"), F.lit(2)) == 0
-        calibrator = challenger.best_calibration(late.where(even), late.where(~even))
-
-        def both(rows):
-            base = rows.select("match_id", "outcome", F.col("p_home_win_dc").alias("p_home"), F.col("p_draw_dc").alias("p_draw"), F.col("p_away_win_dc").alias("p_away"))
-            new = challenger.calibrated(rows, calibrator).select("match_id", *[F.col(c).alias(f"q{c[1:]}") for c in scoring.P])
-            return base.join(new, "match_id")
-
-        weight = challenger.best_mix(both(late)).first()["weight"]
-        held = both(challenger.predict(matches.holdout(table, h.year, F.expr(h.predicate)), classifier))
-        mixed = {"goal_model": 0.0, "challenger": 1.0, "ensemble": weight}
-        variants = F.array(*[F.struct(F.lit(m).alias("model"), *[(w * F.col(f"q{c[1:]}") + (1 - w) * F.col(c)).alias(c) for c in scoring.P]) for m, w in mixed.items()])
-        return held.select("match_id", "outcome", F.explode(variants).alias("v")).select(F.lit(h.name).alias("holdout"), "v.model", "match_id", "outcome", *[F.col(f"v.{c}").alias(c) for c in scoring.P])
-    finally:
-        table.unpersist()
+    table = written(challenger.features(games, ratings.history(games), structural).where("eligible and lambda_home_dc is not null"), "features")
+    known = table.where(F.col("date") < F.lit(h.cutoff).cast("date"))
+    split = written(matches.latest_fraction(known, 0.25, ["date", "match_id"]), "split")
+    classifier = challenger.fit(split.where("not recent"), kind, **options)
+    late = written(challenger.predict(split.where("recent").drop("recent"), classifier), "late")
+    even = F.pmod(F.xxhash64("match_id"), F.lit(2)) == 0
+    calibrator = challenger.best_calibration(late.where(even), late.where(~even))
+
+    def both(rows):
+        base = rows.select("match_id", "outcome", F.col("p_home_win_dc").alias("p_home"), F.col("p_draw_dc").alias("p_draw"), F.col("p_away_win_dc").alias("p_away"))
+        new = challenger.calibrated(rows, calibrator).select("match_id", *[F.col(c).alias(f"q{c[1:]}") for c in scoring.P])
+        return base.join(new, "match_id")
+
+    weight = challenger.best_mix(both(late)).first()["weight"]
+    held = both(challenger.predict(matches.holdout(table, h.year, F.expr(h.predicate)), classifier))
+    mixed = {"goal_model": 0.0, "challenger": 1.0, "ensemble": weight}
+    variants = F.array(*[F.struct(F.lit(m).alias("model"), *[(w * F.col(f"q{c[1:]}") + (1 - w) * F.col(c)).alias(c) for c in scoring.P]) for m, w in mixed.items()])
+    return held.select("match_id", "outcome", F.explode(variants).alias("v")).select(F.lit(h.name).alias("holdout"), "v.model", "match_id", "outcome", *[F.col(f"v.{c}").alias(c) for c in scoring.P])

@@ -118,13 +118,13 @@ def test_write_once(spark, tmp_path):
 def test_ledger_rejects_keys_it_has(spark, tmp_path):
     path = f"file://{tmp_path}/ledger"
     row = lambda *x: spark.createDataFrame(list(x), "match_id string, snapshot_id string, p double")
-    sinks.append_rows(row(("a", "s1", 0.1), ("b", "s1", 0.2)), path, ["match_id", "snapshot_id"], "snapshot_id")
-    sinks.append_rows(row(("a", "s2", 0.3)), path, ["match_id", "snapshot_id"], "snapshot_id")
-    for bad in (row(("a", "s2", 0.9)), row(("c", "s3", 0.1), ("c", "s3", 0.1))):
+    sinks.append_rows(row(("a", "s1", 0.1), ("b", "s1", 0.2)), path, ["match_id", "snapshot_id"])
+    sinks.append_rows(row(("a", "s2", 0.3)), path, ["match_id", "snapshot_id"])
+    for bad in (row(("a", "s2", 0.9)), row(("c", "s3", 0.1), ("c", "s3", 0.1)), row(("c", None, 0.1)), row(("c", "s3", 0.1)).drop("p")):
         with pytest.raises(sinks.ImmutableError):
-            sinks.append_rows(bad, path, ["match_id", "snapshot_id"], "snapshot_id")
-    assert spark.read.parquet(path).count() == 3
-    known = sinks.as_of_rows(spark.read.parquet(path), spark.createDataFrame([("a", 1)], "match_id string, outcome int"))
+            sinks.append_rows(bad, path, ["match_id", "snapshot_id"])
+    assert sinks.ledger(spark, path).count() == 3
+    known = sinks.as_of_rows(sinks.ledger(spark, path), spark.createDataFrame([("a", 1)], "match_id string, outcome int"))
     assert known.where("known_outcome = 1").count() == 2
 
 
