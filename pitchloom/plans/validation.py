@@ -93,7 +93,8 @@ def compare(games: DataFrame, h: Holdout, xi: float, kind: str = "trees", **opti
         return base.join(new, "match_id")
 
     weight = challenger.best_mix(both(late)).first()["weight"]
-    held = both(challenger.predict(matches.holdout(table, h.year, F.expr(h.predicate)), classifier))
+    own = matches.holdout(games, h.year, F.expr(h.predicate)).select("match_id")
+    held = both(challenger.predict(table.join(own, "match_id", "left_semi"), classifier))
     mixed = {"goal_model": 0.0, "challenger": 1.0, "ensemble": weight}
     variants = F.array(*[F.struct(F.lit(m).alias("model"), *[(w * F.col(f"q{c[1:]}") + (1 - w) * F.col(c)).alias(c) for c in scoring.P]) for m, w in mixed.items()])
     return held.select("match_id", "outcome", F.explode(variants).alias("v")).select(F.lit(h.name).alias("holdout"), "v.model", "match_id", "outcome", *[F.col(f"v.{c}").alias(c) for c in scoring.P])
