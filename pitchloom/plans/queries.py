@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchloom.functions import columns as C
-from pitchloom.operators import challenger, contracts, goals, identity, live, market, matches, ratings, rules, scoring
+from pitchloom.operators import challenger, contracts, goals, identity, intake, live, market, matches, ratings, rules, scoring
 from pitchloom.sources import digests, documents, lines, scans, sinks, work
 
 QUERIES: dict = {}
@@ -798,3 +798,147 @@ def materialization_audit(spark, sf_dir):
     raw = m.select(F.col("home_team_id").alias("home_team"), F.col("away_team_id").alias("away_team"), F.when(played, F.col("home_score")).alias("home_score"), F.when(played, F.col("away_score")).alias("away_score"))
     names = m.select(F.explode(F.array("home_team_id", "away_team_id")).alias("source_name")).where("source_name not like 'united%'").distinct()
     return live.audit(m.where(played).select(F.lit("view").alias("source"), F.lit("v1").alias("source_version")), raw, names, "view")
+
+
+@query(ALIASES + """, res AS (SELECT *, replace(home_team_id, '-', '_') AS h, replace(away_team_id, '-', '_') AS a, CASE WHEN k_factor = 20 AND home_score = 0 THEN NULL ELSE home_score END AS hs,
+  CASE WHEN (k_factor = 20 AND home_score = 0) OR (k_factor = 60 AND home_score = 1) THEN NULL ELSE away_score END AS aws FROM m),
+shot AS (SELECT date, h, a, count(*) AS n FROM (SELECT date, h, a FROM res WHERE outcome = 1 AND k_factor >= 50 UNION ALL SELECT date, h, a FROM res WHERE outcome = 1 AND k_factor = 60 AND neutral) GROUP BY 1, 2, 3),
+nm AS (SELECT name, date, count(*) AS n, min(team_id) AS t FROM (SELECT h AS name, date FROM res UNION SELECT a, date FROM res) JOIN al ON name = source_name AND date BETWEEN valid_from AND coalesce(valid_to, DATE '9999-12-31') GROUP BY 1, 2),
+j AS (SELECT r.*, coalesce(x.n, 0) AS nh, CASE WHEN x.n = 1 THEN x.t END AS th, coalesce(y.n, 0) AS na, CASE WHEN y.n = 1 THEN y.t END AS ta, s.n IS NOT NULL AS beyond
+  FROM res r LEFT JOIN nm x ON x.name = h AND x.date = r.date LEFT JOIN nm y ON y.name = a AND y.date = r.date LEFT JOIN shot s ON s.date = r.date AND s.h = r.h AND s.a = r.a AND s.n = 1 WHERE hs IS NOT NULL OR aws IS NOT NULL),
+v AS (SELECT *, CASE WHEN hs IS NULL OR aws IS NULL THEN 'one score' WHEN nh = 0 OR na = 0 THEN 'unknown name' WHEN nh > 1 OR na > 1 THEN 'ambiguous name' END AS verdict FROM j),
+o AS (SELECT *, row_number() OVER (PARTITION BY date, h, a, verdict IS NULL ORDER BY match_id) AS c FROM v)
+SELECT CASE WHEN verdict IS NULL THEN date || '-' || home_team_id || '-' || away_team_id || CASE WHEN c > 1 THEN '-' || c ELSE '' END END AS match_id, date, th AS home_team_id, ta AS away_team_id, h AS home_team_source_name, a AS away_team_source_name,
+  hs AS home_score, aws AS away_score, neutral, CASE WHEN beyond THEN th END AS shootout_winner_team_id, beyond AS result_after_extra_time, verdict, date || ' ' || h || ' ' || a AS place FROM o
+UNION ALL SELECT NULL, date, NULL, NULL, h, a, NULL, NULL, NULL, NULL, NULL, 'several shoot-outs', date || ' ' || h || ' ' || a FROM shot WHERE n > 1""")
+def match_records(spark, sf_dir):
+    """Results as a file has them, with names, some not played, some with one score, shoot-outs that are sent twice and names of several teams or none."""
+    m = scans.matches(spark, sf_dir)
+    name = lambda c: F.replace(c, F.lit("-"), F.lit("_"))
+    blank, half = (F.col("k_factor") == 20) & (F.col("home_score") == 0), (F.col("k_factor") == 60) & (F.col("home_score") == 1)
+    raw = m.select(
+        F.col("match_id").alias("line"), "date", name("home_team_id").alias("home_team"), name("away_team_id").alias("away_team"), F.when(~blank, F.col("home_score")).alias("home_score"),
+        F.when(~(blank | half), F.col("away_score")).alias("away_score"), F.lit("cup").alias("tournament"), F.lit("").alias("city"), F.lit("").alias("country"), "neutral",
+    )
+    shot = m.where("outcome = 1 and k_factor >= 50").select("date", name("home_team_id").alias("home_team"), name("away_team_id").alias("away_team"), name("home_team_id").alias("winner"), "k_factor", "neutral")
+    shot = shot.union(shot.where("k_factor = 60 and neutral"))
+    found = intake.match_records(raw, shot, _aliases(spark, sf_dir), "orders", "v1", ["line"])
+    return found.drop("tournament", "city", "country", "source", "source_version")
+
+
+@query(""", fx AS (SELECT CASE WHEN k_factor = 30 AND home_region = 3 THEN 'MX' ELSE match_id END AS id, CASE WHEN home_region = away_region THEN 'group' WHEN k_factor = 60 THEN 'friendly' ELSE 'final' END AS stage,
+  CASE WHEN home_region = away_region THEN chr(CAST(65 + home_region AS INTEGER)) END AS grp, CASE WHEN NOT (k_factor = 40 AND home_score = 0) THEN home_team_id || year(date) END AS hs, away_team_id || year(date) AS aws,
+  CASE WHEN NOT (k_factor = 50 AND home_score = 0) THEN home_team_id END AS h, away_team_id AS a, k_factor = 20 AND home_score = 2 AS local, home_region = 2 AND k_factor = 30 AS elsewhere FROM m),
+tm AS (SELECT lower(replace(n_name, '_', '-')) AS t, n_regionkey <> 3 AS part FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 'nobody', true),
+pl AS (SELECT t AS own, count(*) AS all_rows, count(*) FILTER (stage = 'group') AS n FROM (SELECT h AS t, stage FROM fx UNION ALL SELECT a, stage FROM fx) WHERE t IS NOT NULL GROUP BY 1),
+tp AS (SELECT *, coalesce(part, false) AS takes, coalesce(n, 0) AS games FROM pl FULL JOIN tm ON own = t),
+gr AS (SELECT coalesce(w, grp) AS g, w, coalesce(n, 0) AS n FROM (SELECT grp, count(*) AS n FROM fx WHERE stage = 'group' GROUP BY 1) FULL JOIN (SELECT unnest(['A', 'B', 'C', 'D', 'F']) AS w) ON grp = w)
+SELECT 'unsupported stage' AS rule, id AS subject, count(*) AS rows FROM fx WHERE stage = 'friendly' GROUP BY 2
+UNION ALL SELECT 'unsupported host country', id, count(*) FROM fx WHERE elsewhere GROUP BY 2
+UNION ALL SELECT 'kickoff is not UTC', id, count(*) FROM fx WHERE local GROUP BY 2
+UNION ALL SELECT 'group match without teams', id, count(*) FROM fx WHERE stage = 'group' AND h IS NULL GROUP BY 2
+UNION ALL SELECT 'knockout match without slots', id, count(*) FROM fx WHERE stage <> 'group' AND hs IS NULL GROUP BY 2
+UNION ALL SELECT 'repeated match_id', id, count(*) FROM fx GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'repeated pairing', least(hs, aws) || '::' || greatest(hs, aws), count(*) FROM fx WHERE hs IS NOT NULL GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'number of matches', 'fixture', count(*) FROM fx HAVING count(*) <> 104
+UNION ALL SELECT CASE WHEN w IS NULL THEN 'unsupported group' ELSE 'matches of a group' END, g, n FROM gr WHERE w IS NULL OR n <> 6
+UNION ALL SELECT 'unknown team', own, all_rows FROM tp WHERE t IS NULL
+UNION ALL SELECT 'participant without group matches', t, games FROM tp WHERE takes AND games = 0
+UNION ALL SELECT 'team of a group match is no participant', t, games FROM tp WHERE t IS NOT NULL AND NOT takes AND games > 0
+UNION ALL SELECT 'group appearances', t, games FROM tp WHERE takes AND games NOT IN (0, 3)""")
+def fixture_faults(spark, sf_dir):
+    """The match view as the fixture of a tournament that it is not, with planted faults of every kind."""
+    m = scans.matches(spark, sf_dir)
+    k, goals_, group = F.col("k_factor"), F.col("home_score"), F.col("home_region") == F.col("away_region")
+    fixture = m.select(
+        F.when((k == 30) & (F.col("home_region") == 3), "MX").otherwise(F.col("match_id")).alias("match_id"), F.when(group, "group").when(k == 60, "friendly").otherwise("final").alias("stage"),
+        F.when(group, F.char(65 + F.col("home_region"))).alias("group"), F.when(~((k == 40) & (goals_ == 0)), F.concat("home_team_id", F.year("date").cast("string"))).alias("home_slot"), F.concat("away_team_id", F.year("date").cast("string")).alias("away_slot"),
+        F.when(~((k == 50) & (goals_ == 0)), F.col("home_team_id")).alias("home_team_id"), "away_team_id", F.concat(F.col("date").cast("string"), F.lit("T18:00:00"), F.when((k == 20) & (goals_ == 2), "").otherwise("Z")).alias("kickoff_utc"),
+        F.when((F.col("home_region") == 2) & (k == 30), "BRA").otherwise("CAN").alias("host_country"),
+    )
+    teams = scans.parquet(spark, sf_dir, "nation").where("n_nationkey <> 7").select(F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")).alias("team_id"), (F.col("n_regionkey") != 3).alias("participates"))
+    teams = teams.union(spark.createDataFrame([("nobody", True)], "team_id string, participates boolean"))
+    return intake.fixture_faults(fixture, teams, intake.Structure(groups=("A", "B", "C", "D", "F")))
+
+
+@query(""", c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS code, c_acctbal AS bal, CASE WHEN c_custkey % 17 = 0 THEN 'shared-' || c_custkey // 34 ELSE c_name END AS name FROM customer),
+li AS (SELECT code, CAST(k AS INTEGER) AS rank, CASE WHEN k % 11 <> 0 THEN bal END AS rating FROM c WHERE k % 7 <> 0),
+nm AS (SELECT code, name FROM c WHERE k % 13 <> 0),
+al2 AS (SELECT CASE WHEN k % 29 = 0 THEN 'common-' || k // 58 ELSE name END AS source_name, code AS team_id FROM c WHERE k % 19 <> 0 UNION ALL SELECT name || ' II', code FROM c WHERE k % 23 = 0),
+mine AS (SELECT code AS team_id FROM c WHERE k % 5 <> 0),
+us AS (SELECT DISTINCT a.* FROM al2 a JOIN mine USING (team_id)),
+ta AS (SELECT team_id, count(*) AS n_aliases, min(source_name) AS source_name FROM us GROUP BY 1),
+na AS (SELECT source_name, count(*) AS n_teams FROM us GROUP BY 1),
+en AS (SELECT name, count(*) AS n_codes, min({'code': code, 'rank': rank, 'rating': rating}) AS e FROM li JOIN nm USING (code) GROUP BY 1)
+SELECT team_id, source_name, e.code AS code, e.rank AS rank, e.rating AS rating, CASE WHEN source_name IS NULL THEN 'no alias' WHEN n_aliases > 1 THEN 'several aliases' WHEN n_teams > 1 THEN 'alias of several teams' WHEN e IS NULL THEN 'no rating'
+  WHEN n_codes > 1 THEN 'name of several codes' WHEN e.rating IS NULL THEN 'rating is no number' END AS verdict, team_id AS place
+FROM mine LEFT JOIN ta USING (team_id) LEFT JOIN na USING (source_name) LEFT JOIN en ON source_name = name
+UNION ALL SELECT NULL, NULL, code, rank, rating, 'code without a name', code FROM li WHERE code NOT IN (SELECT code FROM nm)""")
+def rating_records(spark, sf_dir):
+    """Customers as teams: a list of codes, names of codes and aliases, each with gaps and repetitions."""
+    k = F.col("k")
+    c = scans.parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("code"), F.col("c_acctbal").alias("rating"), F.when(F.col("c_custkey") % 17 == 0, F.expr("'shared-' || (c_custkey div 34)")).otherwise(F.col("c_name")).alias("name"))
+    listed = c.where("k % 7 <> 0").select("code", k.cast("int").alias("rank"), F.when(k % 11 != 0, F.col("rating")).alias("rating"))
+    aliases = c.where("k % 19 <> 0").select(F.when(k % 29 == 0, F.expr("'common-' || (k div 58)")).otherwise(F.col("name")).alias("source_name"), F.col("code").alias("team_id"))
+    aliases = aliases.union(c.where("k % 23 = 0").select(F.concat("name", F.lit(" II")), "code"))
+    return intake.rating_records(listed, c.where("k % 13 <> 0").select("code", "name"), aliases, c.where("k % 5 <> 0").select(F.col("code").alias("team_id")))
+
+
+BENCHMARK = """, fx AS (SELECT match_id, CAST(date AS TIMESTAMP) + INTERVAL 18 HOUR AS kickoff, home_team_id AS h, away_team_id AS a, k_factor AS k FROM m),
+raw AS (SELECT match_id AS event_id, line, k, CASE WHEN k = 50 AND line = 2 THEN '1' ELSE CAST(line AS VARCHAR) END AS bookmaker, line % 2 = 0 AS turned, CASE WHEN k = 40 AND line = 3 THEN NULL WHEN line % 2 = 0 THEN a ELSE h END AS qh, CASE WHEN line % 2 = 0 THEN h ELSE a END AS qa,
+  kickoff + (k - 20) * INTERVAL 20 MINUTE AS commence, line * 5 > 24 AS late, CASE WHEN line = 3 THEN CASE WHEN k = 30 THEN 'M0' ELSE match_id END END AS declared, CASE WHEN k = 40 AND line = 4 THEN 1.0 ELSE price_home END AS x, price_draw AS y, price_away AS z FROM q JOIN fx USING (match_id)),
+ln AS (SELECT event_id, line, count(fx.match_id) AS n, min(fx.match_id) AS match_id, bool_and(fx.h <> qh) AS swapped FROM (SELECT DISTINCT event_id, line, qh, qa, commence FROM raw) LEFT JOIN fx ON least(qh, qa) = least(fx.h, fx.a) AND greatest(qh, qa) = greatest(fx.h, fx.a) AND qh IS NOT NULL AND abs(epoch_us(kickoff) - epoch_us(commence)) <= 43200000000 GROUP BY 1, 2),
+jn AS (SELECT event_id, bookmaker, qh, qa, declared, late, n, CASE WHEN n = 1 THEN match_id END AS match_id, n = 1 AND swapped AS sw, x, y, z FROM raw JOIN ln USING (event_id, line)),
+ori AS (SELECT *, CASE WHEN sw THEN qa ELSE qh END AS home_team_id, CASE WHEN sw THEN qh ELSE qa END AS away_team_id, CASE WHEN sw THEN z ELSE x END AS price_home, y AS price_draw, CASE WHEN sw THEN x ELSE z END AS price_away FROM jn),
+jud AS (SELECT *, CASE WHEN qh IS NULL THEN 'unknown team' WHEN n = 0 THEN 'no fixture' WHEN n > 1 THEN 'several fixtures' WHEN declared <> match_id THEN 'another match declared' WHEN late THEN 'stale' WHEN least(x, y, z) <= 1 THEN 'price not above 1' END AS v,
+  1 / price_home + 1 / price_draw + 1 / price_away AS s FROM ori),
+bm AS (SELECT event_id, match_id, bookmaker, home_team_id, away_team_id, price_home, price_draw, price_away, CASE WHEN least(x, y, z) > 1 THEN 1 / price_home / s END AS prob_home, CASE WHEN least(x, y, z) > 1 THEN 1 / price_draw / s END AS prob_draw,
+  CASE WHEN least(x, y, z) > 1 THEN 1 / price_away / s END AS prob_away, CASE WHEN least(x, y, z) > 1 THEN s - 1 END AS overround, coalesce(v, CASE WHEN count(*) FILTER (v IS NULL) OVER (PARTITION BY match_id, bookmaker) > 1 THEN 'repeated quote' END) AS verdict, event_id || '/' || bookmaker AS place FROM jud)
+"""
+
+
+@query(BENCHMARK + "SELECT * FROM bm")
+def benchmark_records(spark, sf_dir):
+    """Quotes of which every second one has the sides the other way round, some off in time, stale, unpriced, repeated or of another match."""
+    m = scans.matches(spark, sf_dir).select("match_id", (F.to_timestamp("date") + F.expr("interval 18 hours")).alias("kickoff"), "home_team_id", "away_team_id", "k_factor")
+    k, line, turned = F.col("k_factor"), F.col("line"), F.col("line") % 2 == 0
+    rows = scans.quotes(spark, sf_dir).drop("bookmaker").join(m, "match_id").select(
+        F.col("match_id").alias("event_id"), F.when((k == 50) & (line == 2), "1").otherwise(line.cast("string")).alias("bookmaker"),
+        F.when((k == 40) & (line == 3), None).when(turned, F.col("away_team_id")).otherwise(F.col("home_team_id")).alias("home_team_id"), F.when(turned, F.col("home_team_id")).otherwise(F.col("away_team_id")).alias("away_team_id"),
+        (F.col("kickoff") + F.make_dt_interval(mins=(k - 20) * 20)).alias("commence_time"), (F.lit("2000-01-01").cast("timestamp") - F.make_dt_interval(hours=line * 5)).alias("updated_at"),
+        F.when(line == 3, F.when(k == 30, "M0").otherwise(F.col("match_id"))).alias("declared_match_id"), F.when((k == 40) & (line == 4), 1.0).otherwise(F.col("price_home")).alias("price_home"), "price_draw", "price_away",
+    )
+    return intake.benchmark_records(rows, m.drop("k_factor"), F.lit("2000-01-01").cast("timestamp"))
+
+
+@query(BENCHMARK + """, md AS (SELECT match_id, median(prob_home) AS h, median(prob_draw) AS d, median(prob_away) AS a, avg(prob_home) AS prob_home_mean, avg(prob_draw) AS prob_draw_mean, avg(prob_away) AS prob_away_mean, count(DISTINCT bookmaker) AS n_bookmakers FROM bm WHERE verdict IS NULL GROUP BY 1)
+SELECT match_id, '2000-01-01T00:00:00Z' AS captured_at_utc, h / (h + d + a) AS prob_home, d / (h + d + a) AS prob_draw, a / (h + d + a) AS prob_away, prob_home_mean, prob_draw_mean, prob_away_mean, n_bookmakers FROM md""")
+def frozen_benchmark(spark, sf_dir):
+    """The consensus of the good quotes."""
+    good = benchmark_records(spark, sf_dir).where("verdict is null")
+    return intake.freeze(good, F.make_timestamp_ltz(*[F.lit(x) for x in (2000, 1, 1, 0, 0)], F.lit(0).cast("decimal(8,6)"), F.lit("UTC")))
+
+
+@query("""SELECT * FROM (SELECT 'results' AS "table", 'conduct' AS rule, count(*) FILTER (k_factor = 20) AS rows FROM m
+UNION ALL SELECT 'results', 'advanced team plays', count(*) FILTER (k_factor = 30) FROM m
+UNION ALL SELECT 'results', 'advanced team won', count(*) FILTER (home_score <> away_score AND (k_factor = 30 OR (k_factor = 40 AND home_score > away_score))) FROM m
+UNION ALL SELECT 'results', 'unique match_id', 2 * count(*) FILTER (k_factor = 50) FROM m
+UNION ALL SELECT 'upcoming', 'sum', count(*) FILTER (neutral) FROM preds UNION ALL SELECT 'upcoming', 'team_b is not null', count(*) FILTER (outcome = 2) FROM preds
+UNION ALL SELECT 'upcoming', 'shares', count(*) FILTER (season = 1995) FROM preds
+UNION ALL SELECT 'frozen_benchmark', 'captured is UTC', count(*) FILTER (season > 1996) FROM preds UNION ALL SELECT 'frozen_benchmark', 'n_bookmakers is not null', count(*) FILTER (outcome = 0) FROM preds
+UNION ALL SELECT 'ledger', 'outcome', count(*) FILTER (season = 1994) FROM preds UNION ALL SELECT 'ledger', 'model_version is not null', count(*) FILTER (neutral) + count(*) FILTER (neutral AND season = 1997) FROM preds
+UNION ALL SELECT 'ledger', 'unique match_id, snapshot_id', 2 * count(*) FILTER (season = 1997) FROM preds) WHERE rows > 0""")
+def publication_report(spark, sf_dir):
+    """The tables of a snapshot against their contracts, with planted faults."""
+    m = scans.matches(spark, sf_dir)
+    p, k, neutral, season = predictions(m), F.col("k_factor"), F.col("neutral"), F.col("season")
+    advanced = F.when(k == 30, "nobody").when(k == 40, F.col("away_team_id"))
+    results = m.select("match_id", F.col("home_team_id").alias("team_a"), F.col("away_team_id").alias("team_b"), F.col("home_score").alias("goals_a"), F.col("away_score").alias("goals_b"), F.when(k == 20, 1).otherwise(-1).alias("fair_play_a"), F.lit(None).alias("fair_play_b"), advanced.alias("advanced_team"))
+    results = results.union(results.join(m.where(k == 50).select("match_id"), "match_id", "left_semi"))
+    off = F.when(season == 1995, 2.0).otherwise(0.0)
+    upcoming = p.select("match_id", F.lit("a").alias("team_a"), F.when(F.col("outcome") != 2, "b").alias("team_b"), (F.col("p_home") + off).alias("prob_a"), (F.col("p_draw") - off).alias("prob_draw"), (F.col("p_away") + F.when(neutral, 0.01).otherwise(0.0)).alias("prob_b"))
+    means = [F.col(f"p_{s}").alias(f"prob_{s}{end}") for end in ("", "_mean") for s in ("home", "draw", "away")]
+    frozen = p.select("match_id", F.when(season > 1996, "2000-01-01").otherwise("2000-01-01T00:00:00Z").alias("captured_at_utc"), *means, F.when(F.col("outcome") != 0, 3).alias("n_bookmakers"))
+    ledger_ = p.select("match_id", season.cast("string").alias("snapshot_id"), F.when(~neutral, "v1").alias("model_version"), F.col("p_home").alias("prob_a"), F.col("p_draw").alias("prob_draw"), F.col("p_away").alias("prob_b"), F.when(season == 1994, 3).otherwise(F.col("outcome")).alias("outcome_idx"))
+    ledger_ = ledger_.union(ledger_.where("snapshot_id = '1997'"))
+    return contracts.publication_report({"results": results, "upcoming": upcoming, "frozen_benchmark": frozen, "ledger": ledger_}).where("rows > 0")

@@ -21,6 +21,14 @@ def csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     return df.select(*[F.expr(f"nullif(trim(`{c}`), '')").alias(c) for c in columns])
 
 
+def csv_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of CSV files with a header as strings, blanks null; further columns are left out, a missing one raises."""
+    df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    if missing := set(columns) - set(df.columns):
+        raise ValueError(f"{path}: missing columns {sorted(missing)}")
+    return df.select(*[F.expr(f"nullif(trim(`{c}`), '')").alias(c) for c in columns])
+
+
 def csv_results(spark: SparkSession, path: str) -> DataFrame:
     """Match results: date, teams, scores (null while unplayed), tournament, place, neutral."""
     columns = ["date", "home_team", "away_team", "home_score", "away_score", "tournament", "city", "country", "neutral"]
