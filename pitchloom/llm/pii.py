@@ -12,6 +12,7 @@ The expressions are written so that Java's matcher never backtracks over a run:
 look-behind that lets a match start only where a run starts (or where the last match ended). They match what the plain forms match.
 
 Null and empty texts have no spans. Repeated rows and null ids give one result row each; an empty table an empty one.
+Further columns of any name, dots and double underscores included, pass through ``detect`` and ``redact``.
 """
 
 from __future__ import annotations
@@ -128,11 +129,20 @@ def _spans(kind: Kind, text):
     return F.when(some, spans).otherwise(F.expr(empty))
 
 
+def _free(docs: DataFrame) -> str:
+    """A prefix that no column of docs begins with."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def detect(docs: DataFrame, name: str = "pii") -> DataFrame:
     """docs with the column ``name``: array of struct(start, order, kind, end, score), sorted by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("*", *[_spans(k, text).alias(f"__{k.name}") for k in KINDS])
-    spans = F.concat(*[F.col(f"__{k.name}") for k in KINDS])
+    free = _free(docs)
+    found = docs.select("*", *[_spans(k, text).alias(f"{free}{k.name}") for k in KINDS])
+    spans = F.concat(*[F.col(f"{free}{k.name}") for k in KINDS])
 
     def scored(s):
         before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
@@ -144,7 +154,7 @@ def detect(docs: DataFrame, name: str = "pii") -> DataFrame:
 
     base = F.array(*[F.lit(k.name) for k in KINDS if k.base])
     kept = F.filter(F.transform(F.array_sort(spans), scored), lambda s: F.array_contains(base, s["kind"]) | (s["score"] >= THRESHOLD))
-    return found.withColumn(name, F.when(F.size(spans) > 0, kept).otherwise(F.transform(spans, scored))).drop(*[f"__{k.name}" for k in KINDS])
+    return found.withColumn(name, F.when(F.size(spans) > 0, kept).otherwise(F.transform(spans, scored))).drop(*[f"{free}{k.name}" for k in KINDS])
 
 
 def _listed(spans):
@@ -165,7 +175,8 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; where spans overlap, the first one's name covers them all."""
-    found = detect(docs, "__pii")
+    name = f"{_free(docs)}pii"
+    found = detect(docs, name)
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
@@ -174,5 +185,5 @@ def redact(docs: DataFrame) -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    masked = F.aggregate("__pii", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
-    return found.withColumn("text", F.when(F.size("__pii") > 0, masked).otherwise(F.col("text"))).select(*docs.columns)
+    masked = F.aggregate(name, zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    return found.withColumn("text", F.when(F.size(name) > 0, masked).otherwise(F.col("text"))).drop(name)

@@ -12,8 +12,9 @@ version line, that starts a valid record, goes on there, and logs the byte gap i
 touches. Records of any type are read; page_id is null for those of other writers. A revisit has no payload and tells its size and
 digest as stated, if they are. A record of more than RECORD_BYTES counts as damaged, as it cannot be a row.
 
-Null html is the empty payload, a null url is about:blank, control characters of urls are percent-encoded. Pages with a
-null page_id are responses. Rows that repeat the smallest page_id of their payload are all
+Null html is the empty payload, a null url is about:blank, control characters of urls are percent-encoded. A page_id of any type is
+written as its text, percent-encoded, so that any text comes back as it was; a null one is told from an empty one. Pages with a
+null page_id are responses. ``archived`` raises on a gap in what it wrote itself, and a record of more than RECORD_BYTES is refused at writing. Rows that repeat the smallest page_id of their payload are all
 responses. An empty table gives no files and an empty result; further columns are ignored.
 """
 
@@ -25,6 +26,7 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -58,15 +60,18 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
     """One WARC record; a revisit if refers_to is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
+    if len(block) > RECORD_BYTES:
+        raise ValueError(f"page {page_id}: a record of {len(block)} bytes, {RECORD_BYTES} are readable")
+    name = f"urn:x-unnamed-page:{digest}" if page_id is None else f"urn:x-page:{quote(str(page_id), safe='')}"
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{name}>",
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        *([f"WARC-Refers-To: <urn:x-page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []),
+        *([f"WARC-Refers-To: <urn:x-page:{quote(str(refers_to), safe='')}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -117,7 +122,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["file", "bytes"])
 
-    return materialize(marked(pages).mapInArrow(run, "file string, bytes long"), "archives")
+    texts = marked(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return materialize(texts.mapInArrow(run, "file string, bytes long"), "archives")
 
 
 def digest_matches(stated: str | None, data: bytes) -> bool | None:
@@ -189,7 +195,11 @@ def parse(window: Window, room: int | None = None) -> tuple[dict, bool]:
             checked = found if checked is not False else False
     if checked is False:
         raise ValueError("digest differs")
-    own = lambda x: (re.fullmatch(r"<urn:x-page:(.+)>", x or "") or [None, None])[1]
+
+    def own(x):
+        found = re.fullmatch(r"<urn:x-page:(.*)>", x or "")
+        return unquote(found[1]) if found else None
+
     name = stated.partition(":")[2] if payload is None and stated and stated.lower().startswith("sha256:") else hashlib.sha256(payload).hexdigest() if payload is not None else None
     row = {"record_type": kind, "page_id": own(fields.get("warc-record-id")), "refers_to": own(fields.get("warc-refers-to")), "url": fields.get("warc-target-uri")}
     return row | {"payload_bytes": size if payload is None else len(payload), "payload_digest": name, "payload": payload, "size": end + n + 8}, bool(checked)
@@ -329,5 +339,7 @@ def read(spark: SparkSession, files: DataFrame, payloads: bool = True) -> DataFr
 def archived(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages to archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to of each record."""
     kind = pages.schema["page_id"].dataType
-    records = read(pages.sparkSession, write(pages, folder), payloads=False).where("fault is null")
+    records = read(pages.sparkSession, write(pages, folder), payloads=False)
+    lost = F.raise_error(F.format_string("%s: %d bytes from %d on do not read back: %s", "file", "length", "offset", "fault")).cast("boolean")
+    records = records.where(F.when(F.col("fault").isNull(), True).otherwise(lost))
     return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import collections
+import datetime
 import hashlib
 import itertools
 
@@ -255,6 +256,35 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, broadcast):
     assert warc.archived(df.limit(0), f"file://{tmp_path}/b").count() == 0
 
 
+def test_warc_ids_of_any_text(spark, tmp_path):
+    ids = ["a\r\nb", "", None, "a b%20>", "<urn:x-page:é>", "ü"]
+    df = spark.createDataFrame([(i, "u", "z" * 200) for i in ids], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived(df, f"file://{tmp_path}/a").collect()}
+    assert got == {i: ("revisit", "") if i else ("response", None) for i in ids}
+    days = spark.sql("select date'2020-01-02' as page_id, 'u' as url, 'x' as html")
+    assert warc.archived(days, f"file://{tmp_path}/b").first().page_id == datetime.date(2020, 1, 2)
+
+
+def test_warc_tells_what_does_not_read_back(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"{i}" * 300) for i in range(4)], "page_id long, url string, html string")
+    written = warc.write
+
+    def damaged(pages, folder):
+        files = written(pages, folder)
+        path = files.first().file.removeprefix("file://")
+        with open(path, "r+b") as f:
+            f.seek(30)
+            f.write(b"\0" * 8)
+        return files
+
+    monkeypatch.setattr(warc, "write", damaged)
+    with pytest.raises(Exception, match="do not read back"):
+        warc.archived(df, f"file://{tmp_path}/a").count()
+    monkeypatch.setattr(warc, "RECORD_BYTES", 100)
+    with pytest.raises(ValueError, match="readable"):
+        warc.record(1, "u", b"x" * 100, "d")
+
+
 def salvaged(data):
     import io
 
@@ -729,6 +759,14 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "to [email], [phone]!", 2: None, 3: "clean"}
 
 
+def test_redaction_beside_columns_of_any_name(spark):
+    names = ["doc_id", "text", "__email", "__pii", "___card", "a.b", "n_chars"]
+    docs = spark.createDataFrame([(1, "to a@b.cd", "e", 1, 2, 3, 4)], "doc_id long, text string, __email string, __pii int, ___card int, `a.b` int, n_chars long")
+    out = pii.redact(docs)
+    assert out.columns == names and tuple(out.first()) == (1, "to [email]", "e", 1, 2, 3, 4)
+    assert pii.pii_digest(docs).first().n_email == 1
+
+
 # --- the registry
 
 
