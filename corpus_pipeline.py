@@ -36,8 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     found = again.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__hash"))
     repeated = kept.join(found, kept["doc_id"].eqNullSafe(found["__id"]) & (text_key() == found["__hash"]), "left_semi")
-    ordered = F.struct(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
-    one = repeated.groupBy("doc_id", text_key().alias("__key")).agg(F.min_by(F.struct(*docs.columns), ordered).alias("row")).select("row.*")
+    named = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}  # a name may hold dots
+    ordered = F.struct(*[named[c] for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    one = repeated.groupBy("doc_id", text_key().alias("__key")).agg(F.min_by(F.struct(*named.values()), ordered).alias("row")).select("row.*")
     return without_rows(kept, again).unionByName(one)
 
 
