@@ -48,3 +48,11 @@ def test_stages_equal_brute_force(spark, tmp_path, monkeypatch):
         sha = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
         want[i] = ("en", "s", len(ids), *sha)
     assert got == want
+
+
+def test_repeated_rows_beside_columns_with_dots(spark, tmp_path):
+    rows = [(1, "one text of five words", 2), (1, "one text of five words", 1), (2, "one text of five words", 0), (3, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "one text of five words", 1), (3, None, 5)]
