@@ -252,6 +252,26 @@ def test_model_document(spark, tmp_path):
             goals.GoalModel.from_document(model.document() | wrong)
 
 
+def test_score_matrix_is_made_after_the_joins(spark, sf_dir):
+    """Cells are plain products of two arrays: nothing of them goes into a filter below a join, and no function runs over an array of cells."""
+    from pitchloom.plans import queries
+
+    plan = queries.score_matrix(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "size(" not in plan
+
+
+def test_score_matrix_cells(spark):
+    from math import exp, factorial
+
+    df = spark.createDataFrame([("a", 1.3, 0.7, -0.1), ("b", 0.2, 2.5, 0.05), ("c", None, 1.0, 0.0)], "match_id string, rate_home double, rate_away double, r double")
+    got = {(r["match_id"], r["home_goals"], r["away_goals"]): r["p"] for r in goals.score_matrix(df, F.col("r")).collect()}
+    assert len(got) == 3 * 121 and all(got["c", i, j] is None for i in range(11) for j in range(11))
+    for name, x, y, rho in (("a", 1.3, 0.7, -0.1), ("b", 0.2, 2.5, 0.05)):
+        low = {(0, 0): 1 - x * y * rho, (0, 1): 1 + x * rho, (1, 0): 1 + y * rho, (1, 1): 1 - rho}
+        cells = {(i, j): exp(-x) * x**i / factorial(i) * exp(-y) * y**j / factorial(j) * low.get((i, j), 1.0) for i in range(11) for j in range(11)}
+        assert all(got[name, i, j] == pytest.approx(p / sum(cells.values()), rel=1e-12) for (i, j), p in cells.items())
+
+
 def test_score_matrix_sums_to_one(spark):
     df = spark.createDataFrame([("x", 1.3, 0.9)], "match_id string, rate_home double, rate_away double")
     assert goals.score_matrix(df, -0.1).agg(F.sum("p"), F.count("*")).first() == (pytest.approx(1), 121)
