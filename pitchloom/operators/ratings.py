@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pitchloom.functions.columns import HOME_BONUS, SPREAD, START_RATING
 from pitchloom.operators.matches import as_of
@@ -28,6 +29,8 @@ BLOCK_ROWS = 25_000
 #: A start that moved by no more than this has not moved.
 SAME = 1e-11
 STATES = "block int, pool string, team_id string, began double, rating double"
+#: What a rating takes of a match.
+PLAYED = ("pool", "home_team_id", "away_team_id", "home_score", "away_score", "k_factor", "neutral", "after_extra_time")
 HISTORY = "pool string, match_id string, date date, team_id string, opponent_id string, rating_pre double, rating_post double, k_factor int"
 
 
@@ -43,9 +46,8 @@ def change(elo_home: float, elo_away: float, home: int, away: int, k: int, neutr
 
 def play(rows: pa.Table, now: dict[tuple, float]) -> tuple[list[float], list[float], list[float]]:
     """Ratings of both sides before each match of a block, in order, and the gain; now, the ratings by (pool, team), follows."""
-    columns = ("pool", "home_team_id", "away_team_id", "home_score", "away_score", "k_factor", "neutral", "after_extra_time")
     homes, aways, gains = [], [], []
-    for pool, home, away, scored, conceded, k, neutral, drawn in zip(*(rows[c].to_pylist() for c in columns), strict=True):
+    for pool, home, away, scored, conceded, k, neutral, drawn in zip(*(rows[c].to_pylist() for c in PLAYED), strict=True):
         a, b = now.get((pool, home), START_RATING), now.get((pool, away), START_RATING)
         gain = change(a, b, scored, conceded, k, neutral, bool(drawn))
         now[pool, home], now[pool, away] = a + gain, b - gain
@@ -86,6 +88,7 @@ def _tell(rows: pa.Table, states: pa.Table) -> pa.Table:
 def relaxed(blocks: DataFrame) -> DataFrame:
     """block, pool, team_id and ``began``, the rating that the team brings into the block, for all blocks in which it plays."""
     spark = blocks.sparkSession
+    blocks = blocks.select("block", "place", *PLAYED)  # a turn takes no more
     starts, states, running = spark.createDataFrame([], STATES), None, blocks
     before = F.lag("rating").over(Window.partitionBy("pool", "team_id").orderBy("block"))
     while True:
@@ -102,28 +105,59 @@ def relaxed(blocks: DataFrame) -> DataFrame:
         starts = starts.join(moved, "block", "left_semi")
 
 
-def history(matches: DataFrame, pool: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Two rows per match with the ratings before and after it, in order of (date, match_id) from START_RATING on."""
+def _blocked(matches: DataFrame, pool: str | None, block_rows: int, own: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Blocks of matches with PLAYED, place and their own columns ``own`` as ``row``, and the ratings that teams bring into each block."""
     key = F.col(pool).cast("string") if pool else F.lit("all")
-    columns = ["pool", "match_id", "date", "home_team_id", "away_team_id", "home_score", "away_score", F.col("k_factor").cast("int"), "neutral", "after_extra_time"]
-    rows = written(matches.withColumn("pool", key).select(*columns), "rated")
+    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.lit(None).cast("int")
+    columns = [F.col(c) for c in ("home_team_id", "away_team_id", "home_score", "away_score")] + [F.col("k_factor").cast("int").alias("k_factor"), F.col("neutral"), F.col("after_extra_time")]
+    rows = written(matches.select(key.alias("pool"), "match_id", "date", *columns, row.alias("row")), "rated")
     parts = -(-rows.count() // block_rows)
     if parts <= 1:
         blocks = rows.withColumns({"block": F.lit(0), "place": F.struct("pool", "date", "match_id")})
         blocks = blocks.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("place")))  # one block
-        starts = rows.sparkSession.createDataFrame([], STATES)
-    else:
-        order = ["pool", "date", "match_id"]
-        dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        blocks = written(dealt.withColumns({"block": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "blocks")
-        starts = relaxed(blocks)
-    return blocks.groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(_tell, HISTORY)
+        return blocks, rows.sparkSession.createDataFrame([], STATES)
+    order = ["pool", "date", "match_id"]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = written(dealt.withColumns({"block": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "blocks")
+    return blocks, relaxed(blocks)
+
+
+def history(matches: DataFrame, pool: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Two rows per match with the ratings before and after it, in order of (date, match_id) from START_RATING on."""
+    blocks, starts = _blocked(matches, pool, block_rows, [])
+    return blocks.drop("row").groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(_tell, HISTORY)
+
+
+def rated(matches: DataFrame, pool: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``with_ratings`` of matches and their own history, without a join: a block gives back its matches, each with what both sides had before it."""
+    blocks, starts = _blocked(matches, pool, block_rows, matches.columns)
+    names = ("home_rating", "away_rating")
+
+    def tell(rows: pa.Table, states: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        homes, aways, _ = play(rows, _begin(states))
+        return pa.table([rows["row"], pa.array(homes, pa.float64()), pa.array(aways, pa.float64())], names=["row", *names])
+
+    schema = StructType([blocks.schema["row"], *[StructField(n, DoubleType()) for n in names]])
+    found = blocks.select("block", "place", *PLAYED, "row").groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(tell, schema)
+    return _with_difference(found.select("row.*", *names))
+
+
+def latest(matches: DataFrame, pool: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """pool, team_id and rating after its last match of every team, from what the blocks leave: no row for each match."""
+    blocks, starts = _blocked(matches, pool, block_rows, [])
+    left = blocks.select("block", "place", *PLAYED).groupBy("block").cogroup(starts.select("block", "pool", "team_id", "began", "rating").groupBy("block")).applyInArrow(_leave, STATES)
+    return left.groupBy("pool", "team_id").agg(F.max_by("rating", "block").alias("rating"))
 
 
 def leaderboard(rated: DataFrame) -> DataFrame:
     """Last rating of each team and its dense rank; the rank runs over one row per team."""
-    last = rated.groupBy("team_id").agg(F.max_by("rating_post", F.struct("date", "match_id")).alias("rating"))
-    return last.withColumn("rank", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rating"))))
+    return ranked(rated.groupBy("team_id").agg(F.max_by("rating_post", F.struct("date", "match_id")).alias("rating")))
+
+
+def ranked(last: DataFrame) -> DataFrame:
+    """team_id and rating, one row per team, with its dense rank."""
+    return last.select("team_id", "rating").withColumn("rank", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rating"))))
 
 
 def before(rated: DataFrame, days: DataFrame, day: str) -> DataFrame:
@@ -149,4 +183,8 @@ def with_ratings(matches: DataFrame, rated: DataFrame) -> DataFrame:
     """Matches with both pre-match ratings and their difference (home bonus unless neutral); nulls where a rating is missing."""
     side = lambda p: rated.select("match_id", F.col("team_id").alias(f"{p}_team_id"), F.col("rating_pre").alias(f"{p}_rating"))
     joined = matches.join(side("home"), ["match_id", "home_team_id"], "left").join(side("away"), ["match_id", "away_team_id"], "left")
-    return joined.withColumn("rating_difference", F.col("home_rating") + F.when(F.col("neutral"), 0.0).otherwise(HOME_BONUS) - F.col("away_rating"))
+    return _with_difference(joined)
+
+
+def _with_difference(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rating_difference", F.col("home_rating") + F.when(F.col("neutral"), 0.0).otherwise(HOME_BONUS) - F.col("away_rating"))

@@ -252,6 +252,25 @@ def test_model_document(spark, tmp_path):
             goals.GoalModel.from_document(model.document() | wrong)
 
 
+def test_rated_and_latest_equal_the_history(spark, sf_dir):
+    """Matches with their ratings keep all their columns and equal the join with the history; what the last blocks leave is the leaderboard."""
+    from pitchloom.sources import scans
+
+    m = scans.matches(spark, sf_dir).localCheckpoint()
+    for pool, block in ((None, 25_000), ("home_region", 700)):
+        rated = ratings.history(m, pool, block).localCheckpoint()
+        wanted = ratings.with_ratings(m, rated).select(*m.columns, "home_rating", "away_rating", "rating_difference")
+        got = ratings.rated(m, pool, block)
+        assert got.dtypes == wanted.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+        if pool is None:
+            board = {tuple(r) for r in ratings.leaderboard(rated).select("team_id", "rating", "rank").collect()}
+            assert {tuple(r) for r in ratings.ranked(ratings.latest(m, pool, block)).collect()} == board
+    assert ratings.rated(m.limit(0)).count() == 0 and ratings.latest(m.limit(0)).count() == 0
+    joins = ratings.rated(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in joins
+
+
 def test_score_matrix_is_made_after_the_joins(spark, sf_dir):
     """Cells are plain products of two arrays: nothing of them goes into a filter below a join, and no function runs over an array of cells."""
     from pitchloom.plans import queries
