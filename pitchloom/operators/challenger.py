@@ -39,22 +39,30 @@ METHODS = ("none", "sigmoid", "isotonic")
 def features(matches: DataFrame, history: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Every match with its features, eligibility and numbers of prior matches; nothing of the match itself or later enters.
 
-    forecasts: match_id, rate_home, rate_away, p_home, p_draw, p_away of the goal model. The two sides of a match are brought
-    together by one aggregation. Features that cannot be known (rest before a first match) are null.
+    forecasts: match_id, rate_home, rate_away, p_home, p_draw, p_away of the goal model. Features that cannot be known (rest before a first match) are null.
     """
-    form = rolling_form(perspectives(matches))
-    values = F.struct("form_points", "form_scored", "form_conceded", "form_difference", "n_prior", "eligible", "rest_days")
-    sides = form.groupBy("match_id").agg(F.max_by(values, "is_home").alias("h"), F.min_by(values, "is_home").alias("a"))
     goal_model = forecasts.select("match_id", "rate_home", "rate_away", *P)
-    joined = ratings.with_ratings(matches, history).join(sides, "match_id").join(goal_model, "match_id", "left")
+    return features_of(matches, ratings.with_ratings(matches, history).join(goal_model, "match_id", "left"))
+
+
+def features_of(matches: DataFrame, known: DataFrame) -> DataFrame:
+    """``features`` where known already has matches with rating_difference and the goal model's columns.
+
+    The two sides of a match meet in one hash aggregation of plain numbers, of which each has one value.
+    """
+    form = rolling_form(perspectives(matches))
+    values = ("form_points", "form_scored", "form_conceded", "form_difference", "n_prior", "eligible", "rest_days")
+    own = [F.max(F.when(F.col("is_home") == at, F.col(c))).alias(f"{s}_{c}") for s, at in (("h", True), ("a", False)) for c in values]
+    sides = form.groupBy("match_id").agg(*own)
+    joined = known.join(sides, "match_id")
 
     def gap(c):
-        return F.col(f"h.{c}") - F.col(f"a.{c}")
+        return F.col(f"h_{c}") - F.col(f"a_{c}")
 
     columns = (F.col("rating_difference"), F.when(F.col("neutral"), 0.0).otherwise(1.0), gap("rest_days").cast("double"), gap("form_points"), gap("form_difference"), gap("form_scored"), gap("form_conceded"), *map(F.col, ("rate_home", "rate_away", *P)))
     return joined.select(
         "match_id", "date", "outcome",
-        F.col("h.n_prior").alias("n_prior_home"), F.col("a.n_prior").alias("n_prior_away"), (F.col("h.eligible") & F.col("a.eligible")).alias("eligible"),
+        F.col("h_n_prior").alias("n_prior_home"), F.col("a_n_prior").alias("n_prior_away"), (F.col("h_eligible") & F.col("a_eligible")).alias("eligible"),
         *[c.alias(n) for c, n in zip(columns, FEATURES, strict=True)],
     )
 

@@ -35,9 +35,10 @@ def _goal_model(games: DataFrame, h: Holdout, xi: float):
 
 
 def forecasts(games: DataFrame, holdouts: list[Holdout], xi: float, rated: DataFrame | None = None) -> DataFrame:
-    """holdout, model (goal_model, rating, uniform), match_id, outcome and P of every holdout match."""
-    rated = ratings.history(games) if rated is None else rated
-    gaps = ratings.with_ratings(games, rated).withColumn("dr", F.col("rating_difference"))
+    """holdout, model (goal_model, rating, uniform), match_id, outcome and P of every holdout match. rated: ``ratings.history`` of the games, if known."""
+    games = written(games, "games")
+    gaps = ratings.rated(games) if rated is None else ratings.with_ratings(games, rated)
+    gaps = written(gaps.withColumn("dr", F.col("rating_difference")), "gaps")
     models = goals.fit_all(games, sorted({h.cutoff for h in holdouts}), [xi])
     parts = []
     for h in holdouts:
@@ -77,9 +78,10 @@ def compare(games: DataFrame, h: Holdout, xi: float, kind: str = "trees", **opti
     The training rows before the cutoff are split by time: the classifier learns on the earlier part; the calibration is chosen on
     the halves of the later quarter and the weight of the mix on all of it. The same classifier then meets the holdout.
     """
+    games = written(games, "games")
     model = _goal_model(games, h, xi)
-    structural = goals.with_outcomes(goals.rates(games, model), model.rho)
-    table = written(challenger.features(games, ratings.history(games), structural).where("eligible and lambda_home_dc is not null"), "features")
+    known_sides = goals.with_outcomes(goals.rates(ratings.rated(games), model), model.rho)
+    table = written(challenger.features_of(games, known_sides).where("eligible and lambda_home_dc is not null"), "features")
     known = table.where(F.col("date") < F.lit(h.cutoff).cast("date"))
     split = written(matches.latest_fraction(known, 0.25, ["date", "match_id"]), "split")
     classifier = challenger.fit(split.where("not recent"), kind, **options)
@@ -88,9 +90,8 @@ def compare(games: DataFrame, h: Holdout, xi: float, kind: str = "trees", **opti
     calibrator = challenger.best_calibration(late.where(even), late.where(~even))
 
     def both(rows):
-        base = rows.select("match_id", "outcome", F.col("p_home_win_dc").alias("p_home"), F.col("p_draw_dc").alias("p_draw"), F.col("p_away_win_dc").alias("p_away"))
-        new = challenger.calibrated(rows, calibrator).select("match_id", *[F.col(c).alias(f"q{c[1:]}") for c in scoring.P])
-        return base.join(new, "match_id")
+        base = [F.col(c).alias(n) for c, n in zip(("p_home_win_dc", "p_draw_dc", "p_away_win_dc"), scoring.P, strict=True)]
+        return challenger.calibrated(rows, calibrator).select("match_id", "outcome", *base, *[F.col(c).alias(f"q{c[1:]}") for c in scoring.P])
 
     weight = challenger.best_mix(both(late)).first()["weight"]
     own = matches.holdout(games, h.year, F.expr(h.predicate)).select("match_id")
