@@ -177,6 +177,10 @@ def named_quotes(records: DataFrame, aliases: DataFrame, source: str) -> DataFra
     return rows.drop("source", "date", "__n_home_team", "__n_away_team")
 
 
+#: Rows with a verdict are dealt under so many numbers.
+SPREAD = 1_000
+
+
 def benchmark_records(quotes: DataFrame, fixture: DataFrame, captured_at: Column, hours: float = 12, fresh_hours: float = 24) -> DataFrame:
     """Quotes in the orientation of their fixture, without the bookmaker's margin: the columns of ``contracts.ODDS``; verdict, place.
 
@@ -199,7 +203,11 @@ def benchmark_records(quotes: DataFrame, fixture: DataFrame, captured_at: Column
     )
     rows = rows.withColumn("verdict", verdict)
     repeats = rows.where("verdict is null").groupBy(F.col("match_id").alias("__match"), F.col("bookmaker").alias("__book")).agg(F.count("*").alias("__n")).where("__n > 1")
-    rows = rows.join(repeats, (F.col("match_id") == F.col("__match")) & F.col("bookmaker").eqNullSafe(F.col("__book")), "left")
+    # Rows with a verdict meet nothing: a hash deals them to all tasks, where their null match would gather them by bookmaker.
+    spread = F.when(F.col("verdict").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("event_id", "bookmaker", "commence_time", "price_home", "price_draw", "price_away"), F.lit(SPREAD))).cast("int")
+    rows = rows.withColumn("__spread", spread)
+    same = (F.col("match_id") == F.col("__match")) & F.col("bookmaker").eqNullSafe(F.col("__book")) & (F.col("__spread") == F.col("__good"))
+    rows = rows.join(repeats.withColumn("__good", F.lit(0)), same, "left")
     found = F.coalesce("verdict", F.when(F.col("__n").isNotNull(), F.lit("repeated quote")))
     return rows.select(*contracts.ODDS.columns, found.alias("verdict"), F.concat_ws("/", "event_id", F.col("bookmaker").cast("string")).alias("place"))
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from pitchloom.operators import contracts, intake, live, ratings
+from pitchloom.operators import contracts, intake, live, market, ratings
 from pitchloom.plans import world
 from pitchloom.sources import documents, sinks
 
@@ -201,3 +201,29 @@ def test_publication(spark, tmp_path):
     with pytest.raises(contracts.ContractError, match="outcome"):
         intake.publish(spark, tables, f"file://{tmp_path}", "two", {}, (entries, f"file://{tmp_path}/ledger", ["match_id", "snapshot_id"]))
     assert not sinks.exists(spark, f"file://{tmp_path}/two") and not sinks.exists(spark, f"file://{tmp_path}/ledger")
+
+
+def test_fixtures_of_one_kickoff_are_one_entry(spark):
+    """Many fixtures of a pair at one instant count one by one, and a quote meets one entry for all of them."""
+    fixture = spark.sql("select concat('m', id) match_id, timestamp'2026-06-11 18:00:00' kickoff, 'a' home_team_id, 'b' away_team_id from range(500) union all select 'single', timestamp'2026-06-20 18:00:00', 'b', 'a'")
+    quotes = spark.sql("select 'e1' event_id, 'a' home_team_id, 'b' away_team_id, timestamp'2026-06-11 20:00:00' commence_time union all select 'e2', 'a', 'b', timestamp'2026-06-20 20:00:00' union all select 'e3', 'a', 'b', timestamp'2026-07-20 20:00:00'")
+    found = market.linked(quotes, fixture, ["event_id"])
+    got = {r["event_id"]: (r["n_fixtures"], r["match_id"], r["swapped"]) for r in found.collect()}
+    assert got == {"e1": (500, None, None), "e2": (1, "single", True), "e3": (0, None, None)}
+    assert "count(1)" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_with_a_verdict_are_dealt(spark):
+    """Quotes without a match don't meet the repeats under one key for each bookmaker."""
+    fixture = spark.sql("select 'm' match_id, timestamp'2026-06-11 18:00:00' kickoff, 'a' home_team_id, 'b' away_team_id")
+    quotes = spark.sql("select concat('e', id) event_id, '1' bookmaker, 'x' home_team_id, 'y' away_team_id, timestamp'2026-06-11 18:00:00' commence_time, cast(null as timestamp) updated_at, cast(null as string) declared_match_id, 2.0D price_home, 3.0D price_draw, 4.0D price_away from range(400)")
+    key, before = "spark.sql.adaptive.enabled", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = intake.benchmark_records(quotes, fixture, F.lit("2026-06-11").cast("timestamp"))
+        held = [r["n"] for r in rows.withColumn("__task", F.spark_partition_id()).groupBy("__task").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset(key)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(held) == 400 and len(held) > 1 and max(held) < 200
