@@ -30,6 +30,26 @@ def test_hand_values(spark):
     assert one(spark, *C.implied(F.lit(2.0), F.lit(4.0), F.lit(0.9))) == (None, None, None)
 
 
+def test_margins_are_taken_off_once(spark, sf_dir):
+    """What makes the probabilities stands in no filter below the aggregation, and a share's sum is not guarded part by part."""
+    from pitchloom.plans import queries
+
+    plan = queries.market_consensus(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") :]
+    assert "Filter" not in below and below.count("1.0 / price_home") <= 12 and "isnan(price" not in below
+
+
+def test_consensus_leaves_out_quotes_without_a_price(spark):
+    from pitchloom.operators import market
+
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", 1, 2.0, 4.0, 4.0), ("a", 2, 4.0, 4.0, 2.0), ("a", 3, 2.0, 2.0, 0.0), ("a", 4, None, 2.0, 2.0), ("a", None, 2.0, 4.0, 4.0), ("a", 5, 2.0, nan, 3.0), ("b", 1, 2.0, inf, 2.0), ("c", 1, 0.0, 0.0, 0.0), ("d", 1, 3.0, 3.0, -1.0)]
+    got = market.consensus(market.demargined(spark.createDataFrame(rows, "match_id string, bookmaker int, price_home double, price_draw double, price_away double")), ["match_id"]).collect()
+    assert [r["match_id"] for r in got] == ["a"] and got[0]["n_bookmakers"] == 2
+    assert [got[0][f"prob_{n}"] for n in ("home", "draw", "away")] == pytest.approx([0.5, 0.25, 0.25])
+    assert [got[0][f"prob_{n}_mean"] for n in ("home", "draw", "away")] == pytest.approx([1.25 / 3, 0.25, 1 / 3])
+
+
 @given(st.floats(800, 2000), st.floats(800, 2000), st.integers(0, 9), st.integers(0, 9), st.booleans())
 def test_rating_change_is_bounded_and_signed(a, b, home, away, neutral):
     gain = ratings.change(a, b, home, away, 60, neutral, False)
