@@ -19,6 +19,7 @@ empty table gives an empty one; further columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import unicodedata
@@ -98,7 +99,7 @@ class Bpe:
         self.special_re = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.word_re = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.space_re = regex.compile(r"\s+")
-        self.letters = byte_letters()
+        self.letters = "".join(byte_letters()[b] for b in range(256))
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         end = self.suffix
         #: Tokens by their letters: those inside a word, and those at its end.
@@ -185,48 +186,82 @@ class Bpe:
                     return True
         return False
 
-    def _last(self, word: str, end: int, tokens: dict[str, int], reach: dict[str, int], last: list[tuple[int, int]]) -> tuple[int, int]:
-        """Last token of the prefix of length ``end`` and its length, given those of all shorter prefixes."""
-        fits = self.fits
-        for start in range(max(0, end - reach.get(word[max(0, end - 2) : end], 1)), end):
-            token = tokens.get(word[start:end])
-            if token is not None:
-                if not start:
-                    good = self._whole(token)
-                else:
-                    good = fits.get(last[start - 1][0] << 32 | token)
-                    if good is None:
-                        good = self._compatible(last[start - 1][0], token)
-                if good:
-                    return token, end - start
-        raise ValueError(f"no token ends the prefix {word[:end]!r}")
+    def _fits(self, left: int, token: int) -> bool:
+        good = self.fits.get(left << 32 | token)
+        return self._compatible(left, token) if good is None else good
+
+    def _last(self, word: str, end: int, last: list) -> tuple[int, int]:
+        """Last token of the inner prefix of length ``end`` and its length; those of shorter prefixes are made as they are asked for.
+
+        A prefix whose candidates wait for that of a shorter one stays on a stack, so depth does not depend on the word's length.
+        """
+        inner, reach, fits = self.inner.get, self.reach_inner.get, self._fits
+        start, waiting = None, []
+        while True:
+            if start is None:
+                start = end - reach(word[end - 2 if end > 1 else 0 : end], 1)
+                start = start if start > 0 else 0
+            found = None
+            while start < end:
+                token = inner(word[start:end])
+                if token is not None:
+                    if not start:
+                        if self._whole(token):
+                            break
+                    else:
+                        found = last[start]
+                        if found is None:
+                            waiting.append((end, start))
+                            break
+                        if fits(found[0], token):
+                            break
+                start += 1
+            else:
+                raise ValueError(f"no token ends the prefix {word[:end]!r}")
+            if start and found is None:
+                end, start = start, None
+                continue
+            last[end] = token, end - start
+            if not waiting:
+                return last[end]
+            end, start = waiting.pop()
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each distinct word (in byte letters), by one depth-first pass over their trie.
 
         In sorted order words come as the leaves of their trie do, depth first: the path of a word keeps the nodes that it shares
-        with the word before, and only the new ones are computed.
+        with the word before. Of the others those are computed that some candidate for a last token rests on; a word that is
+        a token which encodes as itself rests on none.
         """
         out: dict[str, list[int]] = {}
-        last: list[tuple[int, int]] = []  # of each inner prefix on the path
+        last: list[tuple[int, int] | None] = [None]  # of each inner prefix on the path, by its length, None where nothing asked for it
+        final, reach, fits = self.final.get, self.reach_final.get, self._fits
         before = ""
         for word in sorted(words):
-            shared, n = 0, len(word) - 1
-            for a, b in zip(word, before, strict=False):
-                if a != b:
-                    break
+            token = final(word)
+            if token is not None and self._whole(token):
+                out[word] = [token]
+                continue
+            n = len(word)
+            shared, most = 0, min(n, len(before)) - 1
+            while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[min(shared, n) :]
-            for end in range(len(last) + 1, n + 1):
-                last.append(self._last(word, end, self.inner, self.reach_inner, last))
-            step = self._last(word, n + 1, self.final, self.reach_final, last)
-            ids, at = [step[0]], n + 1 - step[1]
+            del last[shared + 1 :]
+            last += [None] * (n - 1 - shared)
+            before = word
+            start = max(0, n - reach(word[-2:], 1))
+            for start in range(start or 1, n):
+                token = final(word[start:])
+                if token is not None and fits((last[start] or self._last(word, start, last))[0], token):
+                    break
+            else:
+                raise ValueError(f"no token ends the word {word!r}")
+            ids, at = [token], start
             while at:
-                step = last[at - 1]
+                step = last[at] or self._last(word, at, last)
                 ids.append(step[0])
                 at -= step[1]
             out[word] = ids[::-1]
-            before = word
         return out
 
     def normalize(self, text: str) -> str:
@@ -241,15 +276,15 @@ class Bpe:
         return self.library.normalizer.normalize_str(text)
 
     def _lettered(self, word: str) -> str:
-        return "".join(map(self.letters.__getitem__, word.encode()))
+        return codecs.charmap_decode(word.encode(), "strict", self.letters)[0]
 
     def _cut(self, chunk: str) -> list[str]:
         """Words of a chunk in byte letters."""
-        if max(chunk) < LATIN:
+        if chunk.isascii():
             words = self.word_re.findall(chunk)
-            if len(words) == 1 and chunk.isascii() and chunk.isprintable() and len(words[0]) == len(chunk):
-                return [chunk]  # printable ASCII is its own byte letters
-            return [self._lettered(w) for w in words]
+            return words if chunk.isprintable() else [self._lettered(w) for w in words]  # printable ASCII is its own byte letters
+        if max(chunk) < LATIN:
+            return [self._lettered(w) for w in self.word_re.findall(chunk)]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def _learn(self, chunks: set[str]) -> None:

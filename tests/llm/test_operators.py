@@ -144,6 +144,24 @@ def test_bpe_memory_does_not_change_results(coder, library, monkeypatch):
     assert len(coder.chunks.young) + len(coder.chunks.old) <= 12
 
 
+def test_bpe_computes_only_the_prefixes_that_are_asked_for(coder, library, monkeypatch):
+    asked, last, letters = [], coder._last, []
+    monkeypatch.setattr(coder, "_last", lambda word, end, *rest: asked.append((word, end)) or last(word, end, *rest))
+    lettered = coder._lettered
+    monkeypatch.setattr(coder, "_lettered", lambda word: letters.append(word) or lettered(word))
+    coder.forget()
+    assert coder.encode_words(["the"]) == {"the": [coder.final["the"]]} and not asked  # a token of its own rests on no prefix
+    words = [*("thequx" * k + "zq" for k in (1, 2, 5)), "w" * 3_000, "ab" * 2_000 + "é", *(f"{a}{b}" for a in ("un", "pre", "x7") for b in ("happiness", "happinesses", "likely!", "zzkq"))]
+    for word in words:
+        asked.clear()
+        assert coder.encode(word)[0] == " ".join(map(str, library.encode(word, add_special_tokens=False).ids))
+        assert len(asked) < max(len(word), 2)
+    coder.forget()
+    letters.clear()
+    coder.encode("well, (indeed) it's 3.5%; no?")
+    assert not letters  # printable ASCII stands for itself
+
+
 def test_bpe_groups_cover_all_texts_in_order(monkeypatch):
     import pyarrow as pa
 
