@@ -23,7 +23,7 @@ import codecs
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -47,6 +47,12 @@ LATIN = "\u0250"
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+def joined(entries: Iterable[tuple[str, int, str]]) -> tuple[str, int, str]:
+    """One entry of those of the parts."""
+    ids, counts, texts = zip(*entries, strict=True) if (entries := list(entries)) else ((), (), ())
+    return " ".join(ids), sum(counts), " ".join(texts)
+
+
 def byte_letters() -> dict[int, str]:
     """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -101,6 +107,7 @@ class Bpe:
         self.space_re = regex.compile(r"\s+")
         self.letters = "".join(byte_letters()[b] for b in range(256))
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.decimal = {i: str(i) for i in self.text_of}
         end = self.suffix
         #: Tokens by their letters: those inside a word, and those at its end.
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(end) or t == end}
@@ -226,7 +233,7 @@ class Bpe:
                 return last[end]
             end, start = waiting.pop()
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word (in byte letters), by one depth-first pass over their trie.
 
         In sorted order words come as the leaves of their trie do, depth first: the path of a word keeps the nodes that it shares
@@ -289,11 +296,12 @@ class Bpe:
 
     def _learn(self, chunks: set[str]) -> None:
         cut = {c: self._cut(c) for c in chunks}
-        for w, ids in self.encode_words(list(self.words.missing({w for words in cut.values() for w in words}))).items():
-            self.words.add(w, (" ".join(map(str, ids)), len(ids), self.decode(ids)))
-        for c, words in cut.items():
-            found = [self.words.young[w] for w in words]
-            self.chunks.add(c, found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found])))
+        words, add = self.words, self.words.add
+        for w, ids in self.encode_words(words.missing(set().union(*cut.values()))).items():
+            add(w, (" ".join([self.decimal[i] for i in ids]), len(ids), self.decode(ids)))
+        learned, add = words.young, self.chunks.add
+        for c, parts in cut.items():
+            add(c, learned[parts[0]] if len(parts) == 1 else joined([learned[w] for w in parts]))
 
     def _split(self, text: str) -> list[str]:
         return [c for c in self.space_re.split(text) if c] if any(s in text for s in SEPARATORS) else text.split()
@@ -322,8 +330,7 @@ class Bpe:
         young = self.chunks.young
         out = []
         for parts in cut:
-            found = list(map(young.__getitem__, parts))
-            out.append((" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found])))
+            out.append(joined(map(young.__getitem__, parts)))
         return out
 
     def encode(self, text: str | None) -> tuple[str, int, str]:
