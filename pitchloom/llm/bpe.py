@@ -10,8 +10,8 @@ merge joins their facing edges, in whole or in part, before the merges that buil
 
 The vocabulary file is a parameter (a tokenizers JSON: NFC, white space to one space, lower case, a split pattern, bytes
 as letters, a suffix at the last letter of a word). Strings of special tokens in a text become
-their ids, as the tokenizers library does. What a worker remembers of the chunks and words it has met is bounded in bytes
-(``MEMORY_BYTES``), texts are taken in groups of about ``TEXT_BYTES``, and a task that ends forgets all but the vocabulary.
+their ids, as the tokenizers library does. What a worker remembers of the chunks between white space and their words is bounded in bytes
+(``MEMORY_BYTES``), an entry being no more than the ids; texts are taken in groups of about ``TEXT_BYTES``, and a task that ends forgets all but the vocabulary.
 
 Nulls and empty texts have no tokens and decode to the empty text. Rows with null or repeated ids give one result row each; an
 empty table gives an empty one; further columns are ignored.
@@ -20,11 +20,13 @@ empty table gives an empty one; further columns are ignored.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,10 +35,10 @@ from pyspark.sql import DataFrame
 from pitchloom.llm.common import bounded_batches, release
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes that remembered chunks take at most, and words as well, beside those of the texts at hand (results don't depend on it).
-MEMORY_BYTES = 24 << 20
-#: About what an entry takes beside its letters: a key, a tuple, two strings and their places in a dictionary.
-ENTRY_BYTES = 300
+#: Bytes that remembered chunks and words take at most, beside those of the texts at hand (results don't depend on it).
+MEMORY_BYTES = 40 << 20
+#: About what an entry takes beside its letters and ids: a key, a tuple and their places in a dictionary.
+ENTRY_BYTES = 180
 #: Letters of the texts that share one trie; a longer text is a group of its own.
 TEXT_BYTES = 1 << 20
 #: Pairs of tokens whose compatibility is remembered at most (about 80 bytes each).
@@ -47,12 +49,6 @@ LATIN = "\u0250"
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-def joined(entries: Iterable[tuple[str, int, str]]) -> tuple[str, int, str]:
-    """One entry of those of the parts."""
-    ids, counts, texts = zip(*entries, strict=True) if (entries := list(entries)) else ((), (), ())
-    return " ".join(ids), sum(counts), " ".join(texts)
-
-
 def byte_letters() -> dict[int, str]:
     """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,19 +67,22 @@ class Memory:
         self.old: dict = {}
         self.held = 0
 
-    def missing(self, keys: set) -> set:
-        """Those keys without an entry; the entries of the others become young."""
+    def turn(self) -> None:
+        """To be called while no key is in use."""
         if self.held > MEMORY_BYTES // 2:
             self.young, self.old, self.held = {}, self.young, 0
+
+    def missing(self, keys: set) -> set:
+        """Those keys without an entry; the entries of the others become young."""
         out = keys - self.young.keys()
         for k in out & self.old.keys():
             self.add(k, self.old[k])
             out.discard(k)
         return out
 
-    def add(self, key, entry: tuple[str, int, str]) -> None:
-        self.young[key] = entry
-        self.held += ENTRY_BYTES + len(entry[0]) + 2 * len(entry[2])
+    def add(self, key: str | int, ids: tuple[int, ...]) -> None:
+        self.young[key] = ids
+        self.held += ENTRY_BYTES + 8 * len(ids) + (len(key) if isinstance(key, str) else 0)
 
 
 class Bpe:
@@ -93,10 +92,11 @@ class Bpe:
         import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)  # its normalizer and pre-tokenizer only
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        #: The library's normalizer and pre-tokenizer, without the vocabulary.
+        self.library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -112,8 +112,8 @@ class Bpe:
         #: Tokens by their letters: those inside a word, and those at its end.
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(end) or t == end}
         self.final = {t[: -len(end)]: i for t, i in self.vocab.items() if t.endswith(end) and t != end}
-        #: Length of the longest token that ends in two given letters.
-        self.reach_inner, self.reach_final = self._reach(self.inner), self._reach(self.final)
+        #: Lengths of the tokens that may end a prefix, or a word, by its last letters.
+        self.ends_inner, self.ends_final = self._ends(self.inner), self._ends(self.final)
         self.fits: dict[int, bool] = {}  # by left << 32 | right
         self.alone: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[str, int, int]]] = {}
@@ -127,14 +127,24 @@ class Bpe:
 
     def forget(self) -> None:
         """Empty the memory of chunks and words."""
-        self.chunks, self.words = Memory(), Memory()
+        self.chunks = Memory()
 
     @staticmethod
-    def _reach(tokens: dict[str, int]) -> dict[str, int]:
-        out: dict[str, int] = {}
+    def _ends(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        """By the last three letters of tokens, or all of a shorter one: lengths of the tokens with that end, and of those within it, longest first."""
+        found: dict[str, set[int]] = {}
         for t in tokens:
-            out[t[-2:]] = max(out.get(t[-2:], 0), len(t))
-        return out
+            found.setdefault(t[-3:], set()).add(len(t))
+        for end, lengths in found.items():
+            lengths.update(n for n in range(1, len(end)) if end[-n:] in tokens)
+        shared: dict[tuple[int, ...], tuple[int, ...]] = {}
+        return {end: shared.setdefault(x := tuple(sorted(lengths, reverse=True)), x) for end, lengths in found.items()}
+
+    @staticmethod
+    def _lengths(ends: dict[str, tuple[int, ...]], word: str, end: int) -> tuple[int, ...]:
+        """Lengths of the tokens that may end word[:end]."""
+        tail = word[end - 3 if end > 3 else 0 : end]
+        return ends.get(tail) or ends.get(tail[-2:]) or ends.get(tail[-1:], ())
 
     def _symbols(self, token: str) -> tuple[str, ...]:
         """Letters of a token; the suffix belongs to the last one."""
@@ -193,45 +203,39 @@ class Bpe:
                     return True
         return False
 
-    def _fits(self, left: int, token: int) -> bool:
-        good = self.fits.get(left << 32 | token)
-        return self._compatible(left, token) if good is None else good
-
     def _last(self, word: str, end: int, last: list) -> tuple[int, int]:
         """Last token of the inner prefix of length ``end`` and its length; those of shorter prefixes are made as they are asked for.
 
         A prefix whose candidates wait for that of a shorter one stays on a stack, so depth does not depend on the word's length.
         """
-        inner, reach, fits = self.inner.get, self.reach_inner.get, self._fits
-        start, waiting = None, []
-        while True:
-            if start is None:
-                start = end - reach(word[end - 2 if end > 1 else 0 : end], 1)
-                start = start if start > 0 else 0
-            found = None
-            while start < end:
-                token = inner(word[start:end])
-                if token is not None:
-                    if not start:
-                        if self._whole(token):
-                            break
-                    else:
-                        found = last[start]
-                        if found is None:
-                            waiting.append((end, start))
-                            break
-                        if fits(found[0], token):
-                            break
-                start += 1
-            else:
-                raise ValueError(f"no token ends the prefix {word[:end]!r}")
-            if start and found is None:
-                end, start = start, None
-                continue
-            last[end] = token, end - start
-            if not waiting:
-                return last[end]
-            end, start = waiting.pop()
+        inner, ends, fits = self.inner.get, self.ends_inner, self.fits.get
+        waiting = []
+        lengths = iter(self._lengths(ends, word, end))
+        length = next(lengths, 0)
+        while length:
+            start = end - length
+            token = inner(word[start:end]) if start >= 0 else None
+            if token is not None:
+                if start and last[start] is None:
+                    waiting.append((end, lengths, length))
+                    end, lengths = start, iter(self._lengths(ends, word, start))
+                    length = next(lengths, 0)
+                    continue
+                if start:
+                    left = last[start][0]
+                    good = fits(left << 32 | token)
+                    if good is None:
+                        good = self._compatible(left, token)
+                else:
+                    good = self._whole(token)
+                if good:
+                    last[end] = token, length
+                    if not waiting:
+                        return last[end]
+                    end, lengths, length = waiting.pop()
+                    continue
+            length = next(lengths, 0)
+        raise ValueError(f"no token ends the prefix {word[:end]!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word (in byte letters), by one depth-first pass over their trie.
@@ -242,7 +246,7 @@ class Bpe:
         """
         out: dict[str, list[int]] = {}
         last: list[tuple[int, int] | None] = [None]  # of each inner prefix on the path, by its length, None where nothing asked for it
-        final, reach, fits = self.final.get, self.reach_final.get, self._fits
+        final, ends, fits = self.final.get, self.ends_final, self.fits.get
         before = ""
         for word in sorted(words):
             token = final(word)
@@ -256,11 +260,14 @@ class Bpe:
             del last[shared + 1 :]
             last += [None] * (n - 1 - shared)
             before = word
-            start = max(0, n - reach(word[-2:], 1))
-            for start in range(start or 1, n):
-                token = final(word[start:])
-                if token is not None and fits((last[start] or self._last(word, start, last))[0], token):
-                    break
+            for length in self._lengths(ends, word, n):
+                start = n - length
+                token = final(word[start:]) if start > 0 else None
+                if token is not None:
+                    left = (last[start] or self._last(word, start, last))[0]
+                    good = fits(left << 32 | token)
+                    if self._compatible(left, token) if good is None else good:
+                        break
             else:
                 raise ValueError(f"no token ends the word {word!r}")
             ids, at = [token], start
@@ -268,7 +275,8 @@ class Bpe:
                 step = last[at] or self._last(word, at, last)
                 ids.append(step[0])
                 at -= step[1]
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = ids
         return out
 
     def normalize(self, text: str) -> str:
@@ -286,22 +294,23 @@ class Bpe:
         return codecs.charmap_decode(word.encode(), "strict", self.letters)[0]
 
     def _cut(self, chunk: str) -> list[str]:
-        """Words of a chunk in byte letters."""
-        if chunk.isascii():
-            words = self.word_re.findall(chunk)
-            return words if chunk.isprintable() else [self._lettered(w) for w in words]  # printable ASCII is its own byte letters
-        if max(chunk) < LATIN:
-            return [self._lettered(w) for w in self.word_re.findall(chunk)]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+        """Words of a chunk; each of them is a chunk of one word, too."""
+        if chunk.isascii() or max(chunk) < LATIN:
+            return [chunk] if chunk.isalpha() else self.word_re.findall(chunk)
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def _learn(self, chunks: set[str]) -> None:
         cut = {c: self._cut(c) for c in chunks}
-        words, add = self.words, self.words.add
-        for w, ids in self.encode_words(words.missing(set().union(*cut.values()))).items():
-            add(w, (" ".join([self.decimal[i] for i in ids]), len(ids), self.decode(ids)))
-        learned, add = words.young, self.chunks.add
-        for c, parts in cut.items():
-            add(c, learned[parts[0]] if len(parts) == 1 else joined([learned[w] for w in parts]))
+        several = {c: parts for c, parts in cut.items() if parts != [c]}
+        words = cut.keys() - several.keys()
+        words |= self.chunks.missing(set().union(*several.values()) - words)
+        # Printable ASCII is its own byte letters.
+        lettered = {w if w.isascii() and w.isprintable() else self._lettered(w): w for w in words}
+        add, learned = self.chunks.add, self.chunks.young
+        for letters, ids in self.encode_words(lettered).items():
+            add(lettered[letters], tuple(ids))
+        for c, parts in several.items():
+            add(c, tuple(chain.from_iterable([learned[w] for w in parts])))
 
     def _split(self, text: str) -> list[str]:
         return [c for c in self.space_re.split(text) if c] if any(s in text for s in SEPARATORS) else text.split()
@@ -319,18 +328,29 @@ class Bpe:
     def encode_batch(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         """For each text its ids as decimals joined by spaces, their number, and the text decoded from them.
 
-        All chunks of the batch that are not remembered are encoded together, over one trie.
+        All chunks of the batch that are not remembered are encoded together, over one trie. No object made here refers back to
+        itself, so the search for such garbage, which would go through all entries, rests meanwhile.
         """
+        searched = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if searched:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         cut = [self._parts(t or "") for t in texts]
+        self.chunks.turn()
         fresh = self.chunks.missing(set().union(*cut))
         special = {c for c in fresh if isinstance(c, int)}
-        self._learn(fresh - special)
         for c in special:
-            self.chunks.add(c, (str(c), 1, self.decode([c])))
-        young = self.chunks.young
-        out = []
+            self.chunks.add(c, (c,))
+        self._learn(fresh - special)
+        ids_of, out = self.chunks.young.__getitem__, []
         for parts in cut:
-            out.append(joined(map(young.__getitem__, parts)))
+            ids = list(chain.from_iterable(map(ids_of, parts)))
+            out.append((" ".join(map(self.decimal.__getitem__, ids)), len(ids), self.decode(ids)))
         return out
 
     def encode(self, text: str | None) -> tuple[str, int, str]:
@@ -338,7 +358,7 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the file names no decoder, so tokens are joined by spaces, as the tokenizers library does."""
-        return " ".join([self.text_of[i] for i in ids])
+        return " ".join(map(self.text_of.__getitem__, ids))
 
 
 @lru_cache(maxsize=1)

@@ -162,6 +162,21 @@ def test_bpe_computes_only_the_prefixes_that_are_asked_for(coder, library, monke
     assert not letters  # printable ASCII stands for itself
 
 
+def test_bpe_looks_up_only_lengths_that_tokens_have_and_cuts_words_once(coder, library, monkeypatch):
+    for ends, tokens in ((coder.ends_inner, coder.inner), (coder.ends_final, coder.final)):
+        for word in ("thequx", "zq", "q", "x7happinesses", "\u0101\u0102", "the", "a</w>"):
+            assert coder._lengths(ends, word, len(word))[0] <= max(map(len, tokens))
+            assert {n for n in range(1, len(word) + 1) if word[-n:] in tokens} <= set(coder._lengths(ends, word, len(word)))
+    coder.forget()
+    encoded, whole = [], coder.encode_words
+    monkeypatch.setattr(coder, "encode_words", lambda words: encoded.extend(words) or whole(words))
+    texts = ["gronkel", "gronkel, (gronkel) gronkel's", "日本語 日本語。 gronkel!"]
+    for text in texts:
+        check_coding(coder, library, [text])
+    assert encoded.count("gronkel") == 1 and encoded.count(coder._lettered("日本語")) == 1  # a word of a chunk is what the same chunk is
+    assert all(isinstance(i, int) for entry in coder.chunks.young.values() for i in entry)
+
+
 def test_bpe_groups_cover_all_texts_in_order(monkeypatch):
     import pyarrow as pa
 
