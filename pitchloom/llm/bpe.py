@@ -11,7 +11,8 @@ merge joins their facing edges, in whole or in part, before the merges that buil
 The vocabulary file is a parameter (a tokenizers JSON: NFC, white space to one space, lower case, a split pattern, bytes
 as letters, a suffix at the last letter of a word). Strings of special tokens in a text become
 their ids, as the tokenizers library does. What a worker remembers of the chunks between white space and their words is bounded in bytes
-(``MEMORY_BYTES``), an entry being no more than the ids; texts are taken in groups of about ``TEXT_BYTES``, and a task that ends forgets all but the vocabulary.
+(``MEMORY_BYTES``), an entry being no more than the ids; texts are taken in groups of about ``TEXT_BYTES``, and a task that ends leaves nothing, not
+even the vocabulary: its worker stays alive, and what it held would count against the stages that follow.
 
 Nulls and empty texts have no tokens and decode to the empty text. Rows with null or repeated ids give one result row each; an
 empty table gives an empty one; further columns are ignored.
@@ -25,7 +26,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -99,7 +99,8 @@ class Bpe:
         self.library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        name = {t: t for t in self.vocab}  # one string for each token, wherever it is used
+        merges = [tuple(name.get(x, x) for x in (m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -118,8 +119,8 @@ class Bpe:
         self.alone: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[str, int, int]]] = {}
         self.halves: dict[str, tuple[str, str]] = {}
-        for a, b in merges:
-            self.halves.setdefault(a + b, (a, b))
+        for m in merges:
+            self.halves.setdefault(name.get(whole := "".join(m), whole), m)
         made = {"".join(m): i for i, m in reversed(list(enumerate(merges)))}
         if any(max(made.get(a, -1), made.get(b, -1)) >= i for i, (a, b) in enumerate(merges)):
             raise ValueError("a merge precedes the merges of its parts: not a trained BPE vocabulary")
@@ -361,12 +362,6 @@ class Bpe:
         return " ".join(map(self.text_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
-def coder(path: str) -> Bpe:
-    """One coder for each worker process: the vocabulary stays between tasks."""
-    return Bpe(path)
-
-
 def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of texts that hold about TEXT_BYTES together, or are a single longer text."""
     sizes = texts.cast(pa.binary()).fill_null(b"")
@@ -387,7 +382,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
     names = [*keep, *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
-        bpe = coder(vocabulary)
+        bpe = Bpe(vocabulary)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for at, n in groups(batch.column(batch.num_columns - 1)):
@@ -397,7 +392,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
                 columns += [pa.array([c[1] for c in coded], pa.int64()), pa.array([sha(c[0]) for c in coded]), pa.array([sha(c[2]) for c in coded])]
                 del coded
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        bpe.forget()
+        del bpe
         release()
 
     return bounded_batches(docs).select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)

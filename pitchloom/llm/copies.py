@@ -180,21 +180,24 @@ def unions(sets: list[np.ndarray], classes: np.ndarray) -> list[tuple[int, int]]
                     if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) * (least + of) + (lost[i] + lost[j]) * (least + of) >= (sizes[i] + sizes[j]) * least:
                         unite(i, np.array([j]))
         return out
-    owner = np.repeat(np.arange(len(sets)), sizes - lost)
-    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.flatnonzero(counts[place] > 1)
-    new = np.cumsum(counts > 1) - 1  # shared shingles, numbered
-    owner, place = owner[order], new[place[order]]
-    by_place = np.argsort(place, kind="stable")
-    owner, place = owner[by_place], place[by_place]
+    m, every = len(sets), np.concatenate(sets)
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes - lost)
+    by_value = np.argsort(every)
+    owner, every = owner[by_value], every[by_value]
+    del sets, by_value
+    counts = np.diff(np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]])))[: len(every)]  # of each distinct shingle
+    several = counts > 1
+    owner = owner[np.repeat(several, counts)]
+    place = np.repeat(np.arange(several.sum(), dtype=np.int32), counts[several])  # shared shingles, numbered
+    del every
     width = int(place[-1]) + 1 if len(place) else 0
-    shared = np.zeros((len(sets), len(sets)), np.float32)
+    shared = np.zeros((m, m), np.float32)
     for low in range(0, width, WIDE):
         a, b = np.searchsorted(place, [low, low + WIDE])
-        part = np.zeros((len(sets), min(WIDE, width - low)), np.float32)
+        part = np.zeros((m, min(WIDE, width - low)), np.float32)
         part[owner[a:b], place[a:b] - low] = 1
         shared += part @ part.T
-    for i in range(len(sets)):
+    for i in range(m):
         unite(i, np.flatnonzero(((shared[i] + lost[i] + lost) * (least + of) >= (sizes + sizes[i]) * least) & (labels != labels[i])))
     return out
 

@@ -43,6 +43,8 @@ BEGINNINGS = (4, 5, 6)
 SPARSE = 256
 SCREEN = 20.0
 POSTERIOR = 0.75
+#: Words whose traits a scorer remembers (about 150 bytes each; results don't depend on it).
+REMEMBERED = 100_000
 EPOCHS = 300
 RATE = 0.1
 PENALTY = 1e-4
@@ -194,7 +196,7 @@ def scorer(model: Model):
 
     def known(word):
         if word not in memory:
-            if len(memory) >= 300_000:
+            if len(memory) >= REMEMBERED:
                 memory.clear()
             memory[word] = tuple([t for t in traits(word) if t in carrying])
         return memory[word]

@@ -112,3 +112,18 @@ def test_stage_keeps_one_row_of_each_class(spark):
     assert len(lone) == 1
     assert sorted(r for r in got if r[1] and r[0]) == [(5, "A", "w"), (5, "B", "x"), (8, "D", "x")]
     assert [r for r in got if r[1] and r[0] is None] == [(None, "C", "y")]
+
+
+def test_unions_of_a_full_block_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(2**31), 2**31, 1_000)
+    sets = [np.where(rng.random(1_000) < 0.3, rng.integers(-(2**31), 2**31, 1_000), base).astype(np.int32) for _ in range(copies.MOST)]
+    tracemalloc.start()
+    try:
+        copies.unions(sets, np.arange(copies.MOST))
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+    assert copies.unions([np.empty(0, np.int32)] * 9, np.zeros(9, int)) == []

@@ -177,6 +177,21 @@ def test_bpe_looks_up_only_lengths_that_tokens_have_and_cuts_words_once(coder, l
     assert all(isinstance(i, int) for entry in coder.chunks.young.values() for i in entry)
 
 
+def test_bpe_leaves_no_coder_in_a_worker(spark):
+    docs = documents(spark, [(i, f"some text {i}") for i in range(8)])
+    assert bpe.encode_decode(docs, public_tokenizers.path(bpe.VOCABULARY)).count() == 8
+
+    def living(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Bpe" for x in gc.get_objects())], pa.int64())], names=["n"])
+
+    assert not any(r.n for r in docs.select("doc_id").mapInArrow(living, "n long").collect())
+
+
 def test_bpe_groups_cover_all_texts_in_order(monkeypatch):
     import pyarrow as pa
 
