@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchloom.llm.common import bounded_batches, look_up, materialize, release, shared_dir, utf8
+from pitchloom.llm.common import bounded_batches, look_up, materialize, release, remove, stored, utf8
 
 RADIUS = 2
 SHINGLE = 3
@@ -103,21 +103,26 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in edges (u > v): alternating large-star and small-star steps, each cut by a checkpoint."""
-    shared_dir(edges.sparkSession)
+    """(node, root) of every node in edges (u > v): alternating large-star and small-star steps, each written to the shared folder.
+
+    Each star is a query of its own: one plan of both holds the first four times, and the driver plans and reports it anew after each of its stages.
+    """
+    spark = edges.sparkSession
 
     def mark(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    edges = edges.checkpoint()
+    edges, path = stored(edges, "edges")
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        edges = look_up(both, least, "u", "m", "v", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        moved = look_up(edges, least, "u", "m", "v", 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        large, large_path = stored(look_up(both, least, "u", "m", "v", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        remove(spark, path)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = look_up(large, least, "u", "m", "v", 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, path = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(spark, large_path)
         after = mark(edges)
         if after == before:
             break

@@ -37,7 +37,6 @@ MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 6_000
 HASHES = 1 << 21
 LEVELS = 3
-DIMENSIONS = HASHES * LEVELS
 BEGINNINGS = (4, 5, 6)
 #: A trait that makes up less than one word in so many does not count as dense.
 SPARSE = 256
@@ -101,6 +100,12 @@ def _log_ratio(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int) -> np.ndarray:
     return 2 * (term(p, n_p) + term(u, n_u) - term(p + u, n_p + n_u))
 
 
+def _places(words: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where those of found that are in words (sorted, not empty) stand there, in the order of found."""
+    at = np.minimum(np.searchsorted(words, found), len(words) - 1)
+    return at[words[at] == found]
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Non-negative PU fit over lists of feature sets."""
     base = float(np.clip(prior, 1e-3, 0.49))
@@ -108,20 +113,18 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     if not positive or not unlabelled:
         return none
     seen, n_seen = np.unique(np.concatenate(positive), return_counts=True)
-    others = np.bincount(np.concatenate(unlabelled), minlength=DIMENSIONS)[seen]
+    others = np.zeros(len(seen), np.int64)
+    for d in unlabelled if len(seen) else ():
+        others[_places(seen, d)] += 1
     ratio = _log_ratio(n_seen, len(positive), others, len(unlabelled))
     posterior = base * (n_seen / len(positive)) / np.maximum(others / len(unlabelled), 1e-12)
     words = seen[(ratio >= SCREEN) & (posterior >= POSTERIOR)].astype(np.int64)
     if not len(words):
         return none
-    place = np.full(DIMENSIONS, -1, np.int32)
-    place[words] = np.arange(len(words))
 
     def matrix(docs):
-        rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        columns = place[np.concatenate(docs)]
-        keep = columns >= 0
-        return rows[keep], columns[keep], len(docs)
+        columns = [_places(words, d) for d in docs]
+        return np.repeat(np.arange(len(docs)), list(map(len, columns))), np.concatenate(columns), len(docs)
 
     sets = matrix(positive), matrix(unlabelled)
     theta, m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1), np.zeros(len(words) + 1)
@@ -181,11 +184,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["positive", "words"])
         release()
 
-    rows = texts.where(within).select("text", "positive").mapInArrow(run, "positive boolean, words binary").collect()  # bounded by the two sizes
+    rows = texts.where(within).select("text", "positive").mapInArrow(run, "positive boolean, words binary").toArrow()  # bounded by the two sizes
+    found = sorted(set(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
+    del rows
     sets: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for side, packed in sorted({(r["positive"], bytes(r["words"])) for r in rows}):
+    for side, packed in found:
         sets[side].append(np.frombuffer(packed, "<i4"))
-    return fit(sets[True], sets[False], n_toxic / n if n else 0.1)
+    model = fit(sets[True], sets[False], n_toxic / n if n else 0.1)
+    del found, sets
+    release()
+    return model
 
 
 def scorer(model: Model):

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -835,3 +836,30 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert sorted(df.columns) == sorted(want.columns)
     got = df.select(*want.columns).collect()
     same(got, want.fetchall())
+
+
+def test_fit_takes_memory_for_the_features_met():
+    rng = np.random.default_rng(5)
+    top = toxicity.HASHES * toxicity.LEVELS - 1
+    positive = [np.array([k, 9_000, top - 1], np.int32) for k in range(20)]
+    unlabelled = [np.unique(rng.integers(30, 8_000, 40)).astype(np.int32) for _ in range(200)] + [np.array([top], np.int32)]
+    tracemalloc.start()
+    model = toxicity.fit(positive, unlabelled, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.words.tolist() == [9_000, top - 1]
+    assert (model.weights > 0).all()
+    assert peak < 10e6  # arrays over all hashes take 75 MB
+
+
+def test_stars_are_queries_of_their_own(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(1, 40)] + [(100, 1), (200, 150)], "u long, v long")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = max((x.executionId() for x in map(store.executionsList().apply, range(store.executionsList().size()))), default=-1)
+    found = sorted(tuple(r) for r in simhash.connected(edges).collect())
+    assert found == sorted([(k, 1) for k in [*range(2, 41), 100]] + [(200, 150)])
+    bus.waitUntilEmpty(30_000)
+    done = store.executionsList()
+    ids = [i for i in (done.apply(k).executionId() for k in range(done.size())) if i > before]
+    assert max(store.planGraph(i).allNodes().size() for i in ids) <= 80
